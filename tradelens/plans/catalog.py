@@ -145,3 +145,222 @@ def _transactions_count(s):
 @register("transactions_summary")
 def _transactions_summary(s):
     return R.transactions_summary(s, **_TX_FILTERS)
+
+
+# ---------------------------------------------------------------- output helpers
+
+
+def _display(df: DataFrame) -> DataFrame:
+    """Timestamps as ISO text and decimals as doubles (the API edge, A6/D3)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from tradelens.functions.numbers import iso_timestamp
+
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            cols.append(iso_timestamp(f.name).alias(f.name))
+        elif isinstance(f.dataType, T.DecimalType):
+            cols.append(F.col(f.name).cast("double").alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
+# ---------------------------------------------------------------- aggregation tools
+
+from tradelens.operators import aggregate as A  # noqa: E402
+
+TOOL_AGGREGATE_PARAMS = {
+    "aggregations": [
+        {"field": "totalValueUSD", "operation": "sum", "alias": "sum_total_value_usd"},
+        {"field": "quantity", "operation": "avg", "alias": "avg_quantity"},
+        {"field": "quantity", "operation": "count", "alias": "lines"},
+        {"field": "quantity", "operation": "min", "alias": "min_quantity"},
+        {"field": "totalValueUSD", "operation": "max", "alias": "max_total_value_usd"},
+    ],
+    "groupBy": ["importCountry", "paymentMethod"],
+    "match": {"year": {"$gte": 1997}, "deliveryTerms": {"$in": ["A", "N"]}},
+    "sort": {"sum_total_value_usd": -1},
+    "skip": 5,
+    "limit": 20,
+}
+
+
+@register("tool_aggregate")
+def _tool_aggregate(s):
+    return A.run_tool(s, "aggregateTransactions", TOOL_AGGREGATE_PARAMS)
+
+
+@register("tool_sum_field")
+def _tool_sum_field(s):
+    return A.run_tool(s, "sumField", {"field": "total_value_usd", "match": {"customsOffice": "ASIA"}})
+
+
+@register("tool_avg_field")
+def _tool_avg_field(s):
+    return A.run_tool(s, "avgField", {"field": "quantity", "match": {"year": 1998}})
+
+
+@register("tool_count")
+def _tool_count(s):
+    return A.run_tool(s, "countTransactions", {"match": {"transportMode": "O"}})
+
+
+@register("tool_top_by_field")
+def _tool_top_by_field(s):
+    return A.run_tool(s, "getTopByField", {"field": "totalValueUSD", "groupBy": ["importCompanyRawName"], "limit": 10})
+
+
+@register("tool_count_and_group")
+def _tool_count_and_group(s):
+    return A.run_tool(s, "countAndGroup", {"groupBy": ["customsOffice", "paymentMethod"]})
+
+
+@register("tool_distinct_values")
+def _tool_distinct_values(s):
+    return A.run_tool(s, "getDistinctValues", {"field": "hsCode", "limit": 10})
+
+
+MATCH_DOC = {
+    "$or": [{"customsOffice": "ASIA"}, {"exportType": {"$regex": "^auto", "$options": "i"}}],
+    "quantity": {"$gte": 10, "$lt": 20},
+    "paymentMethod": {"$nin": ["1-URGENT", None]},
+    "taxRate": {"$not": {"$gt": 0.05}},
+}
+
+
+@register("match_document")
+def _match_document(s):
+    df = s.facts(["declaration_number", "line_no", "goods_id", "customs_office", "export_type", "quantity", "payment_method", "tax_rate"])
+    return _display(df.filter(A.match_to_column(MATCH_DOC, df.schema)))
+
+
+# ---------------------------------------------------------------- filter engine (P10-P20)
+
+from tradelens.operators import engine as E  # noqa: E402
+from tradelens.operators import filters as FL  # noqa: E402
+
+
+def _filtered(s, filters, opts=FL.FilterOptions()):
+    return _display(FL.execute_filters(E.engine_view(s), filters, opts))
+
+
+@register("filter_equals")
+def _filter_equals(s):
+    return _filtered(s, [{"field": "customs_office", "operator": "equals", "value": "USA"}])
+
+
+@register("filter_contains")
+def _filter_contains(s):
+    return _filtered(s, [{"field": "goods_name", "operator": "contains", "value": "RING"}])
+
+
+@register("filter_starts_with")
+def _filter_starts_with(s):
+    return _filtered(s, [{"field": "goods_name", "operator": "startsWith", "value": " Red"}])
+
+
+@register("filter_greater_less")
+def _filter_greater_less(s):
+    return _filtered(
+        s,
+        [
+            {"field": "total_value_usd", "operator": "greaterThan", "value": 50000},
+            {"field": "quantity", "operator": "lessThan", "value": "10"},
+        ],
+    )
+
+
+@register("filter_between")
+def _filter_between(s):
+    return _filtered(
+        s,
+        [
+            {"field": "unit_price_usd", "operator": "between", "value": [1000, 1500]},
+            {"field": "date", "operator": "between", "value": ["1997-01-01", "1997-12-31"]},
+        ],
+    )
+
+
+@register("filter_in")
+def _filter_in(s):
+    return _filtered(s, [{"field": "customs_office", "operator": "in", "value": ["Europe", "US"]}])
+
+
+@register("filter_fuzzy")
+def _filter_fuzzy(s):
+    return _filtered(s, [{"field": "goods_name", "operator": "contains", "value": "smal rng", "matchStrategy": "fuzzy", "fuzzyThreshold": 2}])
+
+
+CNF_FILTERS = [
+    {"field": "customs_office", "operator": "equals", "value": "US", "logicalOperator": "OR"},
+    {"field": "customs_office", "operator": "equals", "value": "Asia", "logicalOperator": "AND"},
+    {"field": "total_value_usd", "operator": "greaterThan", "value": 50000},
+]
+
+
+@register("filter_cnf")
+def _filter_cnf(s):
+    return _filtered(s, CNF_FILTERS)
+
+
+@register("filter_audit")
+def _filter_audit(s):
+    return FL.filter_audit(E.engine_view(s), CNF_FILTERS)
+
+
+# ---------------------------------------------------------------- engine aggregates
+
+
+@register("agg_js_grouped")
+def _agg_js_grouped(s):
+    return E.group_by(E.engine_view(s), "import_country", "total_value_usd", "sum")
+
+
+@register("agg_total")
+def _agg_total(s):
+    return E.compute_total(E.engine_view(s), "quantity", "average")
+
+
+MULTI_SPECS = [
+    E.AggregationSpec("total_value_usd", "sum", "category_name"),
+    E.AggregationSpec("total_value_usd", "count", "category_name"),
+    E.AggregationSpec("unit_price_usd", "max", "category_name"),
+    E.AggregationSpec("quantity", "average", "import_country"),
+    E.AggregationSpec("quantity", "min", None),
+]
+
+
+@register("agg_multi_spec")
+def _agg_multi_spec(s):
+    return E.compute_aggregations(E.engine_view(s), MULTI_SPECS)
+
+
+@register("agg_cache")
+def _agg_cache(s):
+    return E.build_cache(E.engine_view(s), extras=True)
+
+
+@register("agg_cache_top_n")
+def _agg_cache_top_n(s):
+    return E.cache_top_n(E.build_cache(E.engine_view(s)), "importCompany", 10)
+
+
+@register("time_series_month")
+def _time_series_month(s):
+    return E.time_series(E.engine_view(s), "total_value_usd", "sum")
+
+
+@register("full_data_points")
+def _full_data_points(s):
+    return E.full_data_points(E.engine_view(s), "category_name", "total_value_usd")
+
+
+@register("summary_lines")
+def _summary_lines(s):
+    view = E.engine_view(s)
+    spec = E.AggregationSpec("total_value_usd", "sum", "import_country")
+    result = E.group_by(view, spec.group_by, spec.field, spec.operation)
+    return E.summary_text(result, spec, top=20)

@@ -268,3 +268,244 @@ SELECT total, total_value, total_quantity,
 FROM s
 """,
 )
+
+
+# ---------------------------------------------------------------- aggregation tools
+
+oracle(
+    "tool_aggregate",
+    """
+SELECT import_country, payment_method,
+       CAST(coalesce(SUM(total_value_usd), 0) AS DOUBLE) AS sum_total_value_usd,
+       CAST(SUM(quantity) AS DOUBLE) / COUNT(quantity) AS avg_quantity,
+       CAST(COUNT(*) AS DOUBLE) AS lines,
+       CAST(MIN(quantity) AS DOUBLE) AS min_quantity,
+       CAST(MAX(total_value_usd) AS DOUBLE) AS max_total_value_usd
+FROM facts
+WHERE year >= 1997 AND delivery_terms IN ('A', 'N')
+GROUP BY import_country, payment_method
+ORDER BY sum_total_value_usd DESC, import_country, payment_method
+LIMIT 20 OFFSET 5
+""",
+)
+oracle(
+    "tool_sum_field",
+    "SELECT CAST(coalesce(SUM(total_value_usd), 0) AS DOUBLE) AS sum_total_value_usd FROM facts WHERE customs_office = 'ASIA'",
+)
+oracle(
+    "tool_avg_field",
+    "SELECT coalesce(CAST(SUM(quantity) AS DOUBLE) / COUNT(quantity), 0) AS avg_quantity FROM facts WHERE year = 1998",
+)
+oracle("tool_count", "SELECT COUNT(*) AS count FROM facts WHERE transport_mode = 'O'")
+oracle(
+    "tool_top_by_field",
+    """
+SELECT import_company_raw_name, CAST(coalesce(SUM(total_value_usd), 0) AS DOUBLE) AS sum_total_value_usd
+FROM facts GROUP BY import_company_raw_name
+ORDER BY sum_total_value_usd DESC, import_company_raw_name LIMIT 10
+""",
+)
+oracle(
+    "tool_count_and_group",
+    "SELECT COUNT(*) AS group_count FROM (SELECT customs_office, payment_method FROM facts GROUP BY ALL)",
+)
+oracle(
+    "tool_distinct_values",
+    "SELECT value FROM (SELECT DISTINCT hs_code AS value FROM facts ORDER BY value NULLS FIRST LIMIT 10) WHERE value IS NOT NULL",
+)
+oracle(
+    "match_document",
+    """
+SELECT declaration_number, line_no, goods_id, customs_office, export_type, CAST(quantity AS DOUBLE) AS quantity,
+       payment_method, tax_rate
+FROM facts
+WHERE (customs_office = 'ASIA' OR regexp_matches(export_type, '^auto', 'i'))
+  AND quantity >= 10 AND quantity < 20
+  AND NOT coalesce(payment_method IN ('1-URGENT') OR payment_method IS NULL, false)
+  AND NOT coalesce(tax_rate > 0.05, false)
+""",
+)
+
+# ---------------------------------------------------------------- filter engine
+
+_ENGINE_VIEW = """
+, ev AS (
+  SELECT f.declaration_number, f.date, c.name AS import_company_name, c.address AS import_company_address,
+         g.category AS category_name, f.import_country, f.customs_office, g.raw_name AS goods_name, f.quantity, f.unit,
+         f.unit_price_usd, f.total_value_usd, f.month
+  FROM facts f
+  LEFT JOIN companies c ON f.company_id = c.company_id
+  LEFT JOIN goods_cat g ON f.goods_id = g.goods_id
+)
+"""
+_SHOW = f"""
+SELECT declaration_number, {iso("date")} AS date, import_company_name, import_company_address, category_name,
+       import_country, customs_office, goods_name, CAST(quantity AS DOUBLE) AS quantity, unit, unit_price_usd,
+       CAST(total_value_usd AS DOUBLE) AS total_value_usd, month
+FROM ev
+"""
+
+
+def _norm(expr: str) -> str:
+    return f"lower(regexp_replace(trim({expr}), '\\s+', ' ', 'g'))"
+
+
+# normalised variants of the United States synonym group
+_US = ["us", "usa", "united states", "hoa kỳ", "america", "u.s.", "u.s.a"]
+
+
+def _in_group(n: str, variants) -> str:
+    parts = [f"({n} = '{v}' OR contains({n}, '{v}') OR contains('{v}', {n}))" for v in variants]
+    return "(" + " OR ".join(parts) + ")"
+
+
+_CO = _norm("customs_office")
+oracle("filter_equals", _ENGINE_VIEW + _SHOW + f"WHERE customs_office IS NOT NULL AND ({_CO} = 'usa' OR {_in_group(_CO, _US)})")
+oracle("filter_contains", _ENGINE_VIEW + _SHOW + f"WHERE goods_name IS NOT NULL AND contains({_norm('goods_name')}, 'ring')")
+oracle("filter_starts_with", _ENGINE_VIEW + _SHOW + f"WHERE goods_name IS NOT NULL AND starts_with({_norm('goods_name')}, 'red')")
+oracle(
+    "filter_greater_less",
+    _ENGINE_VIEW + _SHOW + "WHERE CAST(total_value_usd AS DOUBLE) > 50000 AND CAST(quantity AS DOUBLE) < 10",
+)
+oracle(
+    "filter_between",
+    _ENGINE_VIEW
+    + _SHOW
+    + "WHERE unit_price_usd >= 1000 AND unit_price_usd <= 1500 "
+    "AND date >= TIMESTAMP '1997-01-01' AND date <= TIMESTAMP '1997-12-31'",
+)
+oracle(
+    "filter_in",
+    _ENGINE_VIEW + _SHOW + f"WHERE customs_office IS NOT NULL AND ({_CO} = 'europe' OR {_CO} = 'us' OR {_in_group(_CO, _US)})",
+)
+_GN = _norm("goods_name")
+oracle(
+    "filter_fuzzy",
+    _ENGINE_VIEW
+    + _SHOW
+    + f"WHERE goods_name IS NOT NULL AND (levenshtein({_GN}, 'smal rng') <= 2 OR contains({_GN}, 'smal rng') "
+    f"OR contains('smal rng', {_GN}))",
+)
+_CNF_US = f"({_CO} = 'us' OR {_in_group(_CO, _US)})"
+_CNF_ASIA = f"({_CO} = 'asia')"
+_CNF_VALUE = "(CAST(total_value_usd AS DOUBLE) > 50000)"
+oracle(
+    "filter_cnf",
+    _ENGINE_VIEW + _SHOW + f"WHERE customs_office IS NOT NULL AND ({_CNF_US} OR {_CNF_ASIA}) AND {_CNF_VALUE}",
+)
+oracle(
+    "filter_audit",
+    _ENGINE_VIEW
+    + f"""
+, c AS (
+  SELECT COUNT(*) AS total,
+         count_if(customs_office IS NOT NULL AND {_CNF_US}) AS m0,
+         count_if(customs_office IS NOT NULL AND {_CNF_ASIA}) AS m1,
+         count_if({_CNF_VALUE}) AS m2,
+         count_if(customs_office IS NOT NULL AND {_CNF_US}) AS c0,
+         count_if(customs_office IS NOT NULL AND ({_CNF_US} OR {_CNF_ASIA})) AS c1,
+         count_if(customs_office IS NOT NULL AND ({_CNF_US} OR {_CNF_ASIA}) AND {_CNF_VALUE}) AS c2
+  FROM ev
+)
+SELECT 1::BIGINT AS iteration, 'customs_office' AS field, 'equals' AS operator, 'customs_office equals ''US''' AS criteria,
+       m0 AS matched_count, c0 AS cumulative_count, total AS total_count FROM c
+UNION ALL
+SELECT 2, 'customs_office', 'equals', 'customs_office equals ''Asia''', m1, c1, total FROM c
+UNION ALL
+SELECT 3, 'total_value_usd', 'greaterThan', 'total_value_usd greaterThan 50000', m2, c2, total FROM c
+""",
+)
+
+# ---------------------------------------------------------------- engine aggregates
+
+_KEY_IC = "CASE WHEN import_country IS NULL OR import_country = '' THEN 'Unknown' ELSE import_country END"
+_KEY_CAT = "CASE WHEN category_name IS NULL OR category_name = '' THEN 'Unknown' ELSE category_name END"
+_KEY_CO = "CASE WHEN import_company_name IS NULL OR import_company_name = '' THEN 'Unknown' ELSE import_company_name END"
+_KEY_GOODS = "CASE WHEN goods_name IS NULL OR goods_name = '' THEN 'Unknown' ELSE goods_name END"
+_V = "coalesce(total_value_usd, 0)"
+
+oracle(
+    "agg_js_grouped",
+    _ENGINE_VIEW + f"SELECT {_KEY_IC} AS key, CAST(SUM({_V}) AS DOUBLE) AS value, COUNT(*) AS count FROM ev GROUP BY 1",
+)
+oracle(
+    "agg_total",
+    _ENGINE_VIEW
+    + "SELECT 'Total' AS key, coalesce(CAST(SUM(coalesce(quantity, 0)) AS DOUBLE) / COUNT(*), 0.0) AS value, COUNT(*) AS count FROM ev",
+)
+oracle(
+    "agg_multi_spec",
+    _ENGINE_VIEW
+    + f"""
+, bycat AS (
+  SELECT {_KEY_CAT} AS key, CAST(SUM({_V}) AS DOUBLE) AS s, CAST(COUNT(*) AS DOUBLE) AS n,
+         MAX(coalesce(unit_price_usd, 0.0)) AS mx, COUNT(*) AS count
+  FROM ev GROUP BY 1
+), byic AS (
+  SELECT {_KEY_IC} AS key, CAST(SUM(coalesce(quantity, 0)) AS DOUBLE) / COUNT(*) AS a, COUNT(*) AS count FROM ev GROUP BY 1
+), tot AS (
+  SELECT 'Total' AS key, coalesce(CAST(MIN(coalesce(quantity, 0)) AS DOUBLE), 0.0) AS mn, COUNT(*) AS count FROM ev
+)
+SELECT 0::BIGINT AS spec_id, key, s AS value, count FROM bycat
+UNION ALL SELECT 1, key, n, count FROM bycat
+UNION ALL SELECT 2, key, mx, count FROM bycat
+UNION ALL SELECT 3, key, a, count FROM byic
+UNION ALL SELECT 4, key, mn, count FROM tot
+""",
+)
+_CACHE = (
+    _ENGINE_VIEW
+    + f"""
+, base AS (
+  SELECT {_KEY_CO} AS company, {_KEY_CAT} AS category, {_KEY_IC} AS country, {_KEY_GOODS} AS goods,
+         strftime(date, '%Y-%m') AS month, {_V} AS v
+  FROM ev
+), cache AS (
+  SELECT 'importCompany' AS dim, company AS key, CAST(SUM(v) AS DOUBLE) AS value, COUNT(*) AS count FROM base GROUP BY company
+  UNION ALL SELECT 'category', category, CAST(SUM(v) AS DOUBLE), COUNT(*) FROM base GROUP BY category
+  UNION ALL SELECT 'country', country, CAST(SUM(v) AS DOUBLE), COUNT(*) FROM base GROUP BY country
+  {{extra}}
+  UNION ALL SELECT 'month', month, CAST(SUM(v) AS DOUBLE), COUNT(*) FROM base WHERE month IS NOT NULL GROUP BY month
+)
+"""
+)
+oracle(
+    "agg_cache",
+    _CACHE.format(
+        extra="UNION ALL SELECT 'goods', goods, CAST(SUM(v) AS DOUBLE), COUNT(*) FROM base GROUP BY goods "
+        "UNION ALL SELECT 'total', 'Total', CAST(SUM(v) AS DOUBLE), COUNT(*) FROM base"
+    )
+    + "SELECT * FROM cache",
+)
+oracle(
+    "agg_cache_top_n",
+    _CACHE.format(extra="") + "SELECT * FROM cache WHERE dim = 'importCompany' ORDER BY value DESC, key LIMIT 10",
+)
+oracle(
+    "time_series_month",
+    _ENGINE_VIEW
+    + f"""SELECT strftime(date, '%Y-%m') AS month, CAST(SUM({_V}) AS DOUBLE) AS value, COUNT(*) AS count
+FROM ev WHERE date IS NOT NULL GROUP BY 1 ORDER BY 1""",
+)
+oracle(
+    "full_data_points",
+    _ENGINE_VIEW
+    + f"""SELECT {_KEY_CAT} AS key, COUNT(*) AS count, CAST(SUM({_V}) AS DOUBLE) AS sum,
+       CAST(SUM({_V}) AS DOUBLE) / COUNT(*) AS average, CAST(MIN({_V}) AS DOUBLE) AS min, CAST(MAX({_V}) AS DOUBLE) AS max
+FROM ev GROUP BY 1""",
+)
+oracle(
+    "summary_lines",
+    _ENGINE_VIEW
+    + f"""
+, g AS (SELECT {_KEY_IC} AS key, CAST(SUM({_V}) AS DOUBLE) AS value, COUNT(*) AS count FROM ev GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY value DESC, key) AS rk FROM g)
+SELECT 'Total by import_country' || chr(10)
+       || string_agg('  ' || key || ': $' || format('{{:,}}', CAST(round(value) AS BIGINT))
+                     || CASE WHEN count > 0 THEN ' (' || count || ' txns)' ELSE '' END, chr(10) ORDER BY rk)
+            FILTER (WHERE rk <= 20)
+       || chr(10) || 'Total records: ' || SUM(count)
+       || CASE WHEN COUNT(*) > 20 THEN ', showing top 20 of ' || COUNT(*) ELSE '' END AS text
+FROM r
+""",
+)
