@@ -364,3 +364,89 @@ def _summary_lines(s):
     spec = E.AggregationSpec("total_value_usd", "sum", "import_country")
     result = E.group_by(view, spec.group_by, spec.field, spec.operation)
     return E.summary_text(result, spec, top=20)
+
+
+# ---------------------------------------------------------------- import de-duplication
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tradelens.operators import dedup as D  # noqa: E402
+from tradelens.schema import DEDUP_KEY  # noqa: E402
+
+BATCH_COLUMNS = (*DEDUP_KEY, "line_no", "goods_id", "supplier_id", "quantity", "date")
+BATCH_ORDER = ("file_no", "declaration_number", "line_no", "goods_id", "supplier_id", "quantity")
+
+
+def import_batch(s) -> DataFrame:
+    """Stand-in import file: two overlapping date slices of the fact lines
+    concatenated (an export delivered twice with a 3-month overlap), with
+    ``file_no`` giving file order.  Only selection and renaming here."""
+    f = s.facts(list(BATCH_COLUMNS))
+    a = f.filter((F.col("date") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col("date") < F.lit("1997-07-01").cast("timestamp_ntz")))
+    b = f.filter((F.col("date") >= F.lit("1997-04-01").cast("timestamp_ntz")) & (F.col("date") < F.lit("1997-10-01").cast("timestamp_ntz")))
+    return a.withColumn("file_no", F.lit(0)).unionByName(b.withColumn("file_no", F.lit(1)))
+
+
+def stored_lines(s) -> DataFrame:
+    """Stand-in target table: the lines already imported (Oct 1996 - mid May 1997)."""
+    f = s.facts(list(BATCH_COLUMNS))
+    return f.filter((F.col("date") >= F.lit("1996-10-01").cast("timestamp_ntz")) & (F.col("date") < F.lit("1997-05-15").cast("timestamp_ntz")))
+
+
+@register("dedup_in_file")
+def _dedup_in_file(s):
+    return _display(D.dedup_in_file(import_batch(s), BATCH_ORDER))
+
+
+@register("dedup_report")
+def _dedup_report(s):
+    return _display(D.duplicate_report(import_batch(s), BATCH_ORDER))
+
+
+def _new_rows(s):
+    unique = D.dedup_in_file(import_batch(s), BATCH_ORDER).drop("occurrences")
+    return D.split_against_table(unique, stored_lines(s))
+
+
+@register("dedup_against_table")
+def _dedup_against_table(s):
+    new, existing = _new_rows(s)
+    return _display(new.withColumn("status", F.lit("new")).unionByName(existing.withColumn("status", F.lit("existing"))))
+
+
+@register("existing_declarations")
+def _existing_declarations(s):
+    return D.existing_declarations(stored_lines(s), import_batch(s))
+
+
+@register("dedup_summary")
+def _dedup_summary(s):
+    return D.dedup_summary(import_batch(s), BATCH_ORDER)
+
+
+def _stored_companies(s):
+    return stored_lines(s).select(F.col("import_company_raw_name").alias("name"), F.lit("").alias("address")).distinct()
+
+
+def _stored_goods(s):
+    return stored_lines(s).select(F.col("goods_raw_name").alias("raw_name")).distinct()
+
+
+@register("dim_company_new")
+def _dim_company_new(s):
+    new, _ = _new_rows(s)
+    return D.new_companies(new, _stored_companies(s))
+
+
+@register("dim_goods_new")
+def _dim_goods_new(s):
+    new, _ = _new_rows(s)
+    return D.new_goods(new, _stored_goods(s), BATCH_ORDER)
+
+
+@register("import_summary")
+def _import_summary(s):
+    batch = import_batch(s)
+    unique = D.dedup_in_file(batch, BATCH_ORDER).drop("occurrences")
+    new, _ = D.split_against_table(unique, stored_lines(s))
+    return D.import_summary(batch, unique, new, D.new_companies(new, _stored_companies(s)), D.new_goods(new, _stored_goods(s), BATCH_ORDER))

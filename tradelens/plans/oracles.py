@@ -509,3 +509,101 @@ SELECT 'Total by import_country' || chr(10)
 FROM r
 """,
 )
+
+
+# ---------------------------------------------------------------- import de-duplication
+
+_KEYS = "declaration_number, hs_code, goods_raw_name, import_company_raw_name, total_value_usd, usd_rate, payment_method, delivery_terms"
+_KEYTXT = ", ".join(
+    f"coalesce(trim(CAST({k} AS VARCHAR)), '')"
+    for k in ["declaration_number", "hs_code", "goods_raw_name", "import_company_raw_name", "total_value_usd", "usd_rate", "payment_method", "delivery_terms"]
+)
+_BATCH = f"""
+, b0 AS (
+  SELECT {_KEYS}, line_no, goods_id, supplier_id, quantity, date FROM facts
+), batch AS (
+  SELECT *, 0 AS file_no FROM b0 WHERE date >= TIMESTAMP '1997-01-01' AND date < TIMESTAMP '1997-07-01'
+  UNION ALL
+  SELECT *, 1 AS file_no FROM b0 WHERE date >= TIMESTAMP '1997-04-01' AND date < TIMESTAMP '1997-10-01'
+), stored AS (
+  SELECT * FROM b0 WHERE date >= TIMESTAMP '1996-10-01' AND date < TIMESTAMP '1997-05-15'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {_KEYTXT} ORDER BY file_no, declaration_number, line_no, goods_id, supplier_id, quantity) AS rn,
+         COUNT(*) OVER (PARTITION BY {_KEYTXT}) AS occurrences
+  FROM batch WHERE coalesce(trim(declaration_number), '') <> ''
+), uniq AS (
+  SELECT {_KEYS}, line_no, goods_id, supplier_id, quantity, date, file_no FROM ranked WHERE rn = 1
+), new_rows AS (
+  SELECT * FROM uniq u WHERE NOT EXISTS (
+    SELECT 1 FROM stored s WHERE s.declaration_number IS NOT DISTINCT FROM u.declaration_number
+      AND s.hs_code IS NOT DISTINCT FROM u.hs_code AND s.goods_raw_name IS NOT DISTINCT FROM u.goods_raw_name
+      AND s.import_company_raw_name IS NOT DISTINCT FROM u.import_company_raw_name
+      AND s.total_value_usd IS NOT DISTINCT FROM u.total_value_usd AND s.usd_rate IS NOT DISTINCT FROM u.usd_rate
+      AND s.payment_method IS NOT DISTINCT FROM u.payment_method AND s.delivery_terms IS NOT DISTINCT FROM u.delivery_terms)
+), new_companies AS (
+  SELECT DISTINCT import_company_raw_name AS name, '' AS address FROM new_rows
+  WHERE import_company_raw_name NOT IN (SELECT import_company_raw_name FROM stored)
+), new_goods AS (
+  SELECT raw_name, hs_code FROM (
+    SELECT goods_raw_name AS raw_name, hs_code,
+           row_number() OVER (PARTITION BY goods_raw_name ORDER BY file_no, declaration_number, line_no, goods_id, supplier_id, quantity) AS rn
+    FROM new_rows) WHERE rn = 1 AND raw_name NOT IN (SELECT goods_raw_name FROM stored)
+)
+"""
+_BATCH_SHOW = f"""declaration_number, hs_code, goods_raw_name, import_company_raw_name, CAST(total_value_usd AS DOUBLE) AS total_value_usd,
+       CAST(usd_rate AS DOUBLE) AS usd_rate, payment_method, delivery_terms, line_no, goods_id, supplier_id,
+       CAST(quantity AS DOUBLE) AS quantity, {iso("date")} AS date, file_no"""
+
+oracle("dedup_in_file", _BATCH + f"SELECT {_BATCH_SHOW}, occurrences FROM ranked WHERE rn = 1")
+oracle("dedup_report", _BATCH + f"SELECT {_BATCH_SHOW}, occurrences AS duplicate_count FROM ranked WHERE rn > 1")
+oracle(
+    "dedup_against_table",
+    _BATCH
+    + f"""SELECT {_BATCH_SHOW}, 'new' AS status FROM new_rows
+UNION ALL
+SELECT {_BATCH_SHOW}, 'existing' AS status FROM uniq u WHERE EXISTS (
+    SELECT 1 FROM stored s WHERE s.declaration_number IS NOT DISTINCT FROM u.declaration_number
+      AND s.hs_code IS NOT DISTINCT FROM u.hs_code AND s.goods_raw_name IS NOT DISTINCT FROM u.goods_raw_name
+      AND s.import_company_raw_name IS NOT DISTINCT FROM u.import_company_raw_name
+      AND s.total_value_usd IS NOT DISTINCT FROM u.total_value_usd AND s.usd_rate IS NOT DISTINCT FROM u.usd_rate
+      AND s.payment_method IS NOT DISTINCT FROM u.payment_method AND s.delivery_terms IS NOT DISTINCT FROM u.delivery_terms)""",
+)
+oracle(
+    "existing_declarations",
+    _BATCH + "SELECT DISTINCT declaration_number FROM batch WHERE declaration_number IN (SELECT declaration_number FROM stored)",
+)
+oracle(
+    "dedup_summary",
+    _BATCH
+    + """
+, s AS (
+  SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE rn = 1) AS unique_rows FROM ranked
+)
+SELECT total_rows, unique_rows, total_rows - unique_rows AS duplicate_rows,
+       printf('%.2f', round(CASE WHEN total_rows > 0 THEN (total_rows - unique_rows) * 100.0 / total_rows ELSE 0.0 END, 2)) || '%' AS duplicate_rate
+FROM s
+""",
+)
+oracle("dim_company_new", _BATCH + "SELECT name, address FROM new_companies")
+oracle(
+    "dim_goods_new",
+    _BATCH
+    + """SELECT raw_name, hs_code,
+       CASE WHEN length(raw_name) <= 100 THEN raw_name ELSE substr(raw_name, 1, 97) || '...' END AS short_name,
+       'Other' AS category, 'fallback' AS classified_by
+FROM new_goods""",
+)
+oracle(
+    "import_summary",
+    _BATCH
+    + """
+SELECT (SELECT COUNT(*) FROM batch) AS total_rows,
+       (SELECT COUNT(*) FROM batch) AS valid_rows,
+       0::BIGINT AS invalid_rows,
+       (SELECT COUNT(*) FROM batch) - (SELECT COUNT(*) FROM uniq) AS duplicates_in_file,
+       (SELECT COUNT(*) FROM uniq) - (SELECT COUNT(*) FROM new_rows) AS duplicates_in_db,
+       (SELECT COUNT(*) FROM new_rows) AS imported_rows,
+       (SELECT COUNT(*) FROM new_companies) AS new_companies,
+       (SELECT COUNT(*) FROM new_goods) AS new_goods
+""",
+)
