@@ -69,8 +69,11 @@ def _col(c: ColumnOrName) -> Column:
 
 
 def collapse_whitespace(c: ColumnOrName) -> Column:
-    """Trim, then every whitespace run -> one space."""
-    return F.regexp_replace(F.trim(_col(c)), _WS, " ")
+    """Every whitespace run -> one space, then trim.
+
+    Collapsing first makes Spark's ``trim`` (which strips only U+0020) act
+    like a Unicode-aware trim."""
+    return F.trim(F.regexp_replace(_col(c), _WS, " "))
 
 
 def remove_diacritics(c: ColumnOrName) -> Column:

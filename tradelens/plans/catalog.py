@@ -450,3 +450,133 @@ def _import_summary(s):
     unique = D.dedup_in_file(batch, BATCH_ORDER).drop("occurrences")
     new, _ = D.split_against_table(unique, stored_lines(s))
     return D.import_summary(batch, unique, new, D.new_companies(new, _stored_companies(s)), D.new_goods(new, _stored_goods(s), BATCH_ORDER))
+
+
+# ---------------------------------------------------------------- profile, growth, comparisons
+
+from tradelens.operators import analytics as AN  # noqa: E402
+from tradelens.plans import intent as IN  # noqa: E402
+
+
+@register("load_profile")
+def _load_profile(s):
+    ws = AN.working_set(s, categories=["PROMO", "LARGE"], date_from="1998-01-01", date_to="1998-12-31")
+    return AN.load_profile(ws)
+
+
+@register("recent_six_months")
+def _recent_six_months(s):
+    return AN.recent_months(s, 6)
+
+
+@register("category_growth")
+def _category_growth(s):
+    return AN.category_growth(s)
+
+
+@register("compare_companies")
+def _compare_companies(s):
+    return AN.compare_top_companies(s)
+
+
+@register("recommend_companies")
+def _recommend_companies(s):
+    return AN.recommend_companies(s, 5)
+
+
+# ---------------------------------------------------------------- intents (U4) and the eight questions
+
+
+def _intent(s, spec):
+    return _display(IN.run_intent(E.engine_view(s), IN.QueryIntent.of(spec)))
+
+
+INTENTS = {
+    "intent_aggregation": {
+        "type": "aggregation",
+        "filters": [{"field": "customs_office", "operator": "in", "value": ["Asia", "Europe"]}],
+        "aggregations": [
+            {"field": "total_value_usd", "operation": "sum", "groupBy": "category_name"},
+            {"field": "quantity", "operation": "average", "groupBy": "category_name"},
+        ],
+        "confidence": 0.9,
+    },
+    "intent_detail": {
+        "type": "detail",
+        "filters": [
+            {"field": "goods_name", "operator": "contains", "value": "gear"},
+            {"field": "total_value_usd", "operator": "greaterThan", "value": 90000},
+        ],
+        "orderBy": {"field": "total_value_usd", "direction": "desc"},
+        "limit": 50,
+        "confidence": 0.8,
+    },
+    "intent_trend": {
+        "type": "trend",
+        "filters": [{"field": "category_name", "operator": "equals", "value": "economy"}],
+        "aggregations": [{"field": "total_value_usd", "operation": "sum"}],
+        "confidence": 0.7,
+    },
+    "question_importers_by_value": {
+        "type": "ranking",
+        "filters": [],
+        "aggregations": [{"field": "total_value_usd", "operation": "sum", "groupBy": "import_company_name"}],
+        "limit": 10,
+        "confidence": 1,
+    },
+    "question_importers_by_count": {
+        "type": "ranking",
+        "filters": [],
+        "aggregations": [{"field": "declaration_number", "operation": "count", "groupBy": "import_company_name"}],
+        "limit": 10,
+        "confidence": 1,
+    },
+    "question_items_by_quantity": {
+        "type": "ranking",
+        "filters": [],
+        "aggregations": [{"field": "quantity", "operation": "sum", "groupBy": "goods_name"}],
+        "limit": 10,
+        "confidence": 1,
+    },
+    "question_items_by_value": {
+        "type": "ranking",
+        "filters": [],
+        "aggregations": [{"field": "total_value_usd", "operation": "sum", "groupBy": "goods_name"}],
+        "limit": 10,
+        "confidence": 1,
+    },
+    "question_items_by_transactions": {
+        "type": "ranking",
+        "filters": [],
+        "aggregations": [{"field": "declaration_number", "operation": "count", "groupBy": "goods_name"}],
+        "limit": 10,
+        "confidence": 1,
+    },
+    "question_total_value": {
+        "type": "aggregation",
+        "filters": [],
+        "aggregations": [{"field": "total_value_usd", "operation": "sum"}],
+        "confidence": 1,
+    },
+    "question_monthly_trend": {
+        "type": "trend",
+        "filters": [],
+        "aggregations": [{"field": "total_value_usd", "operation": "sum"}],
+        "confidence": 1,
+    },
+    "question_importers_for_country": {
+        "type": "ranking",
+        "filters": [{"field": "import_country", "operator": "equals", "value": "nation_7"}],
+        "aggregations": [{"field": "total_value_usd", "operation": "sum", "groupBy": "import_company_name"}],
+        "limit": 10,
+        "confidence": 1,
+    },
+}
+
+for _name, _spec in INTENTS.items():
+    QUERIES[_name] = (lambda spec: (lambda spark, sf_dir: _intent(TestbedStore(spark, sf_dir), spec)))(_spec)
+
+
+@register("data_sufficiency")
+def _data_sufficiency(s):
+    return IN.data_sufficiency(E.engine_view(s), ["declaration_number", "import_company_name", "total_value_usd", "category_name"], 100)

@@ -607,3 +607,160 @@ SELECT (SELECT COUNT(*) FROM batch) AS total_rows,
        (SELECT COUNT(*) FROM new_goods) AS new_goods
 """,
 )
+
+
+# ---------------------------------------------------------------- profile, growth, comparisons
+
+oracle(
+    "load_profile",
+    f"""
+, ws AS (
+  SELECT f.date, c.name AS company_name, g.category, f.total_value_usd
+  FROM facts f LEFT JOIN companies c ON f.company_id = c.company_id LEFT JOIN goods_cat g ON f.goods_id = g.goods_id
+  WHERE f.date >= TIMESTAMP '1998-01-01' AND f.date <= TIMESTAMP '1998-12-31' AND g.category IN ('PROMO', 'LARGE')
+), tc AS (
+  SELECT company_name AS k, COUNT(*) AS n FROM ws GROUP BY 1 ORDER BY n DESC, k LIMIT 3
+), tg AS (
+  SELECT category AS k, COUNT(*) AS n FROM ws GROUP BY 1 ORDER BY n DESC, k LIMIT 3
+)
+SELECT (SELECT COUNT(*) FROM ws) AS record_count,
+       (SELECT {iso("MIN(date)")} FROM ws) AS date_from,
+       (SELECT {iso("MAX(date)")} FROM ws) AS date_to,
+       (SELECT CAST(coalesce(SUM(total_value_usd), 0) AS DOUBLE) FROM ws) AS total_value,
+       (SELECT string_agg(k, ', ' ORDER BY n DESC, k) FROM tc) AS top_companies,
+       (SELECT string_agg(k, ', ' ORDER BY n DESC, k) FROM tg) AS top_categories
+""",
+)
+oracle(
+    "recent_six_months",
+    """
+SELECT f.company_id, CAST(SUM(f.total_value_usd) AS DOUBLE) AS total_value, COUNT(*) AS transaction_count, c.name AS company_name
+FROM facts f LEFT JOIN companies c ON f.company_id = c.company_id
+WHERE f.date >= (SELECT MAX(date) FROM facts) - INTERVAL 6 MONTH
+GROUP BY f.company_id, c.name
+""",
+)
+oracle(
+    "category_growth",
+    """
+, m AS (
+  SELECT g.category, strftime(f.date, '%Y-%m') AS month, SUM(f.total_value_usd) AS v
+  FROM facts f LEFT JOIN goods_cat g ON f.goods_id = g.goods_id GROUP BY 1, 2
+), l AS (
+  SELECT *, lag(v) OVER (PARTITION BY category ORDER BY month) AS p FROM m
+)
+SELECT category, month, CAST(v AS DOUBLE) AS total_value, CAST(p AS DOUBLE) AS previous_value,
+       CASE WHEN p > 0 THEN (CAST(v AS DOUBLE) - CAST(p AS DOUBLE)) * 100 / CAST(p AS DOUBLE) END AS growth_pct
+FROM l
+""",
+)
+oracle(
+    "compare_companies",
+    """
+, t AS (
+  SELECT company_id, SUM(total_value_usd) AS tv FROM facts GROUP BY 1
+), top2 AS (
+  SELECT company_id, row_number() OVER (ORDER BY tv DESC, company_id) AS r FROM t ORDER BY tv DESC, company_id LIMIT 2
+)
+SELECT strftime(f.date, '%Y-%m') AS month,
+       CAST(coalesce(SUM(CASE WHEN r = 1 THEN total_value_usd END), 0) AS DOUBLE) AS first_value,
+       CAST(coalesce(SUM(CASE WHEN r = 2 THEN total_value_usd END), 0) AS DOUBLE) AS second_value,
+       count_if(r = 1) AS first_count, count_if(r = 2) AS second_count
+FROM facts f JOIN top2 ON f.company_id = top2.company_id
+GROUP BY 1
+""",
+)
+oracle(
+    "recommend_companies",
+    """
+, per AS (
+  SELECT g.category, f.company_id, SUM(f.total_value_usd) AS v, COUNT(*) AS n
+  FROM facts f LEFT JOIN goods_cat g ON f.goods_id = g.goods_id GROUP BY 1, 2
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY v DESC, company_id) AS rank FROM per
+)
+SELECT r.category, r.rank, r.company_id, c.name AS company_name, CAST(r.v AS DOUBLE) AS total_value, r.n AS transaction_count
+FROM r LEFT JOIN companies c ON r.company_id = c.company_id
+WHERE r.rank <= 5
+""",
+)
+
+# ---------------------------------------------------------------- intents and the eight questions
+
+
+def _ranked(key_expr: str, value_expr: str, where: str = "", limit: int | None = None, spec_id: int = 0) -> str:
+    lim = f"WHERE rk <= {limit}" if limit else ""
+    return f"""
+SELECT {spec_id}::BIGINT AS spec_id, key, value, count{", rk AS rank" if limit else ""} FROM (
+  SELECT *, row_number() OVER (ORDER BY value DESC, key) AS rk FROM (
+    SELECT {key_expr} AS key, {value_expr} AS value, COUNT(*) AS count FROM ev {where} GROUP BY 1
+  )
+) {lim}
+"""
+
+
+_KEY_CO2 = _KEY_CO
+_KEY_GN = _KEY_GOODS
+oracle(
+    "intent_aggregation",
+    _ENGINE_VIEW
+    + f"""
+, flt AS (SELECT * FROM ev WHERE customs_office IS NOT NULL AND ({_CO} = 'asia' OR {_CO} = 'europe'))
+SELECT 0::BIGINT AS spec_id, {_KEY_CAT} AS key, CAST(SUM({_V}) AS DOUBLE) AS value, COUNT(*) AS count FROM flt GROUP BY 2
+UNION ALL
+SELECT 1::BIGINT, {_KEY_CAT}, CAST(SUM(coalesce(quantity, 0)) AS DOUBLE) / COUNT(*), COUNT(*) FROM flt GROUP BY 2
+""",
+)
+oracle(
+    "intent_detail",
+    _ENGINE_VIEW
+    + f"""
+SELECT declaration_number, {iso("date")} AS date, import_company_name, import_company_address, category_name, import_country,
+       customs_office, goods_name, CAST(quantity AS DOUBLE) AS quantity, unit, unit_price_usd,
+       CAST(total_value_usd AS DOUBLE) AS total_value_usd, month
+FROM ev
+WHERE goods_name IS NOT NULL AND contains({_norm('goods_name')}, 'gear') AND CAST(total_value_usd AS DOUBLE) > 90000
+ORDER BY total_value_usd DESC, declaration_number, date, import_company_name, import_company_address, category_name,
+         import_country, customs_office, goods_name, quantity, unit, unit_price_usd, month
+LIMIT 50
+""",
+)
+oracle(
+    "intent_trend",
+    _ENGINE_VIEW
+    + f"""SELECT strftime(date, '%Y-%m') AS month, CAST(SUM({_V}) AS DOUBLE) AS value, COUNT(*) AS count
+FROM ev WHERE category_name IS NOT NULL AND {_norm('category_name')} = 'economy' AND date IS NOT NULL GROUP BY 1""",
+)
+oracle("question_importers_by_value", _ENGINE_VIEW + _ranked(_KEY_CO, f"CAST(SUM({_V}) AS DOUBLE)", limit=10))
+oracle("question_importers_by_count", _ENGINE_VIEW + _ranked(_KEY_CO, "CAST(COUNT(*) AS DOUBLE)", limit=10))
+oracle("question_items_by_quantity", _ENGINE_VIEW + _ranked(_KEY_GOODS, "CAST(SUM(coalesce(quantity, 0)) AS DOUBLE)", limit=10))
+oracle("question_items_by_value", _ENGINE_VIEW + _ranked(_KEY_GOODS, f"CAST(SUM({_V}) AS DOUBLE)", limit=10))
+oracle("question_items_by_transactions", _ENGINE_VIEW + _ranked(_KEY_GOODS, "CAST(COUNT(*) AS DOUBLE)", limit=10))
+oracle(
+    "question_total_value",
+    _ENGINE_VIEW + f"SELECT 0::BIGINT AS spec_id, 'Total' AS key, coalesce(CAST(SUM({_V}) AS DOUBLE), 0.0) AS value, COUNT(*) AS count FROM ev",
+)
+oracle(
+    "question_monthly_trend",
+    _ENGINE_VIEW
+    + f"SELECT strftime(date, '%Y-%m') AS month, CAST(SUM({_V}) AS DOUBLE) AS value, COUNT(*) AS count FROM ev WHERE date IS NOT NULL GROUP BY 1",
+)
+oracle(
+    "question_importers_for_country",
+    _ENGINE_VIEW
+    + _ranked(
+        _KEY_CO,
+        f"CAST(SUM({_V}) AS DOUBLE)",
+        where=f"WHERE import_country IS NOT NULL AND {_norm('import_country')} = 'nation_7'",
+        limit=10,
+    ),
+)
+
+oracle(
+    "data_sufficiency",
+    _ENGINE_VIEW
+    + """SELECT COUNT(*) >= 100 AS is_sufficient, true AS is_complete, COUNT(*) AS record_count,
+       CAST([] AS VARCHAR[]) AS missing_fields,
+       CASE WHEN COUNT(*) < 100 THEN [printf('only %d records (need 100)', COUNT(*))] ELSE CAST([] AS VARCHAR[]) END AS issues
+FROM ev""",
+)
