@@ -169,8 +169,13 @@ def truncate_at_word(c: ColumnOrName, max_length: int, suffix: str = "...", comp
 
 
 def capitalize_words(c: ColumnOrName) -> Column:
-    """First letter of each space-separated word upper, rest lower."""
-    return F.initcap(_col(c))
+    """First letter of each space-separated word upper-cased with the
+    full case mapping (``ß`` -> ``SS``), the rest lower-cased.
+
+    ``initcap`` is not used: it title-cases ``ß`` as ``Ss``."""
+    words = F.split(_col(c), " ")
+    cap = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 2**31 - 1))))
+    return F.array_join(cap, " ")
 
 
 def keywords(c: ColumnOrName, min_length: int = 3, compose: bool = False) -> Column:

@@ -580,3 +580,95 @@ for _name, _spec in INTENTS.items():
 @register("data_sufficiency")
 def _data_sufficiency(s):
     return IN.data_sufficiency(E.engine_view(s), ["declaration_number", "import_company_name", "total_value_usd", "category_name"], 100)
+
+
+# ---------------------------------------------------------------- sessions
+
+from tradelens.streaming.sessions import sessionize  # noqa: E402
+
+
+@register("user_sessions_30m")
+def _user_sessions(s):
+    ev = s.table("events").select("user_id", "ts", "value")
+    out = sessionize(ev, "user_id", "ts", "30 minutes", "value")
+    return out.select("user_id", *[F.col(c) for c in ("session_start", "session_end")], "events", F.round("total_value", 6).alias("total_value")).transform(_display)
+
+
+# ---------------------------------------------------------------- text and date functions
+
+from tradelens.functions import numbers as N  # noqa: E402
+from tradelens.functions import text as X  # noqa: E402
+
+
+@register("normalize_text")
+def _normalize_text(s):
+    docs = s.table("documents")
+    norm = X.normalize_text(F.col("text"))
+    return docs.select("doc_id", F.length(norm).alias("normalized_length"), F.md5(norm).alias("normalized_md5"))
+
+
+@register("searchable_text")
+def _searchable_text(s):
+    conv = s.table("conversations")
+    st = X.searchable_text(F.col("text"), compose=False)
+    return conv.select("conv_id", "turn", F.md5(st).alias("searchable_md5"), F.length(st).alias("searchable_length"))
+
+
+@register("keywords")
+def _keywords(s):
+    docs = s.table("documents")
+    kw = X.keywords(F.col("text"), 3)
+    return docs.select("doc_id", F.size(kw).alias("keyword_count"), F.md5(F.array_join(kw, " ")).alias("keywords_md5"))
+
+
+@register("keyword_counts")
+def _keyword_counts(s):
+    docs = s.table("documents").select("doc_id", X.keywords(F.col("text"), 3).alias("kw"))
+    terms = docs.select("doc_id", F.explode("kw").alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("documents"))
+
+
+@register("truncate_words")
+def _truncate_words(s):
+    docs = s.table("documents")
+    return docs.select("doc_id", X.truncate_at_word(F.col("text"), 80).alias("preview"))
+
+
+@register("capitalize_words")
+def _capitalize_words(s):
+    conv = s.table("conversations")
+    cap = X.capitalize_words(F.col("text"))
+    return conv.select("conv_id", "turn", F.md5(cap).alias("capitalized_md5"))
+
+
+@register("short_name")
+def _short_name(s):
+    docs = s.table("documents")
+    short = X.shorten_name(F.col("text"))
+    m = X.shortening_metrics(F.col("text"), short)
+    return docs.select(
+        "doc_id",
+        short.alias("short_name"),
+        m["original_length"].cast("long").alias("original_length"),
+        m["short_length"].cast("long").alias("short_length"),
+        F.round(m["compression_ratio"], 9).alias("compression_ratio"),
+    )
+
+
+@register("date_rollover")
+def _date_rollover(s):
+    """Day-of-month of the order date combined with the ship month: the
+    combination is often impossible (31 Feb) and must roll over (D1); the
+    strict DD/MM/YYYY parser (D4) rejects exactly those."""
+    li = s.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+    o = s.table("orders").select("o_orderkey", "o_orderdate")
+    df = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    y, m, d = F.year("l_shipdate"), F.month("l_shipdate"), F.dayofmonth("o_orderdate")
+    text = F.format_string("%02d/%02d/%04d", d, m, y)
+    return df.select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        N.date_rollover(y, m, d).cast("string").alias("rolled_date"),
+        N.parse_dmy_strict(text).cast("string").alias("strict_date"),
+    )

@@ -764,3 +764,103 @@ oracle(
        CASE WHEN COUNT(*) < 100 THEN [printf('only %d records (need 100)', COUNT(*))] ELSE CAST([] AS VARCHAR[]) END AS issues
 FROM ev""",
 )
+
+
+# ---------------------------------------------------------------- sessions and text
+
+oracle(
+    "user_sessions_30m",
+    f"""
+, e AS (
+  SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events
+), s AS (
+  SELECT *, SUM(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+            OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid
+  FROM e
+)
+SELECT user_id, {iso("MIN(ts)")} AS session_start, {iso("MAX(ts)")} AS session_end, COUNT(*) AS events,
+       round(SUM(value), 6) AS total_value
+FROM s GROUP BY user_id, sid
+""",
+)
+
+# Java's (?U)\\s, spelled out for RE2
+_WS_CLASS = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+def _normsql(expr: str) -> str:
+    return f"lower(trim(regexp_replace({expr}, '{_WS_CLASS}', ' ', 'g')))"
+
+
+oracle(
+    "normalize_text",
+    f"SELECT doc_id, length({_normsql('text')}) AS normalized_length, md5({_normsql('text')}) AS normalized_md5 FROM documents",
+)
+_VI_FROM = "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
+_VI_TO = "aaaaaaaaaaaaaaaaadeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyy"
+_SEARCH = f"translate(lower(trim(regexp_replace(text, '{_WS_CLASS}', ' ', 'g'))), '{_VI_FROM}', '{_VI_TO}')"
+oracle(
+    "searchable_text",
+    f"SELECT conv_id, turn, md5({_SEARCH}) AS searchable_md5, length({_SEARCH}) AS searchable_length FROM conversations",
+)
+_STOP = "['và','hoặc','nhưng','của','cho','với','từ','trong','ngoài','trên','dưới','về','theo','để','đến','đang','đã','sẽ','có','là','các','những','này','đó','kia','một','hai','ba']"
+_KW = f"list_filter(regexp_split_to_array(lower(trim(regexp_replace(text, '{_WS_CLASS}', ' ', 'g'))), '{_WS_CLASS}'), lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w))"
+oracle(
+    "keywords",
+    f"SELECT doc_id, len({_KW}) AS keyword_count, md5(array_to_string({_KW}, ' ')) AS keywords_md5 FROM documents",
+)
+oracle(
+    "keyword_counts",
+    f"""
+, t AS (SELECT doc_id, unnest({_KW}) AS term FROM documents)
+SELECT term, COUNT(*) AS occurrences, COUNT(DISTINCT doc_id) AS documents FROM t GROUP BY term
+""",
+)
+oracle(
+    "truncate_words",
+    """
+, c AS (SELECT doc_id, text, substr(text, 1, 80) AS cut FROM documents)
+, p AS (SELECT *, CASE WHEN strpos(reverse(cut), ' ') = 0 THEN -1 ELSE length(cut) - strpos(reverse(cut), ' ') END AS ls FROM c)
+SELECT doc_id,
+       CASE WHEN length(text) <= 80 THEN text
+            WHEN ls > 64 THEN substr(cut, 1, ls) || '...'
+            ELSE cut || '...' END AS preview
+FROM p
+""",
+)
+oracle(
+    "capitalize_words",
+    """SELECT conv_id, turn,
+       md5(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN substr(w, 1, 1) = 'ß' THEN 'SS' ELSE upper(substr(w, 1, 1)) END || lower(substr(w, 2))), ' ')) AS capitalized_md5
+FROM conversations""",
+)
+_SHORT = """CASE
+  WHEN length(text) <= 100 THEN text
+  WHEN strpos(text, ',') - 1 > 20 AND strpos(text, ',') - 1 < 100 THEN trim(substr(text, 1, strpos(text, ',') - 1))
+  WHEN strpos(text, ';') - 1 > 20 AND strpos(text, ';') - 1 < 100 THEN trim(substr(text, 1, strpos(text, ';') - 1))
+  WHEN strpos(text, '-') - 1 > 20 AND strpos(text, '-') - 1 < 100 THEN trim(substr(text, 1, strpos(text, '-') - 1))
+  WHEN strpos(text, '(') - 1 > 20 AND strpos(text, '(') - 1 < 100 THEN trim(substr(text, 1, strpos(text, '(') - 1))
+  ELSE substr(text, 1, 97) || '...' END"""
+oracle(
+    "short_name",
+    f"""
+, s AS (SELECT doc_id, text, {_SHORT} AS short_name FROM documents)
+SELECT doc_id, short_name, CAST(length(text) AS BIGINT) AS original_length, CAST(length(short_name) AS BIGINT) AS short_length,
+       CASE WHEN length(text) > 0 THEN round(length(short_name) / length(text), 9) END AS compression_ratio
+FROM s
+""",
+)
+oracle(
+    "date_rollover",
+    """
+, j AS (
+  SELECT l_orderkey, l_partkey, l_suppkey, year(l_shipdate) AS y, month(l_shipdate) AS m, day(o_orderdate) AS d
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+), r AS (
+  SELECT *, CAST(make_date(y, 1, 1) + to_months(m - 1) + to_days(d - 1) AS DATE) AS rolled FROM j
+)
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(rolled AS VARCHAR) AS rolled_date,
+       CASE WHEN year(rolled) = y AND month(rolled) = m AND day(rolled) = d THEN CAST(rolled AS VARCHAR) END AS strict_date
+FROM r
+""",
+)
