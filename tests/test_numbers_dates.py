@@ -1,0 +1,52 @@
+"""N1, N2, N4, D1, D4 against the cases of FIXTURES.md §2.3."""
+
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from tradelens.functions import numbers as N
+
+
+def _one(spark, expr, rows, schema="v string"):
+    return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
+
+
+def test_european_number(spark):
+    rows = [("24.410,00",), ("1.2,3x",), ("1.5",), ("-",), ("—",), ("",), (None,), ("abc",), ("1.234.567,89",), ("-5",)]
+    got = _one(spark, N.european_number(F.col("v")).cast("double"), rows)
+    assert got == [24410.0, 12.3, 15.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1234567.89, -5.0]
+    nullable = _one(spark, N.european_number(F.col("v"), default=None), [("abc",), ("-",)])
+    assert nullable == [None, Decimal("0E-10")]
+
+
+def test_leading_int(spark):
+    got = _one(spark, N.leading_int(F.col("v")), [("9/2/24",), ("2024",), ("abc",), (" 12x",), (None,)])
+    assert got == [9, 2024, 0, 12, 0]
+
+
+def test_date_rollover(spark):
+    rows = [(2024, 9, 2), (2024, 2, 31), (2023, 2, 29), (2024, 4, 31)]
+    df = spark.createDataFrame(rows, "y int, m int, d int")
+    got = [str(r[0]) for r in df.select(N.date_rollover("y", "m", "d")).collect()]
+    assert got == ["2024-09-02", "2024-03-02", "2023-03-01", "2024-05-01"]
+
+
+def test_parse_dmy_strict(spark):
+    got = _one(spark, N.parse_dmy_strict(F.col("v")).cast("string"), [("31/02/2024",), ("02/09/2024",), ("2/9",), ("x/y/z",)])
+    assert got == [None, "2024-09-02", None, None]
+
+
+def test_js_round2_and_safe_div(spark):
+    df = spark.createDataFrame([(1.005, 2.0, 0.0), (2.675, 3.0, 4.0), (-1.005, 1.0, -1.0)], "x double, v double, q double")
+    r = df.select(N.js_round2("x"), N.safe_div("v", "q")).collect()
+    assert [x[1] for x in r] == [0.0, 0.75, 0.0]
+    # Math.round(x*100)/100 on doubles: 1.005*100 = 100.49999999999999
+    assert [x[0] for x in r] == [1.0, 2.68, -1.0]
+
+
+def test_formatting(spark):
+    df = spark.createDataFrame([(1234.0,), (2500000.0,), (3e9,), (12.0,)], "x double")
+    got = [r[0] for r in df.select(N.compact_number("x")).collect()]
+    assert got == ["1.2K", "2.5M", "3.0B", "12"]
+    assert _one(spark, N.format_vi_number(F.col("x"), 2), [(1234567.891,)], "x double") == ["1.234.567,89"]
+    assert _one(spark, N.format_usd(F.col("x")), [(1234.5,)], "x double") == ["$1,234.50"]

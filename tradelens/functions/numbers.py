@@ -118,7 +118,9 @@ def format_vnd(c: ColumnOrName) -> Column:
 
 def date_rollover(year: ColumnOrName, month: ColumnOrName, day: ColumnOrName) -> Column:
     """``new Date(y, m-1, d)`` — out-of-range days roll over (31 Feb -> 2 Mar)."""
-    base = F.make_date(_col(year), F.lit(1), F.lit(1))
+    y = _col(year)
+    # make_date fails under ANSI outside 1..9999: such years give NULL instead
+    base = F.when(y.between(1, 9999), F.make_date(y, F.lit(1), F.lit(1)))
     return F.date_add(F.add_months(base, _col(month) - 1), _col(day) - 1)
 
 
@@ -136,9 +138,10 @@ def parse_dmy_strict(c: ColumnOrName) -> Column:
     """``DD/MM/YYYY`` -> date; impossible dates (31/02) give NULL."""
     parts = F.split(_col(c), "/")
     ok = F.size(parts) == 3
-    d = leading_int(parts.getItem(0), None)
-    m = leading_int(parts.getItem(1), None)
-    y = leading_int(parts.getItem(2), None)
+    # F.get returns NULL outside the array (getItem fails under ANSI)
+    d = leading_int(F.get(parts, 0), None)
+    m = leading_int(F.get(parts, 1), None)
+    y = leading_int(F.get(parts, 2), None)
     rolled = date_rollover(y, m, d)
     valid = ok & (F.year(rolled) == y) & (F.month(rolled) == m) & (F.dayofmonth(rolled) == d)
     return F.when(valid, rolled)
