@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tradelens.operators import ingest as I
 from tradelens.schema import CSV_COLUMNS
-from tradelens.sources.customs_csv import ORDER_COLUMNS, read_stream_csv, with_source_row
+from tradelens.sources.customs_csv import ORDER_COLUMNS, read_stream_csv, with_batch_positions
 
 
 def _existing(spark: SparkSession, root: str, name: str) -> DataFrame | None:
@@ -32,7 +32,7 @@ def import_batch(batch: DataFrame, batch_id: int, store_root: str, mode: str = "
     """One micro-batch of the stream import (called by ``foreachBatch``)."""
     spark = batch.sparkSession
     root = store_root.rstrip("/")
-    rows = with_source_row(batch)
+    rows = with_batch_positions(batch)
     ex = {n: _existing(spark, root, n) for n in ("transactions", "companies", "goods", "categories")}
     res = I.plan_import(spark, rows, ex["transactions"], ex["companies"], ex["goods"], ex["categories"], mode)
     if not res.accepted:
