@@ -73,3 +73,26 @@ def test_classify_pending_job(spark):
     rows = {r.goods_id: (r.category_id, r.classified_by) for r in res.goods.collect()}
     assert rows[1] == (20, "rules") and rows[3] == (10, "rules") and rows[2][1] == "rules"
     assert res.goods.count() == 3
+
+
+def test_hot_user_split_across_slices(spark):
+    """One user holding almost all events is cut into several range slices;
+    sessions crossing slice boundaries must still be merged."""
+    import random
+
+    rnd = random.Random(7)
+    t, events = T0, []
+    for _ in range(3000):
+        t += dt.timedelta(minutes=rnd.choice([1, 5, 29, 30, 31, 90]))
+        events.append((1, t, 1.0))
+    events += [(2, T0, 1.0), (3, T0, 1.0)]
+    df = spark.createDataFrame(events, "user_id long, ts timestamp_ntz, value double")
+    got = sorted((r.user_id, r.session_start, r.events) for r in sessionize(df, slices=16).collect())
+    # brute force: walk the sorted events of each user
+    expect, last = [], {}
+    for u, ts, _ in sorted(events, key=lambda e: (e[0], e[1])):
+        if u not in last or ts - last[u] > dt.timedelta(minutes=30):
+            expect.append([u, ts, 0])
+        expect[-1][2] += 1
+        last[u] = ts
+    assert got == sorted(tuple(e) for e in expect)

@@ -2,34 +2,68 @@
 
 The reference keeps a chat session alive while it is touched at least every
 30 minutes (a gap of exactly 30 minutes still extends it).  The same rule
-over any ``(user, timestamp)`` log is Spark's ``session_window``: events
-join a session while they arrive within ``gap`` of the previous one.
-
-Batch and streaming share the aggregation.  For batch, Spark merges
-sessions inside each map partition before the shuffle (``MergingSessions``
-partial step), so a very active user does not ship every event to one
-task; streaming keeps open sessions in the state store and closes them
-when the watermark passes their end.
+over any ``(user, timestamp)`` log:
+
+* **batch** (:func:`sessionize`) is skew-proof.  A plain
+  ``groupBy(user, session_window)`` merges sessions only after shuffling by
+  user, so one very active user would be sessionised by one task.  Instead
+  the events are range-partitioned on ``(user, ts)`` — which cuts a hot
+  user's timeline into contiguous time slices on different tasks — each
+  slice is sessionised with windows over ``(user, slice)``, and the
+  per-slice partial sessions (a handful per user and slice) are merged
+  across slice boundaries with a second, small window.
+* **streaming** (:func:`stream_sessions`) uses ``session_window`` with a
+  watermark; open sessions live in the state store and are emitted when the
+  watermark passes their end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sessionize(df: DataFrame, user_col: str = "user_id", ts_col: str = "ts", gap: str = "30 minutes", value_col: str | None = "value") -> DataFrame:
+def sessionize(
+    df: DataFrame,
+    user_col: str = "user_id",
+    ts_col: str = "ts",
+    gap: str = "30 minutes",
+    value_col: str | None = "value",
+    slices: int | None = None,
+) -> DataFrame:
     """One row per session: user, session_start (first event),
-    session_end (last event), events, total_value."""
-    aggs = [
-        F.min(ts_col).alias("session_start"),
-        F.max(ts_col).alias("session_end"),
-        F.count(F.lit(1)).alias("events"),
-    ]
+    session_end (last event), events, total_value.
+
+    An event more than ``gap`` after the previous event of the same user
+    starts a new session.  ``slices`` defaults to the shuffle partitions."""
+    spark = df.sparkSession
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = F.expr(f"INTERVAL {gap}")
+    val = F.col(value_col) if value_col else F.lit(None).cast("double")
+    ev = df.select(F.col(user_col).alias("_u"), F.col(ts_col).alias("_ts"), val.alias("_v")).filter(F.col("_ts").isNotNull())
+    sliced = ev.repartitionByRange(n, "_u", "_ts").withColumn("_slice", F.spark_partition_id())
+    w = Window.partitionBy("_u", "_slice").orderBy("_ts")
+    prev = F.lag("_ts").over(w)
+    flagged = sliced.withColumn("_new", F.when(prev.isNull() | (F.col("_ts") > prev + step), 1).otherwise(0))
+    flagged = flagged.withColumn("_lsid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    partial = flagged.groupBy("_u", "_slice", "_lsid").agg(
+        F.min("_ts").alias("_start"), F.max("_ts").alias("_end"), F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum")
+    )
+    # merge partial sessions that continue across a slice boundary
+    w2 = Window.partitionBy("_u").orderBy("_start", "_slice", "_lsid")
+    prev_end = F.max("_end").over(w2.rowsBetween(Window.unboundedPreceding, -1))
+    merged = partial.withColumn("_new", F.when(prev_end.isNull() | (F.col("_start") > prev_end + step), 1).otherwise(0))
+    merged = merged.withColumn("_sid", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
+    out = merged.groupBy("_u", "_sid").agg(
+        F.min("_start").alias("session_start"),
+        F.max("_end").alias("session_end"),
+        F.sum("_n").alias("events"),
+        F.sum("_sum").alias("total_value"),
+    )
+    cols = [F.col("_u").alias(user_col), "session_start", "session_end", "events"]
     if value_col:
-        aggs.append(F.sum(value_col).alias("total_value"))
-    out = df.groupBy(F.col(user_col), F.session_window(F.col(ts_col), gap).alias("_w")).agg(*aggs)
-    return out.drop("_w")
+        cols.append("total_value")
+    return out.select(*cols)
 
 
 def stream_sessions(events: DataFrame, user_col: str = "user_id", ts_col: str = "ts", gap: str = "30 minutes", watermark: str = "1 hour", value_col: str | None = "value") -> DataFrame:
