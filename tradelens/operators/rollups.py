@@ -568,3 +568,34 @@ def transactions_summary(store: Store, **filters) -> DataFrame:
         js_round2(F.sum("total_value_usd")).alias("total_value"),
         js_round2(F.sum("quantity")).alias("total_quantity"),
     ).select("total", "total_value", "total_quantity", safe_div("total_value", "total_quantity").alias("average_unit_price"))
+
+
+# ---------------------------------------------------------------- search and point lookups
+
+
+def company_name_search(store: Store, query: str | None, limit: int = 20) -> DataFrame:
+    """L7 + P3 + L6: companies whose name matches ``query`` (case-insensitive
+    regex), at most ``limit``, by name; a query under 2 characters returns
+    nothing."""
+    from tradelens.operators.listing import short_query_guard
+
+    comp = store.companies()
+    if query is None or len(query) < 2:
+        return short_query_guard(comp.select("company_id", "name", "address"), query)
+    hits = comp.filter(regex_ci(F.col("name"), query)).select("company_id", "name", F.coalesce("address", F.lit("")).alias("address"))
+    return hits.orderBy("name", "company_id").limit(limit)
+
+
+def companies_importing(store: Store, goods_pattern: str) -> DataFrame:
+    """Companies that import a goods item whose raw name matches the
+    regex (``GET /companies?goods=...``) — a semi-join of the company
+    dimension on the facts of those goods."""
+    g = store.goods().filter(regex_ci(F.col("raw_name"), goods_pattern)).select("goods_id")
+    tx = store.facts(["company_id", "goods_id"]).join(g, "goods_id", "left_semi").select("company_id")
+    return store.companies().join(tx, "company_id", "left_semi")
+
+
+def transaction_by_key(store: Store, declaration_number: str, line_no: int | None = None) -> DataFrame:
+    """Point lookup of the lines of one declaration (and line)."""
+    tx = store.facts().filter(F.col("declaration_number") == declaration_number)
+    return tx if line_no is None else tx.filter(F.col("line_no") == line_no)

@@ -672,3 +672,54 @@ def _date_rollover(s):
         N.date_rollover(y, m, d).cast("string").alias("rolled_date"),
         N.parse_dmy_strict(text).cast("string").alias("strict_date"),
     )
+
+
+# ---------------------------------------------------------------- remaining inventory items
+
+
+@register("company_aggregates_raw")
+def _company_aggregates_raw(s):
+    return R.company_rollup(s, round_values=False)
+
+
+@register("unclassified_count")
+def _unclassified_count(s):
+    return R.unclassified_count(s)
+
+
+@register("company_name_search")
+def _company_name_search(s):
+    return R.company_name_search(s, "customer#00000012", 20)
+
+
+@register("company_name_search_short")
+def _company_name_search_short(s):
+    return R.company_name_search(s, "c", 20)
+
+
+@register("companies_importing")
+def _companies_importing(s):
+    return R.companies_importing(s, "^small ")
+
+
+@register("remove_diacritics")
+def _remove_diacritics(s):
+    docs = s.table("documents")
+    x = X.remove_diacritics(F.col("text"))
+    return docs.select("doc_id", F.md5(x).alias("plain_md5"))
+
+
+@register("nfc_text")
+def _nfc_text(s):
+    conv = s.table("conversations")
+    return conv.select("conv_id", "turn", F.md5(X.normalize_vietnamese(F.col("text"), compose=True)).alias("nfc_md5"))
+
+
+from tradelens.operators import enrich as EN  # noqa: E402
+
+
+@register("classify_goods")
+def _classify_goods(s):
+    g = s.goods().select("goods_id", "raw_name")
+    out = EN.classify_names(g, "raw_name")
+    return out.select("goods_id", F.col("_c.category").alias("category"), F.col("_c.confidence").alias("confidence"), F.col("_short").alias("short_name"))

@@ -864,3 +864,60 @@ SELECT l_orderkey, l_partkey, l_suppkey, CAST(rolled AS VARCHAR) AS rolled_date,
 FROM r
 """,
 )
+
+
+# ---------------------------------------------------------------- remaining inventory items
+
+oracle(
+    "company_aggregates_raw",
+    f"""
+SELECT f.company_id, c.name, c.address, COUNT(*) AS total_transactions,
+       CAST(SUM(f.total_value_usd) AS DOUBLE) AS total_import_value, CAST(SUM(f.quantity) AS DOUBLE) AS total_quantity,
+       COUNT(DISTINCT f.goods_id) AS unique_goods_count,
+       {iso("MIN(f.date)")} AS first_transaction_date, {iso("MAX(f.date)")} AS last_transaction_date
+FROM facts f JOIN companies c ON f.company_id = c.company_id
+GROUP BY f.company_id, c.name, c.address
+""",
+)
+oracle("unclassified_count", "SELECT COUNT(*) FILTER (WHERE classified_by = 'fallback') AS count FROM goods")
+oracle(
+    "company_name_search",
+    "SELECT company_id, name, address FROM companies WHERE regexp_matches(name, 'customer#00000012', 'i') ORDER BY name, company_id LIMIT 20",
+)
+oracle("company_name_search_short", "SELECT company_id, name, address FROM companies WHERE false")
+oracle(
+    "companies_importing",
+    """SELECT company_id, name, address FROM companies WHERE company_id IN (
+  SELECT f.company_id FROM facts f WHERE f.goods_id IN (SELECT goods_id FROM goods WHERE regexp_matches(raw_name, '^small ', 'i')))""",
+)
+oracle(
+    "remove_diacritics",
+    "SELECT doc_id, md5(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D'))) AS plain_md5 FROM documents",
+)
+oracle(
+    "nfc_text",
+    f"SELECT conv_id, turn, md5(trim(regexp_replace(nfc_normalize(text), '{_WS_CLASS}', ' ', 'g'))) AS nfc_md5 FROM conversations",
+)
+
+
+def _rule_sql() -> str:
+    from tradelens.operators.enrich import CATEGORY_HINTS, _strip
+    from tradelens.schema import CATEGORIES
+
+    text = f"(' ' || translate(lower(trim(regexp_replace(raw_name, '{_WS_CLASS}', ' ', 'g'))), '{_VI_FROM}', '{_VI_TO}') || ' ')"
+    whens = []
+    for cat in [c for c in CATEGORIES if c in CATEGORY_HINTS]:
+        conds = " OR ".join(f"contains({text}, ' {_strip(h)} ')" for h in CATEGORY_HINTS[cat])
+        whens.append(f"WHEN {conds} THEN '{cat}'")
+    return "CASE " + " ".join(whens) + " ELSE 'Khác' END"
+
+
+oracle(
+    "classify_goods",
+    f"""
+, c AS (SELECT goods_id, raw_name, {_rule_sql()} AS category FROM goods)
+SELECT goods_id, category, CASE WHEN category = 'Khác' THEN 0.5 ELSE 0.8 END AS confidence,
+       {_SHORT.replace('text', 'raw_name')} AS short_name
+FROM c
+""",
+)
