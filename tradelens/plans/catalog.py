@@ -16,11 +16,14 @@ from tradelens.sources.testbed import TestbedStore
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+# the same queries as functions of a Store (bench runs them on a Parquet star)
+STORE_QUERIES: dict[str, Callable] = {}
 
 
 def register(name: str):
     def deco(fn: Callable[[TestbedStore], DataFrame]) -> Callable[[TestbedStore], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: fn(TestbedStore(spark, sf_dir))
+        STORE_QUERIES[name] = fn
         return fn
 
     return deco
@@ -574,7 +577,7 @@ INTENTS = {
 }
 
 for _name, _spec in INTENTS.items():
-    QUERIES[_name] = (lambda spec: (lambda spark, sf_dir: _intent(TestbedStore(spark, sf_dir), spec)))(_spec)
+    register(_name)((lambda spec: (lambda s: _intent(s, spec)))(_spec))
 
 
 @register("data_sufficiency")

@@ -80,22 +80,24 @@ class ParquetStore(FrameStore):
         self.root = root
 
 
-def write_store(store: Store, root: str, mode: str = "overwrite") -> ParquetStore:
+def write_store(store: Store, root: str, mode: str = "overwrite", partitions: int | None = None) -> ParquetStore:
     """Write the star as Parquet.
 
     The fact table is partitioned by ``year, month`` (date filters prune
-    whole folders) and sorted by company within each file so Parquet
-    min/max statistics skip row groups for importer filters.  The
-    repartition on the partition columns plus a salt bounds the files per
-    folder without sending a hot month to one task.
-    """
+    whole folders).  Rows are range-partitioned on ``(year, month,
+    company_id)`` first: each write task owns a contiguous slice of months
+    and companies, so a folder gets few, large files sorted by company
+    (Parquet min/max statistics then skip row groups for importer filters),
+    and a month that holds a third of the data is still split across many
+    tasks by company.  ``partitions`` defaults to the shuffle partitions;
+    size it to about one task per 128-512 MB of facts."""
+    spark = store.spark
     root = root.rstrip("/")
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = store.facts()
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64("declaration_number", "goods_id"), F.lit(16)))
     (
-        salted.repartition(*FACT_PARTITIONS, "_salt")
-        .sortWithinPartitions("company_id", "date")
-        .drop("_salt")
+        facts.repartitionByRange(n, *FACT_PARTITIONS, "company_id")
+        .sortWithinPartitions(*FACT_PARTITIONS, "company_id", "date")
         .write.mode(mode)
         .partitionBy(*FACT_PARTITIONS)
         .parquet(f"{root}/transactions")
@@ -103,4 +105,4 @@ def write_store(store: Store, root: str, mode: str = "overwrite") -> ParquetStor
     store.companies().write.mode(mode).parquet(f"{root}/companies")
     store.goods().write.mode(mode).parquet(f"{root}/goods")
     store.categories().write.mode(mode).parquet(f"{root}/categories")
-    return ParquetStore(store.spark, root)
+    return ParquetStore(spark, root)

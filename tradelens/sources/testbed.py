@@ -108,9 +108,13 @@ class TestbedStore(Store):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # one relation per table: file listing and schema are resolved once
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def facts(self, columns: Sequence[str] | None = None) -> DataFrame:
         columns = list(columns or DEFAULT_FACT_COLUMNS)
@@ -195,3 +199,54 @@ class TestbedStore(Store):
 
 def testbed(spark: SparkSession, sf_dir: str) -> TestbedStore:
     return TestbedStore(spark, sf_dir)
+
+
+def export_customs_csv(store: Store, path: str, sep: str = ";") -> None:
+    """Write the fact lines as a customs CSV (24 headers, European numbers,
+    day/month/year cells) — stand-in input for the import job; renaming and
+    formatting only.  Two value mappings keep the rows inside the customs
+    domain the validator enforces: years move by +25 (the test data spans
+    1995-2001, the validator accepts 2000-2100) and the return flag A/N/R
+    names the delivery terms FOB/CIF/CFR."""
+    from tradelens.functions.numbers import format_vi_number
+    from tradelens.schema import CSV_COLUMNS
+
+    f = store.facts(
+        [
+            "year", "month", "day", "import_company_raw_name", "hs_code", "goods_raw_name", "tax_rate", "unit", "quantity",
+            "unit_price_usd", "total_value_usd", "usd_rate", "payment_method", "delivery_terms", "transport_mode",
+            "export_country", "import_country", "customs_office", "export_type", "declaration_number",
+        ]
+    )
+
+    def num(c: str, d: int) -> Column:
+        return format_vi_number(F.col(c), d)
+
+    cells = {
+        "Năm": (F.col("year") + 25).cast("string"),
+        "Tháng": F.col("month").cast("string"),
+        "Ngày": F.col("day").cast("string"),
+        "Tên Cty nhập khẩu": F.col("import_company_raw_name"),
+        "Địa chỉ Cty nhập khẩu": F.lit(""),
+        "HS code": F.col("hs_code"),
+        "Tên hàng": F.col("goods_raw_name"),
+        "Thuế suất XNK": num("tax_rate", 2),
+        "Đơn vị tính": F.col("unit"),
+        "Số Lượng": num("quantity", 2),
+        "Đơn giá Nguyên tệ": num("unit_price_usd", 4),
+        "Đơn giá khai báo(USD)": num("unit_price_usd", 4),
+        "Trị giá USD": num("total_value_usd", 2),
+        "Nguyên tệ": F.lit("USD"),
+        "Tỷ giá nguyên tệ": F.lit("1"),
+        "Tỷ giá USD": num("usd_rate", 2),
+        "Mã phương thức thanh toán": F.col("payment_method"),
+        "Điều kiện giao hàng": F.when(F.col("delivery_terms") == "A", "FOB").when(F.col("delivery_terms") == "N", "CIF").otherwise("CFR"),
+        "Phương tiện vận chuyển": F.col("transport_mode"),
+        "Tên nuớc xuất khẩu": F.col("export_country"),
+        "Tên nước nhập khẩu": F.col("import_country"),
+        "Chi cục hải quan": F.col("customs_office"),
+        "Loại hình": F.col("export_type"),
+        "Số tờ khai": F.col("declaration_number"),
+    }
+    out = f.select(*[cells[c].alias(c) for c in CSV_COLUMNS])
+    out.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
