@@ -54,12 +54,16 @@ def synonyms_py(a: str, b: str, extra: dict[str, list[str]] | None = None, mode:
     return False
 
 
-def synonym_match(c: Column, value: str, extra: dict[str, list[str]] | None = None, mode: str = "reference") -> Column:
-    """P19 for a column against a literal: boolean Column (NULL-safe false)."""
+def synonym_match(
+    c: Column, value: str, extra: dict[str, list[str]] | None = None, mode: str = "reference", normalized: bool = False
+) -> Column:
+    """P19 for a column against a literal: boolean Column (NULL-safe false).
+
+    ``normalized=True`` says ``c`` already holds ``normalize_text`` output."""
     if mode not in ("reference", "exact"):
         raise ValueError(f"unknown synonym mode {mode!r}")
     norm_value = normalize_text_py(value)
-    field = normalize_text(c)
+    field = c if normalized else normalize_text(c)
     conds = [field == F.lit(norm_value)]
     for variants in merged_groups(extra).values():
         norm = sorted({normalize_text_py(v) for v in variants})

@@ -103,8 +103,9 @@ def _js_number_py(v) -> float | None:
     return None
 
 
-def _text_match(field_str: Column, value: str, strategy: str, threshold: int, opts: FilterOptions) -> Column:
-    norm_f = normalize_text(field_str, remove_accents=opts.remove_diacritics)
+def _text_match(field_str: Column, value: str, strategy: str, threshold: int, opts: FilterOptions, norm_f: Column | None = None) -> Column:
+    if norm_f is None:
+        norm_f = normalize_text(field_str, remove_accents=opts.remove_diacritics)
     norm_v = F.lit(normalize_text_py(value, remove_accents=opts.remove_diacritics))
     if strategy == "exact":
         return norm_f == norm_v
@@ -117,17 +118,42 @@ def _text_match(field_str: Column, value: str, strategy: str, threshold: int, op
 
 
 def filter_column(f: FilterExpression, schema: T.StructType, opts: FilterOptions = FilterOptions()) -> Column:
-    """One filter -> boolean Column (never NULL; NULL field -> false)."""
+    """One filter -> boolean Column (never NULL; NULL field -> false).
+
+    A text field is normalised ONCE per row and the normalised value is
+    bound to a lambda variable (``exists(array(norm), n -> pred(n))``).
+    Without the binding Catalyst pushes the predicate below any projection
+    and repeats the normalising regex in every synonym and substring test
+    (measured 30x slower on 600k rows)."""
     validate_filter(f, schema.fieldNames())
     dt = schema[f.field].dataType
     c = F.col(f.field)
+    if isinstance(dt, T.StringType) and f.operator in ("equals", "contains", "startsWith", "in"):
+        plain = normalize_text(c)
+        if opts.remove_diacritics:
+            bound = F.struct(plain.alias("p"), normalize_text(c, remove_accents=True).alias("o"))
+            pred = F.exists(F.array(bound), lambda s: _predicate(f, c, dt, opts, s["p"], s["o"]))
+        else:
+            pred = F.exists(F.array(plain), lambda n: _predicate(f, c, dt, opts, n, n))
+    else:
+        pred = _predicate(f, c, dt, opts, None, None)
+    return c.isNotNull() & F.coalesce(pred, F.lit(False))
+
+
+def _predicate(f: FilterExpression, c: Column, dt: T.DataType, opts: FilterOptions, norm_plain: Column | None, norm_opt: Column | None) -> Column:
     is_str = isinstance(dt, T.StringType)
     strategy = {"normalized": "contains", "case-insensitive": "contains"}.get(f.match_strategy, f.match_strategy)
     v = f.value
+    pre = norm_plain is not None
 
     def syn(value: str) -> Column:
+        if pre:
+            return synonym_match(norm_plain, value, opts.synonyms, opts.synonym_mode, normalized=True)
         return synonym_match(c, value, opts.synonyms, opts.synonym_mode)
 
+    def norm_field() -> Column:
+        return norm_opt if pre else normalize_text(c, remove_accents=opts.remove_diacritics)
+
     def strict_eq(value) -> Column:
         # JS ===: a string never equals a number and vice versa
         if is_str != isinstance(value, str) or isinstance(value, (list, dict)) or value is None:
@@ -139,60 +165,50 @@ def filter_column(f: FilterExpression, schema: T.StructType, opts: FilterOptions
     op = f.operator
     if op == "equals":
         if isinstance(v, str) and is_str:
-            norm_f = normalize_text(c, remove_accents=opts.remove_diacritics)
-            pred = syn(v) | (norm_f == F.lit(normalize_text_py(v, remove_accents=opts.remove_diacritics)))
-        else:
-            pred = strict_eq(v)
-    elif op == "contains":
+            return syn(v) | (norm_field() == F.lit(normalize_text_py(v, remove_accents=opts.remove_diacritics)))
+        return strict_eq(v)
+    if op == "contains":
         if isinstance(v, str):
-            fs = c if is_str else _js_string(c, dt)
-            pred = synonym_match(fs, v, opts.synonyms, opts.synonym_mode) | _text_match(fs, v, strategy, int(f.fuzzy_threshold), opts)
-        else:
-            pred = F.contains(_js_string(c, dt), F.lit(str(v)))
-    elif op == "startsWith":
+            if is_str:
+                return syn(v) | _text_match(c, v, strategy, int(f.fuzzy_threshold), opts, norm_field())
+            fs = _js_string(c, dt)
+            return synonym_match(fs, v, opts.synonyms, opts.synonym_mode) | _text_match(fs, v, strategy, int(f.fuzzy_threshold), opts)
+        return F.contains(_js_string(c, dt), F.lit(str(v)))
+    if op == "startsWith":
         if isinstance(v, str):
-            fs = c if is_str else _js_string(c, dt)
-            pred = _text_match(fs, v, "startsWith", int(f.fuzzy_threshold), opts)
-        else:
-            pred = _js_string(c, dt).startswith(str(v))
-    elif op in ("greaterThan", "lessThan"):
+            if is_str:
+                return _text_match(c, v, "startsWith", int(f.fuzzy_threshold), opts, norm_field())
+            return _text_match(_js_string(c, dt), v, "startsWith", int(f.fuzzy_threshold), opts)
+        return _js_string(c, dt).startswith(str(v))
+    if op in ("greaterThan", "lessThan"):
         nv = _js_number_py(v)
         if nv is None:
-            pred = F.lit(False)
-        else:
-            num = js_number(c, dt.simpleString())
-            pred = (num > F.lit(nv)) if op == "greaterThan" else (num < F.lit(nv))
-    elif op == "between":
+            return F.lit(False)
+        num = js_number(c, dt.simpleString())
+        return (num > F.lit(nv)) if op == "greaterThan" else (num < F.lit(nv))
+    if op == "between":
         if not isinstance(v, (list, tuple)) or len(v) != 2:
-            pred = F.lit(False)
-        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            return F.lit(False)
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             # Q13 fixed: date columns compare as dates (the contract's behaviour)
             lo, hi = F.lit(str(v[0])).cast(dt), F.lit(str(v[1])).cast(dt)
-            pred = (c >= lo) & (c <= hi)
-        else:
-            lo, hi = _js_number_py(v[0]), _js_number_py(v[1])
-            if lo is None or hi is None:
-                pred = F.lit(False)
-            else:
-                num = js_number(c, dt.simpleString())
-                pred = (num >= F.lit(lo)) & (num <= F.lit(hi))
-    elif op == "in":
+            return (c >= lo) & (c <= hi)
+        lo, hi = _js_number_py(v[0]), _js_number_py(v[1])
+        if lo is None or hi is None:
+            return F.lit(False)
+        num = js_number(c, dt.simpleString())
+        return (num >= F.lit(lo)) & (num <= F.lit(hi))
+    if op == "in":
         if not isinstance(v, (list, tuple)):
-            pred = F.lit(False)
-        else:
-            parts = []
-            for item in v:
-                if isinstance(item, str) and is_str:
-                    norm_f = normalize_text(c, remove_accents=opts.remove_diacritics)
-                    parts.append(syn(item) | (norm_f == F.lit(normalize_text_py(item, remove_accents=opts.remove_diacritics))))
-                else:
-                    parts.append(strict_eq(item))
-            pred = F.lit(False)
-            for p in parts:
-                pred = pred | p
-    else:  # pragma: no cover - validated above
+            return F.lit(False)
         pred = F.lit(False)
-    return c.isNotNull() & F.coalesce(pred, F.lit(False))
+        for item in v:
+            if isinstance(item, str) and is_str:
+                pred = pred | syn(item) | (norm_field() == F.lit(normalize_text_py(item, remove_accents=opts.remove_diacritics)))
+            else:
+                pred = pred | strict_eq(item)
+        return pred
+    return F.lit(False)  # pragma: no cover - validated above
 
 
 def connector_groups(filters: Sequence[FilterExpression]) -> list[list[int]]:
