@@ -112,8 +112,9 @@ def format_vi_number(c: ColumnOrName, decimals: int = 0) -> Column:
 
 
 def format_vnd(c: ColumnOrName) -> Column:
-    """Vi-VN currency, ``1.234.567 ₫``."""
-    return F.concat(format_vi_number(c, 0), F.lit(" ₫"))
+    """Vi-VN currency, ``1.234.567\u00a0₫`` (a no-break space before the
+    sign, as the vi-VN currency format writes it)."""
+    return F.concat(format_vi_number(c, 0), F.lit("\u00a0₫"))
 
 
 def date_rollover(year: ColumnOrName, month: ColumnOrName, day: ColumnOrName) -> Column:
