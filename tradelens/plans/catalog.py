@@ -452,7 +452,15 @@ def _import_summary(s):
     batch = import_batch(s)
     unique = D.dedup_in_file(batch, BATCH_ORDER).drop("occurrences")
     new, _ = D.split_against_table(unique, stored_lines(s))
-    return D.import_summary(batch, unique, new, D.new_companies(new, _stored_companies(s)), D.new_goods(new, _stored_goods(s), BATCH_ORDER))
+    stored_goods = _stored_goods(s)
+    return D.import_summary(
+        batch,
+        unique,
+        new,
+        D.new_companies(new, _stored_companies(s)),
+        D.new_goods(new, stored_goods, BATCH_ORDER),
+        goods_reused=D.goods_reused(new, stored_goods),
+    )
 
 
 # ---------------------------------------------------------------- profile, growth, comparisons

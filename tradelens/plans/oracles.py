@@ -604,7 +604,9 @@ SELECT (SELECT COUNT(*) FROM batch) AS total_rows,
        (SELECT COUNT(*) FROM uniq) - (SELECT COUNT(*) FROM new_rows) AS duplicates_in_db,
        (SELECT COUNT(*) FROM new_rows) AS imported_rows,
        (SELECT COUNT(*) FROM new_companies) AS new_companies,
-       (SELECT COUNT(*) FROM new_goods) AS new_goods
+       (SELECT COUNT(*) FROM new_goods) AS new_goods,
+       (SELECT COUNT(DISTINCT goods_raw_name) FROM new_rows WHERE goods_raw_name IN (SELECT goods_raw_name FROM stored))
+         AS existing_goods_reused
 """,
 )
 
