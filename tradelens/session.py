@@ -27,6 +27,14 @@ BASE_CONF = {
     # broadcast and never a fact-sized side.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # The static estimate of a Parquet relation is its compressed file size;
+    # count it 4x so a dimension that inflates in memory is not broadcast on
+    # a too-small estimate.  The runtime (AQE) decision uses real shuffle sizes.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
+    # Semi/anti joins against the stored fact table (import de-duplication)
+    # get a runtime Bloom filter built from the small side, applied at the
+    # scan of the large side before any shuffle.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
