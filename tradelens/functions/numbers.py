@@ -37,8 +37,14 @@ def european_number(c: ColumnOrName, type_name: str = "decimal(28,10)", default:
     text gives ``default`` (NULL when ``default`` is None).
     """
     s = F.trim(_col(c))
-    cleaned = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
-    parsed = _try_cast(F.regexp_extract(cleaned, _LEADING_FLOAT, 0), type_name)
+    cleaned = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    # fast path without a regex: a cell of digits, sign, point and exponent
+    # marks only is cast directly; anything else takes the leading-number regex
+    plain = F.length(F.translate(cleaned, "0123456789+-.eE", "")) == 0
+    parsed = F.coalesce(
+        F.when(plain, _try_cast(cleaned, type_name)),
+        _try_cast(F.regexp_extract(cleaned, _LEADING_FLOAT, 0), type_name),
+    )
     empty = s.isNull() | s.isin(*EMPTY_NUMBER_MARKS)
     zero = F.lit(0).cast(type_name)
     if default is None:
@@ -48,7 +54,11 @@ def european_number(c: ColumnOrName, type_name: str = "decimal(28,10)", default:
 
 def leading_int(c: ColumnOrName, default: int | None = 0) -> Column:
     """JS ``parseInt`` — the leading integer (``"9/2/24"`` -> 9)."""
-    parsed = _try_cast(F.regexp_extract(_col(c), _LEADING_INT, 1), "int")
+    x = _col(c)
+    t = F.trim(x)
+    # fast path: a cell of digits (and a sign) is cast without a regex
+    plain = (F.length(t) > 0) & (F.length(F.translate(t, "0123456789+-", "")) == 0)
+    parsed = F.coalesce(F.when(plain, _try_cast(t, "int")), _try_cast(F.regexp_extract(x, _LEADING_INT, 1), "int"))
     return parsed if default is None else F.coalesce(parsed, F.lit(default))
 
 
