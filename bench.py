@@ -66,7 +66,7 @@ def main() -> None:
     spark = build_session(
         f"local[{cpus}]",
         app_name="tradelens-bench",
-        shuffle_partitions=max(8, cpus * 2),
+        shuffle_partitions=max(8, cpus * 4),  # AQE coalesces small partitions
         extra={"spark.checkpoint.dir": f"{scratch}/checkpoints"},
     )
     testbed = TestbedStore(spark, sf_dir)
