@@ -38,7 +38,6 @@ def working_set(
     if companies:
         comp = comp.filter(F.col("company_name").isin(list(companies)))
         tx = tx.join(comp.select("company_id"), "company_id", "left_semi")
-    g = store.goods_with_category().select("goods_id", F.col("raw_name").alias("goods_name"), "category")
     gf = and_all(
         [
             F.col("category").isin(list(categories)) if categories else None,
@@ -46,9 +45,9 @@ def working_set(
         ]
     )
     if gf is not None:
-        g = g.filter(gf)
+        g = store.goods_with_category().select("goods_id", F.col("raw_name").alias("goods_name"), "category").filter(gf)
         tx = tx.join(g.select("goods_id"), "goods_id", "left_semi")
-    return tx.join(comp, "company_id", "left").join(g, "goods_id", "left")
+    return store.attach_goods(tx.join(comp, "company_id", "left"), {"raw_name": "goods_name"})
 
 
 def _single_row(frames: Sequence[DataFrame]) -> DataFrame:
@@ -99,9 +98,8 @@ def category_growth(store: Store) -> DataFrame:
     """A40 "fastest growing": month-over-month value growth per category
     (``growth_pct`` NULL for a category's first month or a zero base)."""
     tx = store.facts(["goods_id", "date", "total_value_usd"])
-    cats = store.goods_with_category().select("goods_id", "category")
     monthly = (
-        tx.join(cats, "goods_id", "left")
+        store.attach_goods(tx)
         .groupBy("category", month_key("date").alias("month"))
         .agg(F.sum("total_value_usd").alias("_v"))
     )
@@ -137,8 +135,7 @@ def recommend_companies(store: Store, k: int = 5) -> DataFrame:
     """A40 "which companies for a category": top-``k`` importers by value
     in every category."""
     tx = store.facts(["company_id", "goods_id", "total_value_usd"])
-    cats = store.goods_with_category().select("goods_id", "category")
-    per = tx.join(cats, "goods_id", "left").groupBy("category", "company_id").agg(
+    per = store.attach_goods(tx).groupBy("category", "company_id").agg(
         F.sum("total_value_usd").alias("_v"), F.count(F.lit(1)).alias("transaction_count")
     )
     top = top_k_per_group(per, ["category"], [F.col("_v").desc(), F.col("company_id").asc()], k)

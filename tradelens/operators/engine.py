@@ -54,8 +54,8 @@ def engine_view(store: Store) -> DataFrame:
         ]
     )
     comp = store.companies().select("company_id", F.col("name").alias("import_company_name"), F.col("address").alias("import_company_address"))
-    goods = store.goods_with_category().select("goods_id", F.col("raw_name").alias("goods_name"), F.col("category").alias("category_name"))
-    return tx.join(comp, "company_id", "left").join(goods, "goods_id", "left").select(
+    joined = store.attach_goods(tx.join(comp, "company_id", "left"), {"raw_name": "goods_name"}, category_col="category_name")
+    return joined.select(
         "declaration_number",
         "date",
         "import_company_name",

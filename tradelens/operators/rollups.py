@@ -152,8 +152,7 @@ def company_latest_lines(store: Store, n: int = 1000, company_id=None) -> DataFr
         tx = tx.filter(F.col("company_id") == company_id)
     order = [F.col("date").desc()] + [F.col(c).asc() for c in LINE_COLUMNS if c != "date"]
     top = top_k_per_group(tx, ["company_id"], order, n, "rank")
-    g = store.goods_with_category().select("goods_id", F.col("raw_name").alias("goods_name"), "category")
-    return top.join(g, "goods_id", "left").select(
+    return store.attach_goods(top, {"raw_name": "goods_name"}).select(
         "company_id",
         "rank",
         "declaration_number",
@@ -190,8 +189,7 @@ def company_top_goods(store: Store, k: int = 10) -> DataFrame:
 
 def _facts_with_category(store: Store, columns: Sequence[str]) -> DataFrame:
     tx = store.facts(["goods_id", *[c for c in columns if c != "goods_id"]])
-    cats = store.goods_with_category().select("goods_id", "category")
-    return tx.join(cats, "goods_id", "left")
+    return store.attach_goods(tx)
 
 
 def company_category_share(store: Store) -> DataFrame:
@@ -503,8 +501,7 @@ def transactions_view(
     ]
     tx = _where(tx, and_all(fact_conds))
     comp = store.companies().select("company_id", F.col("name").alias("company_name"))
-    g = store.goods_with_category().select("goods_id", F.col("raw_name").alias("goods_name"), "short_name", "category")
-    df = tx.join(comp, "company_id", "left").join(g, "goods_id", "left")
+    df = store.attach_goods(tx.join(comp, "company_id", "left"), {"raw_name": "goods_name", "short_name": "short_name"})
     name_conds = [
         regex_ci(F.col("company_name"), company) if company else None,
         regex_ci(F.col("short_name"), goods) if goods else None,

@@ -35,6 +35,22 @@ class Store:
     def categories(self) -> DataFrame:  # pragma: no cover - interface
         raise NotImplementedError
 
+    def attach_goods(self, df: DataFrame, goods_cols: dict[str, str] | None = None, category_col: str | None = "category") -> DataFrame:
+        """``df`` ⟕ goods ⟕ categories on ``goods_id``, adding the goods
+        columns ``{dim_column: output_name}`` and the category name.
+
+        Two joins against the base dimensions, not one join against a
+        pre-joined goods+category frame: Spark estimates a join's size as
+        the product of its inputs, so a pre-joined dimension never looks
+        small enough to broadcast and the fact side would be shuffled."""
+        cols = goods_cols or {}
+        g = self.goods().select("goods_id", "category_id", *[F.col(k).alias(v) for k, v in cols.items()])
+        out = df.join(g, "goods_id", "left")
+        if category_col:
+            cats = self.categories().select("category_id", F.col("name").alias(category_col))
+            out = out.join(cats, "category_id", "left")
+        return out.drop("category_id")
+
     def goods_with_category(self) -> DataFrame:
         """goods ⟕ categories: goods_id, raw_name, short_name, hs_code,
         classified_by, category_id, category (name; NULL when unmatched)."""
