@@ -73,6 +73,8 @@ def test_classify_pending_job(spark):
     rows = {r.goods_id: (r.category_id, r.classified_by) for r in res.goods.collect()}
     assert rows[1] == (20, "rules") and rows[3] == (10, "rules") and rows[2][1] == "rules"
     assert res.goods.count() == 3
+    # "Thủy sản đông lạnh" was named by the classifier and is not in the dimension yet
+    assert [r.name for r in res.new_categories.collect()] == ["Thủy sản đông lạnh"]
 
 
 def test_hot_user_split_across_slices(spark):

@@ -72,9 +72,10 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only when the session
-    does not name one (local tests) do we create a private scratch folder,
-    so a cluster job never writes lineage to a machine-local path.
+    The folder comes from ``spark.checkpoint.dir``.  Only a local-mode
+    session without one (tests, the bench) gets a private scratch folder; a
+    cluster session without a shared folder is an error, so lineage is never
+    cut to a machine-local path that a lost executor would take with it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -84,6 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster job")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tradelens-ckpt-"))
     return sc.getCheckpointDir()
 
