@@ -99,3 +99,12 @@ def test_paging(spark):
     last = paginate(df, [F.col("id").asc()], 3, 50).collect()
     assert [r.id for r in last] == [100]
     assert exceeds_cap(df, 100) and not exceeds_cap(df, 101)
+
+
+def test_sort_resolution():
+    from tradelens.operators.listing import resolve_sort
+    from tradelens.operators.rollups import COMPANY_SORTS, TRANSACTION_SORTS
+
+    assert resolve_sort("bogus", COMPANY_SORTS, "totalImportValue", strict=False) == "total_import_value"
+    with pytest.raises(ValueError):
+        resolve_sort("bogus", TRANSACTION_SORTS, "date")

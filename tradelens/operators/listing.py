@@ -69,10 +69,14 @@ def sort_spec(spec: dict[str, int] | None) -> list[tuple[str, bool]]:
     return out
 
 
-def resolve_sort(sort_by: str | None, allowed: dict[str, str], default: str) -> str:
-    """Map an API sort name to a column; unknown names raise (not a no-op)."""
+def resolve_sort(sort_by: str | None, allowed: dict[str, str], default: str, strict: bool = True) -> str:
+    """Map an API sort name to a column.  Unknown names raise (Q5: never a
+    silent no-op); with ``strict=False`` they fall back to ``default`` (the
+    company list's whitelist behaviour)."""
     key = sort_by or default
     if key not in allowed:
+        if not strict:
+            return allowed[default]
         raise ValueError(f"cannot sort by {key!r}; allowed: {sorted(allowed)}")
     return allowed[key]
 

@@ -127,6 +127,17 @@ def company_rollup(
     )
 
 
+def company_list_page(store: Store, page=1, page_size=50, sort_by: str | None = None, sort_order: str = "desc", **filters) -> DataFrame:
+    """A13 + L1 + L3: one page of the company list.  Unknown sort names fall
+    back to total import value (the list's whitelist); pages are clamped
+    like the other lists (Q12 fixed); ties break on ``company_id``."""
+    from tradelens.operators.listing import clamp_page, paginate, resolve_sort
+
+    p, size = clamp_page(page, page_size)
+    col = resolve_sort(sort_by, COMPANY_SORTS, "totalImportValue", strict=False)
+    return paginate(company_rollup(store, **filters), order_columns([(col, sort_order == "asc")], ["company_id"]), p, size)
+
+
 def company_detail_stats(store: Store, company_id) -> DataFrame:
     """A18 header: the A13 metrics of one company (point lookup)."""
     tx = store.facts(["company_id", "goods_id", "total_value_usd", "quantity", "date"]).filter(F.col("company_id") == company_id)

@@ -39,11 +39,7 @@ def _company_rollup(s):
 
 @register("company_rollup_page")
 def _company_rollup_page(s):
-    from tradelens.operators.listing import clamp_page, order_columns, paginate, resolve_sort
-
-    page, size = clamp_page(2, 50)
-    col = resolve_sort("totalQuantity", R.COMPANY_SORTS, "totalImportValue")
-    return paginate(R.company_rollup(s), order_columns([(col, True)], ["company_id"]), page, size)
+    return R.company_list_page(s, page=2, page_size=50, sort_by="totalQuantity", sort_order="asc")
 
 
 @register("company_rollup_by_category")
