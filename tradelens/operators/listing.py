@@ -113,14 +113,6 @@ def page_info(df: DataFrame, page: int, page_size: int) -> PageInfo:
     return PageInfo(df.count(), page, page_size)
 
 
-def with_total(df: DataFrame, name: str = "total") -> DataFrame:
-    """L4 alternative: the total as a column (``count(*) over ()``).
-
-    Only for already-small results (a window without partition keys moves
-    every row to one task)."""
-    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy()))
-
-
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of an ordering (``TakeOrderedAndProject``)."""
     return df.orderBy(*order).limit(k)
