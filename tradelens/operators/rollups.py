@@ -307,10 +307,10 @@ def goods_rollup(
         g = g.filter(regex_ci(F.col("raw_name"), search) | regex_ci(F.coalesce(F.col("short_name"), F.lit("")), search))
     return g.join(per, "goods_id").select(
         "goods_id",
-        "raw_name",
-        "short_name",
-        "category",
-        "hs_code",
+        F.coalesce("raw_name", F.lit("")).alias("raw_name"),
+        F.coalesce("short_name", F.lit("")).alias("short_name"),
+        F.coalesce("category", F.lit("")).alias("category"),
+        F.coalesce("hs_code", F.lit("")).alias("hs_code"),
         _money("_qty").alias("total_quantity_exported"),
         _money("_value").alias("total_value_exported"),
         "transaction_count",
@@ -319,6 +319,31 @@ def goods_rollup(
     )
 
 
+GOODS_SORTS = {
+    "totalValueExported": "total_value_exported",
+    "totalQuantityExported": "total_quantity_exported",
+    "transactionCount": "transaction_count",
+    "averagePrice": "average_price",
+    "lastExportDate": "last_export_date",
+    "rawName": "raw_name",
+    "shortName": "short_name",
+    "category": "category",
+    "hsCode": "hs_code",
+}
+GOODS_SORTS.update({v: v for v in list(GOODS_SORTS.values())})
+
+
+def goods_list_page(store: Store, page=1, page_size=50, sort_by: str | None = None, sort_order: str = "desc", **filters) -> DataFrame:
+    """A14 + L1 + L3: one page of the goods list (default: total value
+    exported, descending); unknown sort names raise (Q5); ties break on
+    ``goods_id``."""
+    from tradelens.operators.listing import clamp_page, paginate, resolve_sort
+
+    p, size = clamp_page(page, page_size)
+    col = resolve_sort(sort_by, GOODS_SORTS, "totalValueExported")
+    return paginate(goods_rollup(store, **filters), order_columns([(col, sort_order == "asc")], ["goods_id"]), p, size)
+
+
 def goods_mean_price(store: Store, date_from=None, date_to=None) -> DataFrame:
     """Per goods Σ, Σ, count, **plain mean** of unit price (rounded to
     6 dp), first and last date, category (Q3 fixed: the filter applies)."""
@@ -431,8 +456,8 @@ def category_names(store: Store) -> DataFrame:
 def dashboard_stats(store: Store) -> DataFrame:
     """A19 + A21 in one aggregation pass over a union of the three tables.
 
-    One row: company, goods and transaction counts, total value (rounded
-    2 dp), goods still classified by the fallback, latest ``created_at``.
+    One row: company, goods and transaction counts, total value, goods
+    still classified by the fallback, latest ``created_at`` (ISO text).
     A union + conditional counts avoids joining single-row aggregates."""
     tx = store.facts(["total_value_usd", "created_at"])
     u = (
@@ -444,9 +469,9 @@ def dashboard_stats(store: Store) -> DataFrame:
         F.count_if(F.col("_t") == 1).alias("total_companies"),
         F.count_if(F.col("_t") == 2).alias("total_goods"),
         F.count_if(F.col("_t") == 3).alias("total_transactions"),
-        js_round2(F.coalesce(F.sum("_v"), F.lit(0))).alias("total_value"),
+        F.coalesce(F.sum("_v"), F.lit(0)).cast("double").alias("total_value_usd"),
         F.count_if(F.col("_c") == "fallback").alias("unclassified_goods"),
-        iso_timestamp(F.max("_ts")).alias("last_import"),
+        iso_timestamp(F.max("_ts")).alias("last_import_date"),
     )
 
 

@@ -95,6 +95,11 @@ def _goods_rollup_filtered(s):
     return R.goods_rollup(s, company="customer#0000001[0-4]", date_from="1997-01-01", date_to="2000-06-30", category="STANDARD", search="ring|bolt")
 
 
+@register("goods_rollup_page")
+def _goods_rollup_page(s):
+    return R.goods_list_page(s, page=3, page_size=20, sort_by="averagePrice", sort_order="asc", date_from="1998-01-01")
+
+
 @register("goods_mean_price")
 def _goods_mean_price(s):
     return R.goods_mean_price(s, date_from="1996-01-01")

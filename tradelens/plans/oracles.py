@@ -142,7 +142,8 @@ _GOODS_ROLLUP = f"""
   SELECT goods_id, SUM(quantity) AS q, SUM(total_value_usd) AS v, COUNT(*) AS n, MAX(date) AS last
   FROM facts {{where}} GROUP BY goods_id
 )
-SELECT g.goods_id, g.raw_name, g.short_name, g.category, g.hs_code,
+SELECT g.goods_id, coalesce(g.raw_name, '') AS raw_name, coalesce(g.short_name, '') AS short_name,
+       coalesce(g.category, '') AS category, coalesce(g.hs_code, '') AS hs_code,
        CAST(p.q AS DOUBLE) AS total_quantity_exported, CAST(p.v AS DOUBLE) AS total_value_exported,
        p.n AS transaction_count,
        CASE WHEN CAST(p.q AS DOUBLE) > 0 THEN CAST(p.v AS DOUBLE) / CAST(p.q AS DOUBLE) ELSE 0.0 END AS average_price,
@@ -151,6 +152,11 @@ FROM goods_cat g JOIN per p ON g.goods_id = p.goods_id
 {{goods_where}}
 """
 oracle("goods_rollup", _GOODS_ROLLUP.format(where="", goods_where=""))
+oracle(
+    "goods_rollup_page",
+    _GOODS_ROLLUP.format(where="WHERE date >= TIMESTAMP '1998-01-01'", goods_where="")
+    + "ORDER BY average_price ASC, g.goods_id ASC LIMIT 20 OFFSET 40",
+)
 oracle(
     "goods_rollup_filtered",
     _GOODS_ROLLUP.format(
@@ -220,9 +226,9 @@ oracle(
 SELECT (SELECT COUNT(*) FROM companies) AS total_companies,
        (SELECT COUNT(*) FROM goods) AS total_goods,
        (SELECT COUNT(*) FROM facts) AS total_transactions,
-       (SELECT {js_round2("coalesce(SUM(total_value_usd), 0)")} FROM facts) AS total_value,
+       (SELECT CAST(coalesce(SUM(total_value_usd), 0) AS DOUBLE) FROM facts) AS total_value_usd,
        (SELECT COUNT(*) FROM goods WHERE classified_by = 'fallback') AS unclassified_goods,
-       (SELECT {iso("MAX(created_at)")} FROM facts) AS last_import
+       (SELECT {iso("MAX(created_at)")} FROM facts) AS last_import_date
 """,
 )
 
