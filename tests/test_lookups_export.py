@@ -97,3 +97,15 @@ def test_spec_validation():
         QueryIntent("guess")
     with pytest.raises(IntentError):
         QueryIntent("ranking", limit=0)
+
+
+def test_transactions_api_page(store):
+    import json
+
+    rows = R.transactions_api_page(store, page=1, page_size=5, sort_by="totalValue").collect()
+    assert len(rows) == 5
+    assert [r.total_value for r in rows] == sorted((r.total_value for r in rows), reverse=True)
+    r = rows[0]
+    assert r.currency == "USD" and r.company.name.startswith("Customer#") and r.goods.category != ""
+    raw = json.loads(r.raw_csv_data)
+    assert raw["l_orderkey"] == r.declaration_number

@@ -518,12 +518,14 @@ def transactions_view(
     company_ids: Sequence | None = None,
     goods_ids: Sequence | None = None,
     categories: Sequence[str] | None = None,
+    include_raw: bool = False,
 ) -> DataFrame:
     """J1 + P1-P6, P9, P9b: fact ⟕ company ⟕ goods ⟕ category, filtered.
 
     Unmatched dimension fields become ``''`` (P2).  Fact predicates are
     applied before the joins (pushed to the scan); name predicates after."""
-    tx = store.facts(list(_TX_COLUMNS))
+    with_raw = include_raw and "raw_data" in _fact_columns(store)
+    tx = store.facts(list(_TX_COLUMNS) + (["raw_data"] if with_raw else []))
     fact_conds = [
         date_range(F.col("date"), date_from, date_to),
         (F.col("hs_code") == hs_code) if hs_code is not None else None,
@@ -563,6 +565,7 @@ def transactions_view(
         "export_country",
         F.coalesce("import_country", F.lit("")).alias("import_country"),
         "customs_office",
+        *(["raw_data"] if with_raw else []),
     )
 
 
@@ -583,6 +586,55 @@ def transactions_page(store: Store, page=1, page_size=50, sort_by: str = "date",
     )
 
 
+def transactions_api_page(store: Store, page=1, page_size=50, sort_by: str = "date", ascending: bool = False, **filters) -> DataFrame:
+    """P1 + P2 + S6: the list page in the API's nested shape — ``company``
+    and ``goods`` structs, numbers defaulted to 0, ``currency`` and the
+    original row as JSON text (``raw_csv_data``) for the page rows only.
+    The top-k keeps ``offset + limit`` rows per task, so the raw maps of
+    the other rows are read but never shuffled."""
+    from tradelens.operators.listing import clamp_page, resolve_sort
+
+    p, size = clamp_page(page, page_size)
+    col = resolve_sort(sort_by, TRANSACTION_SORTS, "date")
+    view = transactions_view(store, include_raw=True, **filters)
+    order = order_columns([(col, ascending)], TX_TIE_BREAK)
+    paged = view.orderBy(*order).offset((p - 1) * size).limit(size)
+    has_raw = "raw_data" in view.columns
+    comp_addr = store.companies().select("company_id", F.coalesce("address", F.lit("")).alias("_addr"))
+    # the joins do not keep row order: sort the (at most page_size) rows again
+    paged = paged.join(comp_addr, "company_id", "left").orderBy(*order)
+    return paged.select(
+        F.coalesce("declaration_number", F.lit("")).alias("declaration_number"),
+        F.coalesce(iso_timestamp("date"), F.lit("")).alias("date"),
+        F.struct(
+            F.coalesce(F.col("company_id").cast("string"), F.lit("")).alias("id"),
+            F.col("company_name").alias("name"),
+            F.coalesce("_addr", F.lit("")).alias("address"),
+        ).alias("company"),
+        F.struct(
+            F.coalesce(F.col("goods_id").cast("string"), F.lit("")).alias("id"),
+            F.col("goods_name").alias("raw_name"),
+            F.col("short_name").alias("short_name"),
+            F.col("category").alias("category"),
+        ).alias("goods"),
+        F.coalesce(_money("quantity"), F.lit(0.0)).alias("quantity"),
+        F.coalesce("unit", F.lit("")).alias("unit"),
+        F.coalesce("unit_price_usd", F.lit(0.0)).alias("unit_price"),
+        F.coalesce(_money("total_value_usd"), F.lit(0.0)).alias("total_value"),
+        F.lit("USD").alias("currency"),
+        F.col("hs_code"),
+        (F.coalesce(F.to_json("raw_data"), F.lit("")) if has_raw else F.lit("")).alias("raw_csv_data"),
+    )
+
+
+def _fact_columns(store: Store) -> set[str]:
+    from tradelens.sources.testbed import FACT_COLUMNS, TestbedStore
+
+    if isinstance(store, TestbedStore):
+        return set(FACT_COLUMNS)
+    return set(store.facts().columns)
+
+
 def transactions_count(store: Store, page_size=50, **filters) -> DataFrame:
     """L4: total and page count of the filtered list, as one row."""
     from tradelens.operators.listing import clamp_page
