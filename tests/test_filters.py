@@ -78,3 +78,19 @@ def test_cnf_equals_loop_property(items):
     truths = [t for t, _ in items]
     conns = [c for _, c in items]
     assert cnf(truths, conns) == loop(truths, conns)
+
+
+def test_camel_case_fields(spark):
+    from tradelens.operators import engine as E
+    from tradelens.plans.intent import QueryIntent, run_intent
+
+    df = spark.createDataFrame([("A", 10.0, "VN"), ("B", 5.0, "US")], "import_company_name string, total_value_usd double, import_country string")
+    assert keep_df(df, [{"field": "importCountry", "operator": "equals", "value": "Việt Nam"}]) == ["A"]
+    r = E.group_by(df, "importCompanyName", "totalValueUSD", "sum").collect()
+    assert [(x.key, x.value) for x in r] == [("A", 10.0), ("B", 5.0)]
+    out = run_intent(df, QueryIntent.of({"type": "detail", "filters": [], "orderBy": {"field": "totalValueUSD", "direction": "asc"}, "confidence": 1}))
+    assert [x.import_company_name for x in out.collect()] == ["B", "A"]
+
+
+def keep_df(df, filters):
+    return sorted(r.import_company_name for r in execute_filters(df, filters).collect())

@@ -108,9 +108,19 @@ def _value_aggs(v: Column, op: str) -> Column:
     return F.max(v).cast("double")
 
 
+def _col_name(df: DataFrame, name: str) -> str:
+    from tradelens.schema import resolve
+
+    out = resolve(name, df.columns)
+    if out not in df.columns:
+        raise ValueError(f"unknown field {name!r}")
+    return out
+
+
 def group_by(df: DataFrame, key_field: str, value_field: str, operation: str) -> DataFrame:
     """``(key, value, count)`` per js-key group, value desc, key asc."""
     AggregationSpec(value_field, operation, key_field)
+    key_field, value_field = _col_name(df, key_field), _col_name(df, value_field)
     sch = df.schema
     key = js_key(F.col(key_field), sch[key_field].dataType).alias("key")
     val = js_value(F.col(value_field), sch[value_field].dataType)
@@ -125,6 +135,7 @@ def group_by(df: DataFrame, key_field: str, value_field: str, operation: str) ->
 def compute_total(df: DataFrame, value_field: str, operation: str) -> DataFrame:
     """One row ``("Total", value, count)``; no rows -> value 0, count 0."""
     AggregationSpec(value_field, operation)
+    value_field = _col_name(df, value_field)
     val = js_value(F.col(value_field), df.schema[value_field].dataType)
     agg = df.select(val.alias("_v")).agg(_value_aggs(F.col("_v"), operation).alias("value"), F.count(F.lit(1)).alias("count"))
     return agg.select(F.lit("Total").alias("key"), F.coalesce("value", F.lit(0.0)).alias("value"), "count")
@@ -141,6 +152,7 @@ def compute_aggregations(df: DataFrame, specs: Sequence[AggregationSpec]) -> Dat
     per distinct key field, whatever the number of specs)."""
     by_key: dict[str | None, list[tuple[int, AggregationSpec]]] = {}
     for i, s in enumerate(specs):
+        s = AggregationSpec(_col_name(df, s.field), s.operation, _col_name(df, s.group_by) if s.group_by else None)
         by_key.setdefault(s.group_by, []).append((i, s))
     sch = df.schema
     parts = []
@@ -217,6 +229,7 @@ def cache_top_n(cache: DataFrame, dim: str, n: int, sort_by: str = "value") -> D
 
 def full_data_points(df: DataFrame, key_field: str, value_field: str) -> DataFrame:
     """Count, sum, average, min and max per js-key group together."""
+    key_field, value_field = _col_name(df, key_field), _col_name(df, value_field)
     sch = df.schema
     v = js_value(F.col(value_field), sch[value_field].dataType)
     return (
@@ -234,6 +247,7 @@ def full_data_points(df: DataFrame, key_field: str, value_field: str) -> DataFra
 
 def time_series(df: DataFrame, value_field: str = "total_value_usd", operation: str = "sum", date_field: str = "date") -> DataFrame:
     """One point per ``yyyy-MM`` month, ascending."""
+    value_field = _col_name(df, value_field)
     v = js_value(F.col(value_field), df.schema[value_field].dataType)
     return (
         df.filter(F.col(date_field).isNotNull())

@@ -117,6 +117,15 @@ def _text_match(field_str: Column, value: str, strategy: str, threshold: int, op
     return F.contains(norm_f, norm_v)
 
 
+def _resolved(f: FilterExpression, schema: T.StructType) -> FilterExpression:
+    from dataclasses import replace
+
+    from tradelens.schema import resolve
+
+    name = resolve(f.field, schema.fieldNames()) if f.field else f.field
+    return f if name == f.field else replace(f, field=name)
+
+
 def filter_column(f: FilterExpression, schema: T.StructType, opts: FilterOptions = FilterOptions()) -> Column:
     """One filter -> boolean Column (never NULL; NULL field -> false).
 
@@ -125,6 +134,7 @@ def filter_column(f: FilterExpression, schema: T.StructType, opts: FilterOptions
     Without the binding Catalyst pushes the predicate below any projection
     and repeats the normalising regex in every synonym and substring test
     (measured 30x slower on 600k rows)."""
+    f = _resolved(f, schema)
     validate_filter(f, schema.fieldNames())
     dt = schema[f.field].dataType
     c = F.col(f.field)

@@ -70,7 +70,10 @@ def run_intent(view: DataFrame, intent: QueryIntent) -> DataFrame:
     """
     rows = execute_filters(view, intent.filters, intent.options)
     if intent.type == "detail" or not intent.aggregations:
+        from tradelens.schema import resolve
+
         col, direction = intent.order_by or ("date", "desc")
+        col = resolve(col, rows.columns)
         order = [F.col(col).asc() if direction == "asc" else F.col(col).desc()]
         order += [F.col(c).asc() for c in rows.columns if c != col]
         out = rows.orderBy(*order)

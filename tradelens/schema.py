@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Money and quantities are exact decimals so that sums do not depend on the
-# order rows arrive in; outputs are cast to double at the edge.
-MONEY = T.DecimalType(18, 2)
-RATE = T.DecimalType(18, 6)
+# order rows arrive in; outputs are cast to double at the edge (A6).  The
+# CSV import writes DECIMAL(28,10) (customs cells carry up to 10 decimals);
+# the testbed maps the driver's 2-decimal prices to DECIMAL(18,2).  The
+# schema below documents the columns; operators accept any decimal width.
+MONEY = T.DecimalType(28, 10)
+RATE = T.DecimalType(28, 10)
 
 TRANSACTION_SCHEMA = T.StructType(
     [
@@ -30,7 +33,7 @@ TRANSACTION_SCHEMA = T.StructType(
         T.StructField("unit", T.StringType(), False),
         T.StructField("quantity", MONEY, False),
         T.StructField("unit_price_original", MONEY, True),
-        T.StructField("unit_price_usd", T.DoubleType(), True),
+        T.StructField("unit_price_usd", MONEY, True, {"comment": "testbed: double (value / quantity)"}),
         T.StructField("total_value_usd", MONEY, False),
         T.StructField("original_currency", T.StringType(), True),
         T.StructField("original_currency_rate", RATE, True),
@@ -42,7 +45,7 @@ TRANSACTION_SCHEMA = T.StructType(
         T.StructField("import_country", T.StringType(), True),
         T.StructField("customs_office", T.StringType(), False),
         T.StructField("export_type", T.StringType(), False),
-        T.StructField("tax_rate", T.DoubleType(), False),
+        T.StructField("tax_rate", MONEY, False, {"comment": "testbed: double"}),
         T.StructField("raw_data", T.MapType(T.StringType(), T.StringType()), True, {"comment": "Original CSV row, never modified"}),
     ]
 )
@@ -107,10 +110,27 @@ FIELD_ALIASES = {
 
 
 def field(name: str) -> str:
-    """Resolve an API field name (camelCase or snake_case) to a column."""
+    """Resolve an API field name (camelCase or snake_case) to a fact column."""
     return FIELD_ALIASES.get(name, name)
 
 
+def camel_to_snake(name: str) -> str:
+    """``totalValueUSD`` -> ``total_value_usd``, ``hsCode`` -> ``hs_code``."""
+    import re
+
+    return re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", name).lower()
+
+
+def resolve(name: str, columns) -> str:
+    """The column of ``columns`` an API field name refers to: itself, its
+    snake_case form, or its alias; unchanged when none exists."""
+    cols = set(columns)
+    for candidate in (name, camel_to_snake(name), FIELD_ALIASES.get(name, name)):
+        if candidate in cols:
+            return candidate
+    return name
+
+
 # The customs CSV header, byte for byte (NFC), in file order.
 CSV_COLUMNS = (
     "Năm",
