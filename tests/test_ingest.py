@@ -151,3 +151,18 @@ def test_stream_import(spark, tmp_dir):
     # part1 brings rows 1 and 3; part2 adds only row 4 (rows 1-3 already stored)
     assert facts.count() == 3
     assert facts.select("batch_id").distinct().count() == 2
+
+
+def test_quoted_cells(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "q.csv")
+    write_csv(p, [{"Tên hàng": "CÁ; loại 1"}, {"Tên hàng": 'TÔM "XL"'}])
+    names = [r["Tên hàng"] for r in read_customs_csv(spark, p).orderBy("source_row").collect()]
+    assert names == ["CÁ; loại 1", 'TÔM "XL"']
+    q = os.path.join(tmp_dir, "m.csv")
+    with open(q, "w", encoding="utf-8") as fh:
+        fh.write(";".join(CSV_COLUMNS) + "\n")
+        vals = [BASE.get(c, "") for c in CSV_COLUMNS]
+        vals[CSV_COLUMNS.index("Tên hàng")] = '"CÁ\nTRA"'
+        fh.write(";".join(vals) + "\n")
+    rows = read_customs_csv(spark, q, multiline=True).collect()
+    assert len(rows) == 1 and rows[0]["Tên hàng"] == "CÁ\nTRA"
