@@ -414,8 +414,8 @@ def _new_rows(s):
 
 @register("dedup_against_table")
 def _dedup_against_table(s):
-    new, existing = _new_rows(s)
-    return _display(new.withColumn("status", F.lit("new")).unionByName(existing.withColumn("status", F.lit("existing"))))
+    unique = D.dedup_in_file(import_batch(s), BATCH_ORDER).drop("occurrences")
+    return _display(D.mark_against_table(unique, stored_lines(s)))
 
 
 @register("existing_declarations")
