@@ -39,7 +39,7 @@ def test_stream_sessions(spark, tmp_dir):
 
 
 def test_rule_classifier(spark):
-    names = ["Tôm đông lạnh loại 1", "Gạo trắng", "Máy móc công nghiệp", "Bàn ghế", "Áo quần áo trẻ em", "CÁ TRA phi lê"]
+    names = ["Tôm đông lạnh loại 1", "Gạo trắng", "Máy móc công nghiệp", "Bàn ghế", "Áo quần áo trẻ em", "CÁ TRA phi lê", "Cá tươi nguyên con"]
     df = spark.createDataFrame([(n,) for n in names], "raw_name string")
     got = [r._c.category for r in EN.classify_names(df).orderBy("raw_name").collect()]
     by = dict(zip(sorted(names), got))
@@ -49,6 +49,7 @@ def test_rule_classifier(spark):
     assert by["Bàn ghế"] == "Khác"
     assert by["Áo quần áo trẻ em"] == "Dệt may & Hàng thời trang"
     assert by["CÁ TRA phi lê"] == "Thủy sản đông lạnh"
+    assert by["Cá tươi nguyên con"] == "Thủy sản tươi sống"  # the longer hint wins
 
 
 def test_model_classifier_and_failures(spark):

@@ -913,11 +913,14 @@ def _rule_sql() -> str:
     from tradelens.schema import CATEGORIES
 
     text = f"(' ' || translate(lower(trim(regexp_replace(raw_name, '{_WS_CLASS}', ' ', 'g'))), '{_VI_FROM}', '{_VI_TO}') || ' ')"
-    whens = []
-    for cat in [c for c in CATEGORIES if c in CATEGORY_HINTS]:
-        conds = " OR ".join(f"contains({text}, ' {_strip(h)} ')" for h in CATEGORY_HINTS[cat])
-        whens.append(f"WHEN {conds} THEN '{cat}'")
-    return "CASE " + " ".join(whens) + " ELSE 'Khác' END"
+    cats = [c for c in CATEGORIES if c in CATEGORY_HINTS]
+    scores = []
+    for cat in cats:
+        parts = [f"CASE WHEN contains({text}, ' {_strip(h)} ') THEN {len(_strip(h))} ELSE 0 END" for h in CATEGORY_HINTS[cat]]
+        scores.append(f"greatest({', '.join(parts)})" if len(parts) > 1 else parts[0])
+    best = f"greatest({', '.join(scores)})"
+    whens = " ".join(f"WHEN {sc} = {best} THEN '{cat}'" for cat, sc in zip(cats, scores))
+    return f"CASE WHEN {best} = 0 THEN 'Khác' {whens} END"
 
 
 oracle(
