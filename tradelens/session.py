@@ -65,7 +65,9 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local"):
+        ensure_checkpoint_dir(spark)
+    # on a cluster, jobs that cut lineage call ensure_checkpoint_dir themselves
     return spark
 
 
