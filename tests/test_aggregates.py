@@ -108,3 +108,25 @@ def test_sort_resolution():
     assert resolve_sort("bogus", COMPANY_SORTS, "totalImportValue", strict=False) == "total_import_value"
     with pytest.raises(ValueError):
         resolve_sort("bogus", TRANSACTION_SORTS, "date")
+
+
+def test_summary_text_formats(spark):
+    rows = [(f"K{i:02d}", float(1000 * (30 - i)) + 0.5, i + 1) for i in range(25)]
+    res = spark.createDataFrame(rows, "key string, value double, count long")
+    text = E.summary_text(res, E.AggregationSpec("total_value_usd", "sum", "importCountry")).first().text
+    lines = text.split("\n")
+    assert lines[0] == "Total by importCountry"
+    assert lines[1] == "  K00: $30,001 (1 txns)"
+    assert len(lines) == 22 and lines[-1] == "Total records: 325, showing top 20 of 25"
+    avg = E.summary_text(res.limit(2), E.AggregationSpec("quantity", "average", None), total_records=7).first().text
+    assert avg.split("\n") == ["Average by Overall", "  K00: 30000.50 (1 txns)", "  K01: 29000.50 (2 txns)", "Total records: 7"]
+
+
+def test_cache_top_n_by_count(spark):
+    cache = spark.createDataFrame(
+        [("country", "A", 10.0, 1), ("country", "B", 5.0, 9), ("month", "2024-01", 1.0, 3)], "dim string, key string, value double, count long"
+    )
+    assert [r.key for r in E.cache_top_n(cache, "country", 1, sort_by="count").collect()] == ["B"]
+    assert [r.key for r in E.cache_top_n(cache, "country", 5).collect()] == ["A", "B"]
+    with pytest.raises(ValueError):
+        E.cache_top_n(cache, "country", 1, sort_by="key")
