@@ -20,6 +20,10 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key's join partition even when that costs an extra shuffle
+    # (a key may hold a third of the rows: duplicate report, against-table
+    # marking, fact-to-dimension joins beyond the broadcast threshold)
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     # Broadcast joins are decided by Spark's own size estimate (static and,
     # with AQE, at runtime from shuffle statistics); above the threshold the
