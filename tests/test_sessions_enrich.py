@@ -99,3 +99,25 @@ def test_hot_user_split_across_slices(spark):
         expect[-1][2] += 1
         last[u] = ts
     assert got == sorted(tuple(e) for e in expect)
+
+
+def test_model_shortener(spark):
+    long_name = "Tôm thẻ chân trắng " * 10
+
+    def fake(name):
+        if name.startswith("boom"):
+            raise RuntimeError("down")
+        if name.startswith("tiny"):
+            return "ab"
+        if name.startswith("long"):
+            return '"' + "x" * 150 + '"\nsecond line'
+        return '"Tôm thẻ"\nignored'
+
+    df = spark.createDataFrame([(n,) for n in ["boom " + long_name, "tiny", "long", "tom"]], "raw_name string")
+    out = {r.raw_name: r._short for r in EN.classify_names(df, shortener=EN.model_shortener(fake)).collect()}
+    assert out["boom " + long_name] == ("boom " + long_name)[:97] + "..."
+    assert out["tiny"] == "tiny"[:97] + "..."
+    assert out["long"] == "x" * 97 + "..."
+    # quotes are stripped at the ends of the whole answer before the first
+    # line is taken, so the closing quote of a multi-line answer stays
+    assert out["tom"] == 'Tôm thẻ"'
