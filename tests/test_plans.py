@@ -74,3 +74,11 @@ def test_no_cross_join(spark):
     for name in queries():
         p = plan(spark, name)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_fact_to_dimension_joins_broadcast(spark):
+    # goods and categories are attached as separate base-relation joins, so
+    # the small dimensions broadcast and the facts are not shuffled for them
+    for name in ["agg_cache", "filter_cnf", "company_category_share", "transactions_page", "recommend_companies"]:
+        p = plan(spark, name)
+        assert "SortMergeJoin" not in p, name
