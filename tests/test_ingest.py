@@ -166,3 +166,13 @@ def test_quoted_cells(spark, tmp_dir):
         fh.write(";".join(vals) + "\n")
     rows = read_customs_csv(spark, q, multiline=True).collect()
     assert len(rows) == 1 and rows[0]["Tên hàng"] == "CÁ\nTRA"
+
+
+def test_dry_run_missing_header(spark, tmp_dir):
+    cols = [c for c in CSV_COLUMNS if c != "Số tờ khai"]
+    p = os.path.join(tmp_dir, "nohdr.csv")
+    write_csv(p, [{}], cols)
+    r = I.dry_run(spark, p).first()
+    assert (r.valid, r.required_columns_present) == (False, False)
+    msgs = [x.text for x in I.render_errors(I.header_issues(spark, read_customs_csv(spark, p).columns)).collect()]
+    assert msgs == ["Row 0: Số tờ khai - Thiếu cột bắt buộc: Số tờ khai"]
