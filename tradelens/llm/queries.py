@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradelens.llm.exact_dedup import exact_dedup
+from tradelens.llm.line_dedup import line_dedup
+from tradelens.llm.packing import pack
 from tradelens.llm.simhash import simhash_dedup
+from tradelens.llm.token_counts import count_tokens, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +31,13 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def vocabulary() -> str:
+    """Place of the public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -53,3 +64,48 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of ``documents``: 3-word shingles, at most 3 differing bits."""
     return simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
+@register("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` packed into windows of 2048 tokens, best fit decreasing."""
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), size=2048, end_id=1)
+
+
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), k AS (
+  SELECT doc_id, pos, line,
+         translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), f AS (
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), m AS (
+  SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@register("op4_line_dedup", OP4_SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in at least 10 ``documents`` dropped everywhere."""
+    kept = line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of flat token files.  The files (the job's input) are
+    ``documents`` tokenised and written with id 50256 after each document;
+    the manifest only names the document at each place of a file."""
+    token_files, places = write_token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=50256)
+    counts = count_tokens(token_files, end_id=50256, width=2)
+    return counts.join(places, ["file", "ordinal"]).select(
+        "doc_id", F.regexp_extract("file", r"tokens-(\d+)-", 1).cast("long").alias("file_no"), "ordinal", "start", "n_tokens", "terminated"
+    )
