@@ -76,6 +76,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter("n > 1")
         .select(F.col("sha").alias("group_sha"), "n", "first")
     )
+    # a table of its own: members of a hot group then meet it by broadcast or by a join Spark can split
+    groups = cut(groups, "exact-dedup-groups")
+    groups = broadcast_if_small(groups, groups.count())
     in_group = F.col("n").isNotNull()
     return rows.join(groups, F.when(F.col("open"), F.col("sha")) == F.col("group_sha"), "left").select(
         F.col("id").alias("doc_id"),

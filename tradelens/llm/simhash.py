@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +62,14 @@ def text_fingerprint(text: str | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(doc_id, fp)`` per row; ``fp`` is the 64-bit fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((text_fingerprint(t, shingle) for t in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+            fps = np.fromiter((text_fingerprint(t.as_py(), shingle) for t in b.column("text")), dtype=np.uint64, count=len(b))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {id_type}, fp long")
+    return rows.mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def block_masks(distance: int) -> list[int]:
