@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelens.llm.decontam import find_matches
 from tradelens.llm.exact_dedup import exact_dedup
+from tradelens.llm.html_extract import extract_text
 from tradelens.llm.line_dedup import line_dedup
 from tradelens.llm.packing import pack
 from tradelens.llm.simhash import simhash_dedup
@@ -109,3 +111,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(places, ["file", "ordinal"]).select(
         "doc_id", F.regexp_extract("file", r"tokens-(\d+)-", 1).cast("long").alias("file_no"), "ordinal", "start", "n_tokens", "terminated"
     )
+
+
+@register("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, benchmark item) pairs where a window of the document matches
+    the item: five-word shingles, weighted similarity of 0.8 or more."""
+    return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``."""
+    return extract_text(table(spark, sf_dir, "pages"))

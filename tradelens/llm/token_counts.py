@@ -65,7 +65,7 @@ def count_tokens(token_files: DataFrame, end_id: int, width: int = 2, block_toke
     scanned = cut(blocks.repartition("file", "block").mapInArrow(_scan(end_id, width), "file string, block long, first long, tokens long, ends array<long>"), "token-blocks")
 
     # prefix scan, level 1: runs of blocks; level 2: blocks within a run
-    summary = scanned.select("file", "block", F.floor(F.col("block") / RUN).alias("run"), F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"), (F.col("first") + F.col("tokens")).alias("stop"))
+    summary = scanned.select("file", "block", F.floor(F.col("block") / RUN).alias("run"), F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"), (F.col("first") + F.col("tokens")).alias("stop"))
     before = W.partitionBy("file").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     runs = summary.groupBy("file", "run").agg(F.sum("n").alias("n"), F.max("last").alias("last")).select(
         "file", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("run_n"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("run_last")
