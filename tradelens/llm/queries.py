@@ -11,11 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelens.llm import langid, toxicity
+from tradelens.llm.common import held_out_fold
 from tradelens.llm.decontam import find_matches
 from tradelens.llm.exact_dedup import exact_dedup
 from tradelens.llm.html_extract import extract_text
 from tradelens.llm.line_dedup import line_dedup
 from tradelens.llm.packing import pack
+from tradelens.llm.pii import pseudonymise
 from tradelens.llm.simhash import simhash_dedup
 from tradelens.llm.token_counts import count_tokens, write_token_files
 
@@ -124,3 +127,40 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every row of ``pages``."""
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+# Key of the registered query only; callers bring their own secret.
+DEMO_KEY = "registered-query"
+
+
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format-preserving pseudonyms in whole ``documents`` texts."""
+    return pseudonymise(table(spark, sf_dir, "documents"), key=DEMO_KEY)
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.PpmModel | None:
+    """Learned from the documents outside the held-out fold."""
+    return langid.train(table(spark, sf_dir, "documents"), ~F.coalesce(held_out_fold(F.col("doc_id")), F.lit(False)))
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by code length."""
+    found = langid.predict(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(held_out_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out fold are not read."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out_fold(F.col("doc_id")))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id",
+        F.coalesce(held_out_fold(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"),
+    )
