@@ -121,8 +121,9 @@ def find_matches(
     similarity: float = SIMILARITY,
     radius: int = RADIUS,
 ) -> DataFrame:
-    """One row per (document, item) that match: ``doc_id, item_id, similarity,
-    word_start, n_words`` of the best window and ``n_windows`` that match."""
+    """One row per (document, item) that match: ``doc_id, text_key`` (XXH64 of
+    the text as Spark computes it), ``item_id, similarity, word_start,
+    n_words`` of the best window and ``n_windows`` that match."""
     rows = docs.select(named(id_col).alias("doc_id"), F.xxhash64(named(text_col)).alias("text_key"), words_of(named(text_col)).alias("words"))
     bench = cut(
         items.select(named(item_id_col).alias("item_id"), words_of(named(item_text_col)).alias("words"))
@@ -164,14 +165,14 @@ def _find(rows: DataFrame, bench: DataFrame, k: int, similarity: float, radius:
     m = F.col("n") - (k - 1)
     last = F.greatest(F.size("sh") - m, F.lit(0))
     starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.least(p - m + 1, last), F.lit(0)), F.least(p, last)))))
-    windows = laid.select("doc_id", "n", "sh", F.explode_outer(starts).alias("s")).select("doc_id", "n", "s", F.slice("sh", F.col("s") + 1, m).alias("win"))
+    windows = laid.select("doc_id", "text_key", "n", "sh", F.explode_outer(starts).alias("s")).select("doc_id", "text_key", "n", "s", F.slice("sh", F.col("s") + 1, m).alias("win"))
     windows = windows.withColumn("fp", _simhash(F.col("win"), planes))
 
     # multi-index join, full distance, each pair once (at its first near block)
-    probes = windows.select("doc_id", "n", "s", "win", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)])).alias("x"))
-    pairs = probes.select("doc_id", "n", "s", "win", "fp", "x.block", "x.value").join(index, ["n", "block", "value"]).withColumn("diff", F.col("fp").bitwiseXOR(F.col("item_fp")))
+    probes = windows.select("doc_id", "text_key", "n", "s", "win", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)])).alias("x"))
+    pairs = probes.select("doc_id", "text_key", "n", "s", "win", "fp", "x.block", "x.value").join(index, ["n", "block", "value"]).withColumn("diff", F.col("fp").bitwiseXOR(F.col("item_fp")))
     first_block = F.coalesce(*[F.when(F.bit_count(_block(F.col("diff"), b)) <= radius // BLOCKS, F.lit(b)) for b in range(BLOCKS)])
-    pairs = pairs.filter((F.bit_count("diff") <= radius) & (F.col("block") == first_block)).select("doc_id", "item_id", "n", "s", "win")
+    pairs = pairs.filter((F.bit_count("diff") <= radius) & (F.col("block") == first_block)).select("doc_id", "text_key", "item_id", "n", "s", "win")
 
     # exact weighted Jaccard
     sets = broadcast_if_small(bench.select(F.col("item_id").alias("set_id"), F.col("n").alias("set_n"), "item_set"), size["shingles"])
@@ -179,6 +180,14 @@ def _find(rows: DataFrame, bench: DataFrame, k: int, similarity: float, radius:
     both = F.size(F.array_intersect("win_set", "item_set"))
     checked = checked.withColumn("similarity", both / (F.size("win_set") + F.size("item_set") - both)).filter(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("s")).alias("s"), "n")).alias("best")
-    return checked.groupBy("doc_id", "item_id").agg(best, F.countDistinct("s").alias("n_windows")).select(
-        "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).cast("long").alias("word_start"), F.col("best.n").cast("long").alias("n_words"), "n_windows"
+    return checked.groupBy("doc_id", "text_key", "item_id").agg(best, F.size(F.collect_set("s")).cast("long").alias("n_windows")).select(
+        "doc_id", "text_key", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).cast("long").alias("word_start"), F.col("best.n").cast("long").alias("n_words"), "n_windows"
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` without a match, all columns as they are."""
+    hit = find_matches(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")).distinct()
+    hit = cut(hit, "contaminated")
+    hit = broadcast_if_small(hit, hit.count())
+    return docs.join(hit, named(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(named(text_col)) == F.col("_hit_key")), "left_anti")

@@ -120,7 +120,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document, benchmark item) pairs where a window of the document matches
     the item: five-word shingles, weighted similarity of 0.8 or more."""
-    return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 @register("op7_html_extraction")

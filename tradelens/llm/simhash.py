@@ -17,9 +17,9 @@
 
 Defined results: null and empty texts (and texts of white space) have
 fingerprint zero, linked like any other; fewer words than the shingle length
-give one shingle, the whole sequence; repeated rows get equal classes; a null
-id never names a class unless the class has no other id; an empty table gives
-an empty result.
+give one shingle, the whole sequence; repeated rows get equal classes, of
+which exactly one row is kept; a null id never names a class unless the class
+has no other id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import cut, named
+from tradelens.llm.common import broadcast_if_small, cut, named
 from tradelens.llm.graph import components
 
 TILE = 4096
@@ -59,17 +59,20 @@ def text_fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row; ``fp`` is the 64-bit fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` per row; ``fp`` is the 64-bit fingerprint as a signed
+    long.  With ``carry`` also the whole input row as struct ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((text_fingerprint(t.as_py(), shingle) for t in b.column("text")), dtype=np.uint64, count=len(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            names = ["doc_id", "fp", *(["row"] if carry else [])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *([b.column("row")] if carry else [])], names)
 
-    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, fp long")
+    extra = [F.struct(*[named(c) for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"), *extra)
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("fp"), *(["row"] if carry else [])).schema
+    return rows.mapInArrow(run, schema)
 
 
 def block_masks(distance: int) -> list[int]:
@@ -157,14 +160,26 @@ def near_links(distinct_fps: DataFrame, distance: int) -> DataFrame:
     return dealt.mapInPandas(_link_groups(distance), "u long, v long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, carry: bool = False) -> DataFrame:
     """Near-duplicate classes: one row per input row with ``doc_id``,
-    ``fingerprint`` (16 lower-case hex digits) and ``component_id`` (smallest
-    id of the class reachable over links of at most ``distance`` bits)."""
-    rows = cut(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    ``fingerprint`` (16 lower-case hex digits), ``component_id`` (smallest id
+    of the class reachable over links of at most ``distance`` bits), ``kept``
+    (one row of each class) and, with ``carry``, the input row as struct ``row``."""
+    made = fingerprints(docs, id_col, text_col, shingle, carry).withColumn("row_id", F.monotonically_increasing_id())
+    rows = cut(made, "simhash-fp")  # fixes row_id
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    distinct = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")), "simhash-distinct")
     roots = components(near_links(distinct.select("fp"), distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    labelled = distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    classes = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = labelled.join(classes, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = distinct.join(roots, "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
+    classes = labelled.groupBy("root").agg(F.sum("n").alias("rows"), F.min("first").alias("keep")).filter(F.col("rows") > 1)
+    # only classes of several rows take part in the join back; any other row is its own class
+    shared = cut(labelled.join(classes, "root").select(F.col("fp").alias("class_fp"), "keep"), "simhash-classes")
+    shared = broadcast_if_small(shared, shared.count())
+    alone = F.col("keep").isNull()
+    return rows.join(shared, F.col("fp") == F.col("class_fp"), "left").select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("component_id"),
+        (alone | (F.col("keep.row_id") == F.col("row_id"))).alias("kept"),
+        *(["row"] if carry else []),
+    )
