@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradelens.llm.common import named
 
@@ -236,7 +237,7 @@ def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", tex
                 cols, names = [*cols, b.column("row")], [*names, "row"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double"
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     if carry:
-        schema = rows.select(F.col("doc_id"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"), "row").schema
+        schema.add(rows.schema["row"])
     return rows.mapInArrow(run, schema)

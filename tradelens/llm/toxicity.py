@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     n0 = float(word["n0"])
     mass = {c: F.when(F.col("stem"), float(total[True][c] if True in total else 0) + PRIOR * (total[True]["v"] if True in total else 0)).otherwise(float(word[c]) + PRIOR * word["v"]) for c in ("n1", "n0")}
     a1, a0 = F.col("n1") + PRIOR, F.col("n0") + PRIOR
-    delta = F.log(a1 / (mass["n1"] - a1)) - F.log(a0 / (mass["n0"] - a0))
+    delta = F.log(a1 / (mass["n1"] + PRIOR - a1)) - F.log(a0 / (mass["n0"] + PRIOR - a0))
     kept = counts.filter("n1 > 0").select("feature", "stem", "n0", delta.alias("delta"), (delta / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
     kept = kept.filter((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_RATIO))
     kept = kept.toPandas()
