@@ -37,7 +37,8 @@ from tradelens.llm.common import named
 
 ORDER = 3
 TRAIN_DOCS = 3000
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes scored at once
+SLICE = 512  # texts scored at once
 PAD = b"\n" * ORDER  # context before the first byte
 UNDETERMINED = "und"
 
@@ -156,7 +157,8 @@ class PpmModel:
                 state = nxt
             ends = np.cumsum([len(p) for p in parts])
             starts = ends - [len(p) - ORDER for p in parts]
-            bits = np.vstack([self.known_bits[state], np.zeros((1, len(self.langs)))])
+            bits = np.zeros((len(a) + 1, len(self.langs)))
+            np.take(self.known_bits, state, axis=0, out=bits[:-1])
             scored = np.zeros(len(a) + 1, dtype=np.int32)
             np.add.at(scored, starts, 1)
             np.add.at(scored, ends, -1)
@@ -220,7 +222,7 @@ def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, len(whole), SLICE)):
             texts = b.column("text").to_pylist()
             lang, score, per_byte = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
             todo = [i for i, t in enumerate(texts) if m is not None and t is not None and any(c.isalpha() for c in t)]
