@@ -18,7 +18,7 @@ def spark():
         "local[4]",
         app_name="tradelens-tests",
         shuffle_partitions=8,
-        extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tradelens-test-ckpt-")},
+        extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tradelens-test-ckpt-"), "spark.driver.memory": "4g", "spark.sql.ui.retainedExecutions": "20"},
     )
     yield s
     s.stop()

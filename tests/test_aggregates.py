@@ -130,3 +130,21 @@ def test_cache_top_n_by_count(spark):
     assert [r.key for r in E.cache_top_n(cache, "country", 5).collect()] == ["A", "B"]
     with pytest.raises(ValueError):
         E.cache_top_n(cache, "country", 1, sort_by="key")
+
+
+def test_tool_failures_are_reported(spark):
+    from tests.conftest import SF_SMALL
+    from tradelens.operators.aggregate import run_tools
+    from tradelens.sources.testbed import TestbedStore
+
+    spec = {"aggregations": [{"field": "totalValueUSD", "operation": "sum"}], "groupBy": ["importCompanyRawName"]}
+    bad = [
+        {"name": "nope"},
+        {"name": "aggregateTransactions", "parameters": {**spec, "sort": {"sum_totalValueUSD": "sideways"}}},
+        {"name": "aggregateTransactions", "parameters": {**spec, "sort": {"unknown": 1}}},
+        {"name": "countTransactions", "parameters": {"match": {"noField": 1}}},
+        {},
+    ]
+    out = run_tools(TestbedStore(spark, SF_SMALL), bad + [{"name": "aggregateTransactions", "parameters": {**spec, "sort": {"sum_totalValueUSD": -1}, "limit": 1}}])
+    assert all(isinstance(x, dict) and x["error"] for x in out[:-1])
+    assert out[-1].columns == ["import_company_raw_name", "sum_totalValueUSD"]

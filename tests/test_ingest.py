@@ -150,7 +150,7 @@ def test_stream_import(spark, tmp_dir):
     facts = spark.read.parquet(os.path.join(store, "transactions"))
     # part1 brings rows 1 and 3; part2 adds only row 4 (rows 1-3 already stored)
     assert facts.count() == 3
-    assert facts.select("batch_id").distinct().count() == 2
+    assert facts.select("import_id").distinct().count() == 2
 
 
 def test_quoted_cells(spark, tmp_dir):

@@ -113,11 +113,73 @@ def test_model_shortener(spark):
             return '"' + "x" * 150 + '"\nsecond line'
         return '"Tôm thẻ"\nignored'
 
-    df = spark.createDataFrame([(n,) for n in ["boom " + long_name, "tiny", "long", "tom"]], "raw_name string")
-    out = {r.raw_name: r._short for r in EN.classify_names(df, shortener=EN.model_shortener(fake)).collect()}
-    assert out["boom " + long_name] == ("boom " + long_name)[:97] + "..."
-    assert out["tiny"] == "tiny"[:97] + "..."
+    # only names beyond the limit reach the model
+    names = {k: k + " " + long_name for k in ("boom", "tiny", "long", "tom")} | {"short": "tiny"}
+    df = spark.createDataFrame([(n,) for n in names.values()], "raw_name string")
+    got = {r.raw_name: r._short for r in EN.classify_names(df, shortener=EN.model_shortener(fake)).collect()}
+    out = {k: got[n] for k, n in names.items()}
+    assert out["boom"] == names["boom"][:97] + "..."
+    assert out["tiny"] == names["tiny"][:97] + "..."
+    assert out["short"] == "tiny"
     assert out["long"] == "x" * 97 + "..."
     # quotes are stripped at the ends of the whole answer before the first
     # line is taken, so the closing quote of a multi-line answer stays
     assert out["tom"] == 'Tôm thẻ"'
+
+
+def test_hot_user_with_many_sessions(spark):
+    """One user holds a third of the events in thousands of sessions; only
+    border sessions are merged, and the result equals a plain scan."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(4)
+    t0, rows = datetime(2024, 1, 1), []
+    for u, n in ((1, 4000), *((u, 40) for u in range(2, 202))):
+        t = t0
+        for _ in range(n):
+            t += timedelta(minutes=rng.choice([5, 20, 30, 31, 90]))
+            rows.append((u, t, 1.0))
+    want = {}
+    for u, t, _ in sorted(rows):
+        runs = want.setdefault(u, [])
+        if runs and t - runs[-1][1] <= timedelta(minutes=30):
+            runs[-1][1] = t
+            runs[-1][2] += 1
+        else:
+            runs.append([t, t, 1])
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").repartition(6)
+    got = {}
+    for r in sessionize(df, slices=16).collect():
+        got.setdefault(r.user_id, []).append([r.session_start, r.session_end, r.events])
+    assert {u: sorted(x) for u, x in got.items()} == want
+
+
+def test_composition_of_decomposed_text(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from tradelens.functions import text as X
+
+    words = ["của Việt Nam", "Điện tử ệ ẩ ỡ", "naïve Ÿ", "plain", ""]
+    rows = [(unicodedata.normalize("NFD", w), w) for w in words] + [("ệ", "ệ"), ("ệ", "ệ"), ("ệ", "ệ")]
+    df = spark.createDataFrame(rows, "d string, w string")
+    assert all(r.n == r.w for r in df.select(X.nfc("d").alias("n"), "w").collect())
+    kept = spark.createDataFrame([(unicodedata.normalize("NFD", "của và những hàng hóa"),)], "t string")
+    assert kept.select(X.keywords("t").alias("k")).first().k == ["hàng", "hóa"]
+    cat = spark.createDataFrame([("Category: THỦY SẢN ĐÔNG LẠNH",)], "t string").select(X.parse_classification(F.col("t")).alias("c")).first().c
+    assert cat.category == "THỦY SẢN ĐÔNG LẠNH"
+
+
+def test_shortener_leaves_short_names(spark):
+    from pyspark.sql import functions as F
+
+    from tradelens.operators.enrich import model_shortener
+
+    def fn(name):
+        raise RuntimeError("model down")
+
+    df = spark.createDataFrame([("Gao",), ("x" * 150,)], "n string")
+    got = [r.s for r in df.select(model_shortener(fn)(F.col("n")).alias("s")).collect()]
+    assert got == ["Gao", "x" * 97 + "..."]

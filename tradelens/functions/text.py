@@ -1,19 +1,19 @@
 """Text Column functions (X1-X15): normalisation, diacritics, matching,
 truncation, keywords and the goods-name shortening rule.
 
-Everything but NFC is a built-in expression (``translate``,
-``regexp_replace``, ``levenshtein``, higher-order array functions); NFC has
-no SQL function in Spark 4.1, so it is one Arrow-batched pandas UDF.
+Everything is a built-in expression (``translate``, ``regexp_replace``,
+``levenshtein``, higher-order array functions).  NFC has no SQL function in
+Spark 4.1; it is composed here for the accented Latin letters.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
+from itertools import permutations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tradelens.schema import SHORT_NAME_MAX
 
@@ -113,19 +113,39 @@ def strip_vietnamese(c: ColumnOrName) -> Column:
     return F.translate(F.lower(_col(c)), VI_LOWER_ACCENTED, VI_LOWER_BASE)
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFC", v) if isinstance(v, str) else v)
+@cache
+def _compositions() -> list[tuple[str, str]]:
+    """(letter + combining marks, composed letter) for the accented Latin
+    letters, marks in either order and partly composed; longest first."""
+    out = {}
+    for code in (*range(0x00C0, 0x0180), 0x01A0, 0x01A1, 0x01AF, 0x01B0, *range(0x1EA0, 0x1EFA)):
+        letter = chr(code)
+        base, *marks = unicodedata.normalize("NFD", letter)
+        for order in permutations(marks):
+            for k in range(len(order)):  # the first k marks already composed
+                head = unicodedata.normalize("NFC", base + "".join(order[:k]))
+                if len(head) == 1:
+                    out[head + "".join(order[k:])] = letter
+    return sorted(out.items(), key=lambda x: (-len(x[0]), x[0]))
 
 
 def nfc(c: ColumnOrName) -> Column:
-    """Unicode NFC composition (Arrow-batched pandas UDF)."""
-    return _nfc(_col(c))
+    """Unicode composition (NFC) of accented Latin letters.
+
+    Rows without combining marks - nearly all - are returned after one
+    regex test; the others are composed pair by pair."""
+    marked, composed = (F.split(F.lit("|".join(x)), r"\|") for x in zip(*_compositions(), strict=True))
+    pairs = F.arrays_zip(marked.alias("a"), composed.alias("b"))  # a constant, folded once
+
+    def compose(x: Column) -> Column:
+        return F.when(x.rlike(r"\p{Mn}"), F.aggregate(pairs, x, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(x)
+
+    return F.transform(F.array(_col(c)), compose)[0]
 
 
 def normalize_vietnamese(c: ColumnOrName, compose: bool = True) -> Column:
     """NFC, trim, collapse whitespace.  ``compose=False`` skips NFC for
-    input already known to be composed (keeps the plan JVM-only)."""
+    input already known to be composed."""
     x = nfc(c) if compose else _col(c)
     return collapse_whitespace(x)
 
@@ -153,10 +173,10 @@ def last_index_of(c: Column, ch: str) -> Column:
     return F.when(pos == 0, F.lit(-1)).otherwise(F.length(c) - pos)
 
 
-def truncate_at_word(c: ColumnOrName, max_length: int, suffix: str = "...", compose: bool = False) -> Column:
+def truncate_at_word(c: ColumnOrName, max_length: int, suffix: str = "...", compose: bool = True) -> Column:
     """Cut at ``max_length``; back up to the last space when it lies
     beyond 80 % of the limit; append ``suffix``.  Text within the limit is
-    returned unchanged.  ``compose=True`` applies NFC before cutting."""
+    returned unchanged; NFC is applied before cutting unless ``compose`` is off."""
     x = _col(c)
     src = nfc(x) if compose else x
     cut = F.substring(src, 1, max_length)
@@ -178,7 +198,7 @@ def capitalize_words(c: ColumnOrName) -> Column:
     return F.array_join(cap, " ")
 
 
-def keywords(c: ColumnOrName, min_length: int = 3, compose: bool = False) -> Column:
+def keywords(c: ColumnOrName, min_length: int = 3, compose: bool = True) -> Column:
     """``array<string>`` of lower-cased words of at least ``min_length``
     characters that are not stop words."""
     words = F.split(F.lower(normalize_vietnamese(c, compose)), _WS)
@@ -186,11 +206,12 @@ def keywords(c: ColumnOrName, min_length: int = 3, compose: bool = False) -> Col
     return F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stops, w))
 
 
-def collate_vietnamese(c: ColumnOrName, collation: str = "UNICODE_CI_AI") -> Column:
+def collate_vietnamese(c: ColumnOrName, collation: str = "vi_CI_AI") -> Column:
     """A collated copy of ``c`` for ordering/comparison.
 
-    ``UNICODE_CI_AI`` equates case and accents (``Tôm`` = ``TOM``); pass
-    ``vi_CI`` for the Vietnamese alphabet order (ô after o)."""
+    ``vi_CI_AI`` equates case and tone marks but keeps the letters of the
+    Vietnamese alphabet apart (ô after o, ``Tôm`` <> ``TOM``); pass ``vi_CI`` to
+    tell tones apart too."""
     return F.collate(_col(c), collation)
 
 
@@ -221,7 +242,7 @@ def shortening_metrics(original: ColumnOrName, short: ColumnOrName) -> Column:
 
 
 # A category named in free text after the word "category".
-_CATEGORY_TEXT = r"(?i)category[:\s]+[\"']?([\w\sàáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđĐ&]+)"
+_CATEGORY_TEXT = r"(?iu)category[:\s]+[\"']?([\p{L}\p{M}\p{N}_\s&]+)"
 _CLASSIFICATION_JSON = "category string, confidence double, reasoning string"
 
 

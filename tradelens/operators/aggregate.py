@@ -11,6 +11,7 @@ a partially-aggregated hash aggregate, the sort+limit a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ class AggregationValidationError(ValueError):
     """Typed validation error ``(field, operation, reason)``."""
 
     def __init__(self, field_name: str, operation: str, reason: str):
-        super().__init__(f"Invalid aggregation: {operation} on field '{field_name}' - {reason}")
+        super().__init__(f"{operation} cannot use {field_name!r}: {reason}")
         self.field = field_name
         self.operation = operation
         self.reason = reason
@@ -38,21 +39,21 @@ class AggregationValidationError(ValueError):
 def validate_numeric(name: str) -> str:
     col = field(name)
     if col not in NUMERIC_FIELDS:
-        raise AggregationValidationError(name, "numeric aggregation", f"Field must be one of: {', '.join(NUMERIC_FIELDS)}")
+        raise AggregationValidationError(name, "numeric aggregation", f"allowed fields are {', '.join(NUMERIC_FIELDS)}")
     return col
 
 
 def validate_groupable(name: str) -> str:
     col = field(name)
     if col not in GROUPABLE_FIELDS:
-        raise AggregationValidationError(name, "grouping", f"Field must be one of: {', '.join(GROUPABLE_FIELDS)}")
+        raise AggregationValidationError(name, "grouping", f"allowed fields are {', '.join(GROUPABLE_FIELDS)}")
     return col
 
 
 def validate_date(name: str) -> str:
     col = field(name)
     if col not in DATE_FIELDS:
-        raise AggregationValidationError(name, "date operation", f"Field must be one of: {', '.join(DATE_FIELDS)}")
+        raise AggregationValidationError(name, "date operation", f"allowed fields are {', '.join(DATE_FIELDS)}")
     return col
 
 
@@ -77,11 +78,15 @@ def _regex(c: Column, pattern: str, options: str = "") -> Column:
     return c.rlike(prefix + pattern)
 
 
-def _false_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def _field_predicate(c: Column, spec, data_type, keep: bool) -> Column:
+    """One field's condition.  With ``keep`` the result only decides which
+    rows a filter keeps, where NULL and false are the same, so comparisons
+    stay bare and reach the scan; under a negation NULL must become false
+    first."""
 
+    def false_if_null(x: Column) -> Column:
+        return x if keep else F.coalesce(x, F.lit(False))
 
-def _field_predicate(c: Column, spec, data_type) -> Column:
     if isinstance(spec, Mapping) and spec and all(str(k).startswith("$") for k in spec):
         unknown = set(spec) - _COMPARE
         if unknown:
@@ -89,49 +94,56 @@ def _field_predicate(c: Column, spec, data_type) -> Column:
         conds = []
         for op, v in spec.items():
             if op == "$eq":
-                conds.append(c.isNull() if v is None else _false_if_null(c == _lit_for(v, data_type)))
+                conds.append(c.isNull() if v is None else false_if_null(c == _lit_for(v, data_type)))
             elif op == "$ne":
-                conds.append(c.isNotNull() if v is None else ~_false_if_null(c.eqNullSafe(_lit_for(v, data_type))))
+                conds.append(c.isNotNull() if v is None else ~c.eqNullSafe(_lit_for(v, data_type)))
             elif op in ("$gt", "$gte", "$lt", "$lte"):
                 lv = _lit_for(v, data_type)
                 cmp = {"$gt": c > lv, "$gte": c >= lv, "$lt": c < lv, "$lte": c <= lv}[op]
-                conds.append(_false_if_null(cmp))
+                conds.append(false_if_null(cmp))
             elif op in ("$in", "$nin"):
                 vals = list(v)
                 non_null = [x for x in vals if x is not None]
-                inside = _false_if_null(c.isin(*[_lit_for(x, data_type) for x in non_null])) if non_null else F.lit(False)
-                if any(x is None for x in vals):
-                    inside = inside | c.isNull()
-                conds.append(inside if op == "$in" else ~inside)
+                inside = c.isin(*[_lit_for(x, data_type) for x in non_null]) if non_null else F.lit(False)
+                if op == "$in":
+                    inside = false_if_null(inside)
+                    conds.append(inside | c.isNull() if len(non_null) < len(vals) else inside)
+                else:
+                    inside = F.coalesce(inside, F.lit(False))
+                    conds.append(~(inside | c.isNull()) if len(non_null) < len(vals) else ~inside)
             elif op == "$exists":
                 conds.append(c.isNotNull() if v else c.isNull())
             elif op == "$regex":
-                conds.append(_false_if_null(_regex(c, v, spec.get("$options", ""))))
+                conds.append(false_if_null(_regex(c, v, spec.get("$options", ""))))
             elif op == "$not":
-                conds.append(~_field_predicate(c, v, data_type))
+                conds.append(~_field_predicate(c, v, data_type, keep=False))
+        if not conds:
+            raise MatchError("empty condition")
         out = conds[0]
         for x in conds[1:]:
             out = out & x
         return out
     if spec is None:
         return c.isNull()
-    return _false_if_null(c == _lit_for(spec, data_type))
+    return false_if_null(c == _lit_for(spec, data_type))
 
 
-def match_to_column(doc: Mapping | None, schema: T.StructType | None = None) -> Column:
+def match_to_column(doc: Mapping | None, schema: T.StructType | None = None, keep: bool = True) -> Column:
     """Compile a match document into one boolean Column.
 
     Supports implicit equality, ``$eq $ne $gt $gte $lt $lte $in $nin
     $exists $regex/$options $not`` per field and ``$and $or $nor`` lists.
     ``{f: null}`` matches NULL; ``$ne``/``$nin`` match NULL rows.  The
-    result is never NULL, so negations behave like the document store."""
+    result is meant for ``filter``: a row is kept where it is true (it may be
+    NULL where the document store says false).  Inside ``$not``/``$nor``
+    conditions are never NULL, so negations behave like the document store."""
     if not doc:
         return F.lit(True)
     types = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
     conds = []
     for key, spec in doc.items():
         if key in ("$and", "$or", "$nor"):
-            parts = [match_to_column(d, schema) for d in spec]
+            parts = [match_to_column(d, schema, keep and key != "$nor") for d in spec]
             if not parts:
                 raise MatchError(f"{key} needs a non-empty list")
             out = parts[0]
@@ -142,7 +154,7 @@ def match_to_column(doc: Mapping | None, schema: T.StructType | None = None) ->
             raise MatchError(f"unknown top-level operator {key!r}")
         else:
             col = field(key)
-            conds.append(_field_predicate(F.col(col), spec, types.get(col)))
+            conds.append(_field_predicate(F.col(col), spec, types.get(col), keep))
     out = conds[0]
     for c in conds[1:]:
         out = out & c
@@ -161,6 +173,26 @@ def match_fields(doc: Mapping | None) -> set[str]:
     return out
 
 
+def match_dates(doc: Mapping | None) -> tuple | None:
+    """Date range every matching row lies in, from the document's top-level
+    (and ``$and``) conditions on ``date``; None when it gives none."""
+    lo, hi = None, None
+    for d in [doc or {}, *(doc or {}).get("$and", [])]:
+        spec = d.get("date")
+        if isinstance(spec, str):
+            spec = {"$eq": spec}
+        if not isinstance(spec, Mapping):
+            continue
+        for op, v in spec.items():
+            if not isinstance(v, str) or not re.match(r"^\d{4}-\d{2}", v):
+                continue
+            if op in ("$eq", "$gt", "$gte"):
+                lo = v if lo is None else max(lo, v)
+            if op in ("$eq", "$lt", "$lte"):
+                hi = v if hi is None else min(hi, v)
+    return (lo, hi) if lo or hi else None
+
+
 # ---------------------------------------------------------------- A1 generic aggregate
 
 
@@ -172,8 +204,8 @@ class AggregationConfig:
 
     @property
     def output(self) -> str:
-        # default alias uses the resolved column name (``sum_total_value_usd``)
-        return self.alias or f"{self.operation}_{field(self.field)}"
+        # the default alias names the field as the caller wrote it (``sum_totalValueUSD``)
+        return self.alias or f"{self.operation}_{self.field}"
 
 
 def _as_configs(aggregations) -> list[AggregationConfig]:
@@ -203,7 +235,15 @@ def _agg_expr(cfg: AggregationConfig, data_type: T.DataType) -> Column:
         return F.max(col)
     if op == "count":
         return F.count(F.lit(1))
-    raise AggregationValidationError(cfg.field, op, "Unsupported aggregation type")
+    raise AggregationValidationError(cfg.field, op, f"known operations are {', '.join(OPERATIONS)}")
+
+
+def _sort_key(name: str, outputs: Sequence[str]) -> str:
+    """A sort key names an output column, or the field behind one."""
+    for candidate in (name, field(name)):
+        if candidate in outputs:
+            return candidate
+    raise AggregationValidationError(name, "sort", f"output columns are {', '.join(outputs)}")
 
 
 def aggregate_frame(
@@ -219,7 +259,7 @@ def aggregate_frame(
     """A1 over any fact-shaped DataFrame."""
     configs = _as_configs(aggregations)
     if not configs:
-        raise AggregationValidationError("aggregations", "pipeline", "At least one aggregation operation is required")
+        raise AggregationValidationError("aggregations", "pipeline", "no aggregation given")
     keys = [validate_groupable(g) for g in (group_by or [])]
     if match:
         df = df.filter(match_to_column(match, df.schema))
@@ -233,7 +273,7 @@ def aggregate_frame(
     if not raw_decimals:
         out = out.select(*[F.col(c).cast("double").alias(c) if isinstance(out.schema[c].dataType, T.DecimalType) else F.col(c) for c in out.columns])
     if sort:
-        out = out.orderBy(*order_columns(sort_spec({field(k): v for k, v in sort.items()}), keys))
+        out = out.orderBy(*order_columns(sort_spec({_sort_key(k, out.columns): v for k, v in sort.items()}), keys))
     if skip is not None and skip > 0:
         out = out.offset(skip)
     if limit is not None and limit > 0:
@@ -250,7 +290,7 @@ def _needed(aggregations, group_by, match) -> list[str]:
 
 def aggregate_transactions(store: Store, aggregations, group_by=None, match=None, sort=None, limit=None, skip=None, raw_decimals=False) -> DataFrame:
     """A1: the generic tool; reads only the fact columns it needs."""
-    df = store.facts(_needed(aggregations, group_by, match))
+    df = store.facts(_needed(aggregations, group_by, match), dates=match_dates(match))
     return aggregate_frame(df, aggregations, group_by, match, sort, limit, skip, raw_decimals)
 
 
@@ -265,18 +305,18 @@ def _scalar_frame(df: DataFrame, name: str) -> DataFrame:
 def sum_field(store: Store, field_name: str, match=None) -> DataFrame:
     """A7 sumField: one row ``sum_<field>``, 0 when nothing matches."""
     name = f"sum_{field(field_name)}"
-    return _scalar_frame(aggregate_transactions(store, [AggregationConfig(field_name, "sum")], match=match), name)
+    return _scalar_frame(aggregate_transactions(store, [AggregationConfig(field_name, "sum", name)], match=match), name)
 
 
 def avg_field(store: Store, field_name: str, match=None) -> DataFrame:
     """A7 avgField: one row ``avg_<field>``, 0 when nothing matches."""
     name = f"avg_{field(field_name)}"
-    return _scalar_frame(aggregate_transactions(store, [AggregationConfig(field_name, "avg")], match=match), name)
+    return _scalar_frame(aggregate_transactions(store, [AggregationConfig(field_name, "avg", name)], match=match), name)
 
 
 def count_transactions(store: Store, match=None) -> DataFrame:
     """A7 countTransactions: one row ``count``."""
-    df = store.facts(sorted(match_fields(match)) or ["declaration_number"])
+    df = store.facts(sorted(match_fields(match)) or ["declaration_number"], dates=match_dates(match))
     if match:
         df = df.filter(match_to_column(match, df.schema))
     return df.agg(F.count(F.lit(1)).alias("count"))
@@ -293,9 +333,9 @@ def get_top_by_field(store: Store, field_name: str, group_by: Sequence[str], ope
 def count_and_group(store: Store, group_by: Sequence[str], match=None) -> DataFrame:
     """A9 countAndGroup: number of distinct key combinations (NULL is a group)."""
     if not group_by:
-        raise AggregationValidationError("groupBy", "count and group", "At least one groupBy field is required")
+        raise AggregationValidationError("groupBy", "count and group", "no groupBy field given")
     keys = [validate_groupable(g) for g in group_by]
-    df = store.facts(sorted(set(keys) | match_fields(match)))
+    df = store.facts(sorted(set(keys) | match_fields(match)), dates=match_dates(match))
     if match:
         df = df.filter(match_to_column(match, df.schema))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("group_count"))
@@ -305,7 +345,7 @@ def get_distinct_values(store: Store, field_name: str, match=None, limit: int =
     """A10 getDistinctValues: distinct, ascending (NULL first), first
     ``limit`` (<= 0: all), NULL removed after the limit (Q14)."""
     col = validate_groupable(field_name)
-    df = store.facts(sorted({col} | match_fields(match)))
+    df = store.facts(sorted({col} | match_fields(match)), dates=match_dates(match))
     if match:
         df = df.filter(match_to_column(match, df.schema))
     out = df.select(F.col(col).alias("value")).distinct().orderBy(F.col("value").asc_nulls_first())
@@ -346,12 +386,13 @@ TOOLS = {
 
 
 def run_tool(store: Store, name: str, params: Mapping) -> DataFrame:
-    """Tool name -> DataFrame; unknown names and bad specs raise ToolError."""
+    """Tool name -> DataFrame; an unknown name or any failure to plan the
+    request (bad spec, unknown field, bad sort direction) raises ToolError."""
     if name not in TOOLS:
-        raise ToolError(f"Unknown tool: {name}")
+        raise ToolError(f"no tool named {name!r}")
     try:
         return TOOLS[name](store, dict(params or {}))
-    except (AggregationValidationError, MatchError, KeyError) as e:
+    except Exception as e:
         raise ToolError(str(e)) from e
 
 
@@ -360,7 +401,7 @@ def run_tools(store: Store, requests: Sequence[Mapping]) -> list:
     out = []
     for req in requests:
         try:
-            out.append(run_tool(store, req["name"], req.get("parameters", {})))
+            out.append(run_tool(store, req.get("name"), req.get("parameters", {})))
         except ToolError as e:
             out.append({"error": str(e)})
     return out

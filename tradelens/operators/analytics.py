@@ -30,7 +30,7 @@ def working_set(
     within a date range: date, company_name, category, goods_name, value.
 
     Name lists become semi-joins against the (small) filtered dimensions."""
-    tx = store.facts(["date", "company_id", "goods_id", "total_value_usd"])
+    tx = store.facts(["date", "company_id", "goods_id", "total_value_usd"], dates=(date_from, date_to))
     cond = date_range(F.col("date"), date_from, date_to)
     if cond is not None:
         tx = tx.filter(cond)

@@ -42,34 +42,39 @@ class AggregationSpec:
             raise ValueError("field must be non-empty")
 
 
-def engine_view(store: Store) -> DataFrame:
+# engine field -> (fact column, or dimension it comes from)
+_VIEW_FACT = ("declaration_number", "date", "import_country", "customs_office", "quantity", "unit", "unit_price_usd", "total_value_usd", "month")
+_VIEW_COMPANY = {"import_company_name": "name", "import_company_address": "address"}
+VIEW_FIELDS = (
+    "declaration_number", "date", "import_company_name", "import_company_address", "category_name", "import_country",
+    "customs_office", "goods_name", "quantity", "unit", "unit_price_usd", "total_value_usd", "month",
+)
+
+
+def engine_view(store: Store, fields: Sequence[str] | None = None) -> DataFrame:
     """The denormalised row the engine works on: fact ⟕ company ⟕ goods ⟕
-    category (declaration_number, date, import_company_name,
-    import_company_address, category_name, import_country, customs_office,
-    goods_name, quantity, unit, unit_price_usd, total_value_usd, month)."""
-    tx = store.facts(
-        [
-            "declaration_number", "date", "company_id", "goods_id", "import_country", "customs_office",
-            "quantity", "unit", "unit_price_usd", "total_value_usd", "month",
-        ]
-    )
-    comp = store.companies().select("company_id", F.col("name").alias("import_company_name"), F.col("address").alias("import_company_address"))
-    joined = store.attach_goods(tx.join(comp, "company_id", "left"), {"raw_name": "goods_name"}, category_col="category_name")
-    return joined.select(
-        "declaration_number",
-        "date",
-        "import_company_name",
-        "import_company_address",
-        "category_name",
-        "import_country",
-        "customs_office",
-        "goods_name",
-        "quantity",
-        "unit",
-        "unit_price_usd",
-        "total_value_usd",
-        "month",
-    )
+    category, restricted to ``fields`` (default all of ``VIEW_FIELDS``).
+
+    Only the tables the fields come from are read and joined: a left join
+    to a dimension cannot be dropped by the optimizer, so a total over one
+    fact column must not ask for it in the first place."""
+    from tradelens.schema import resolve
+
+    wanted = VIEW_FIELDS if fields is None else tuple(dict.fromkeys(resolve(f, VIEW_FIELDS) for f in fields))
+    unknown = [f for f in wanted if f not in VIEW_FIELDS]
+    if unknown:
+        raise ValueError(f"unknown fields {unknown}")
+    company = [f for f in wanted if f in _VIEW_COMPANY]
+    goods = "goods_name" in wanted
+    category = "category_name" in wanted
+    columns = [f for f in wanted if f in _VIEW_FACT] + ["company_id"] * bool(company) + ["goods_id"] * (goods or category)
+    out = store.facts(columns)
+    if company:
+        dim = store.companies().select("company_id", *[F.col(_VIEW_COMPANY[f]).alias(f) for f in company])
+        out = out.join(dim, "company_id", "left")
+    if goods or category:
+        out = store.attach_goods(out, {"raw_name": "goods_name"} if goods else {}, category_col="category_name" if category else None)
+    return out.select(*wanted)
 
 
 def js_key(c: Column, dt: T.DataType) -> Column:
@@ -148,32 +153,38 @@ def compute_aggregation(df: DataFrame, spec: AggregationSpec) -> DataFrame:
 def compute_aggregations(df: DataFrame, specs: Sequence[AggregationSpec]) -> DataFrame:
     """Many specs in one call, long form ``(spec_id, key, value, count)``.
 
-    Specs sharing a group field are fused into one ``groupBy`` (one shuffle
-    per distinct key field, whatever the number of specs)."""
-    by_key: dict[str | None, list[tuple[int, AggregationSpec]]] = {}
-    for i, s in enumerate(specs):
-        s = AggregationSpec(_col_name(df, s.field), s.operation, _col_name(df, s.group_by) if s.group_by else None)
-        by_key.setdefault(s.group_by, []).append((i, s))
+    One grouping-sets pass computes all of them: the rows are read once and
+    shuffled once, whatever the number of specs and key fields."""
+    resolved = [AggregationSpec(_col_name(df, s.field), s.operation, _col_name(df, s.group_by) if s.group_by else None) for s in specs]
+    if not resolved:
+        raise ValueError("no aggregation given")
     sch = df.schema
-    parts = []
-    for key_field, items in by_key.items():
-        values = {s.field for _, s in items}
-        cols = [js_value(F.col(v), sch[v].dataType).alias(f"_v_{v}") for v in sorted(values)]
-        key = js_key(F.col(key_field), sch[key_field].dataType) if key_field else F.lit("Total")
-        base = df.select(key.alias("key"), *cols)
-        aggs = [_value_aggs(F.col(f"_v_{s.field}"), s.operation).alias(f"_a{i}") for i, s in items]
-        grouped = base.groupBy("key") if key_field else base.groupBy()
-        agg = grouped.agg(F.count(F.lit(1)).alias("count"), *aggs)
-        if not key_field:
-            agg = agg.withColumn("key", F.lit("Total"))
-        stacked = F.explode(
-            F.array(*[F.struct(F.lit(i).cast("long").alias("spec_id"), F.coalesce(F.col(f"_a{i}"), F.lit(0.0)).alias("value")) for i, _ in items])
+    key_fields = list(dict.fromkeys(s.group_by for s in resolved if s.group_by))
+    base = df.select(
+        *[js_key(F.col(k), sch[k].dataType).alias(f"_k{i}") for i, k in enumerate(key_fields)],
+        *[js_value(F.col(v), sch[v].dataType).alias(f"_v_{v}") for v in sorted({s.field for s in resolved})],
+    )
+    aggs = [F.count(F.lit(1)).alias("count")] + [_value_aggs(F.col(f"_v_{s.field}"), s.operation).alias(f"_a{i}") for i, s in enumerate(resolved)]
+    total = any(s.group_by is None for s in resolved)
+    if key_fields:
+        keys = [F.col(f"_k{i}") for i in range(len(key_fields))]
+        agg = base.groupingSets([[k] for k in keys] + ([[]] if total else []), *keys).agg(F.grouping_id().alias("_gid"), *aggs)
+    else:
+        agg = base.agg(*aggs).withColumn("_gid", F.lit(0).cast("long"))
+    n = len(key_fields)
+    gid = {k: (1 << n) - 1 - (1 << (n - 1 - i)) for i, k in enumerate(key_fields)} | {None: (1 << n) - 1}
+    rows = [
+        F.when(
+            F.col("_gid") == gid[s.group_by],
+            F.struct(
+                F.lit(i).cast("long").alias("spec_id"),
+                (F.col(f"_k{key_fields.index(s.group_by)}") if s.group_by else F.lit("Total")).alias("key"),
+                F.coalesce(F.col(f"_a{i}"), F.lit(0.0)).alias("value"),
+            ),
         )
-        parts.append(agg.select("key", "count", stacked.alias("s")).select("s.spec_id", "key", "s.value", "count"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        for i, s in enumerate(resolved)
+    ]
+    return agg.select("count", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("s")).select("s.spec_id", "s.key", "s.value", "count")
 
 
 # ---------------------------------------------------------------- roll-up cache
@@ -186,24 +197,31 @@ CACHE_DIMENSIONS = {
 }
 
 
-def build_cache(view: DataFrame, value_field: str = "total_value_usd", extras: bool = False) -> DataFrame:
+def build_cache(view: DataFrame, value_field: str = "total_value_usd", extras: bool = False, only: Sequence[str] | None = None) -> DataFrame:
     """A27 (A29 with ``extras``): Σ value and count by importer, category,
     import country and month (``yyyy-MM``; rows without a date skipped) —
     plus goods name and the grand total with ``extras`` — in ONE grouping
-    sets pass.  Long form ``(dim, key, value, count)``.
+    sets pass.  Long form ``(dim, key, value, count)``.  ``only`` restricts
+    the cache to some of its dimensions (and the view to their fields).
 
     Keys are made non-NULL (``Unknown``) *before* grouping and the sets are
     told apart by ``grouping_id()``, never by NULL."""
     sch = view.schema
     dims = ["importCompany", "category", "country"] + (["goods"] if extras else [])
+    with_month, with_total = True, extras
+    if only is not None:
+        unknown = set(only) - {*CACHE_DIMENSIONS, "month", "total"}
+        if unknown:
+            raise ValueError(f"unknown cache dimension(s): {sorted(unknown)}")
+        dims, with_month, with_total = [d for d in CACHE_DIMENSIONS if d in only], "month" in only, "total" in only
     cols = {d: js_key(F.col(CACHE_DIMENSIONS[d]), sch[CACHE_DIMENSIONS[d]].dataType).alias(d) for d in dims}
     base = view.select(
         *cols.values(),
-        month_key("date").alias("month"),
+        *([month_key("date").alias("month")] if with_month else []),
         js_value(F.col(value_field), sch[value_field].dataType).alias("_v"),
     )
-    keys = dims + ["month"]
-    sets = [[F.col(k)] for k in keys] + ([[]] if extras else [])
+    keys = dims + (["month"] if with_month else [])
+    sets = [[F.col(k)] for k in keys] + ([[]] if with_total else [])
     agg = base.groupingSets(sets, *[F.col(k) for k in keys]).agg(
         F.grouping_id().alias("_gid"),
         F.sum("_v").cast("double").alias("value"),

@@ -1,7 +1,9 @@
 """Structured filter expressions with smart text matching.
 
-A list of ``FilterExpression`` compiles to ONE boolean Column, so Catalyst
-pushes whatever it can to the scan and the rest runs in codegen.
+A list of ``FilterExpression`` compiles to ONE boolean Column.  Numeric and
+date comparisons are bare predicates on the column and reach the Parquet
+scan; text matching runs on the scanned rows (its array lambdas are
+interpreted, not code-generated).
 
 Connector rule (P10): the connector stored on filter *i* joins it to filter
 *i+1*, evaluated left to right with a short-circuit on a false running
@@ -12,8 +14,10 @@ connector is ignored; an empty list keeps every row).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +61,6 @@ class FilterOptions:
     remove_diacritics: bool = False
     synonyms: dict[str, list[str]] | None = None
     synonym_mode: str = "reference"
-    extra: dict = field(default_factory=dict)
 
 
 def validate_filter(f: FilterExpression, columns: Sequence[str] | None = None) -> None:
@@ -103,6 +106,21 @@ def _js_number_py(v) -> float | None:
     return None
 
 
+def _comparable(c: Column, dt: T.DataType) -> Column:
+    """The column as a JS number for comparisons; numeric columns stay as
+    they are, so the comparison reaches the scan."""
+    return c if isinstance(dt, T.NumericType) else js_number(c, dt.simpleString())
+
+
+def _number_lit(value: float, dt: T.DataType) -> Column:
+    """The number in the column's own kind, so no cast wraps the column."""
+    if isinstance(dt, T.IntegralType) and value.is_integer() and abs(value) < 2**31:
+        return F.lit(int(value))
+    if isinstance(dt, T.DecimalType) and math.isfinite(value) and abs(value) < 1e15:
+        return F.lit(Decimal(repr(value)))
+    return F.lit(value)
+
+
 def _text_match(field_str: Column, value: str, strategy: str, threshold: int, opts: FilterOptions, norm_f: Column | None = None) -> Column:
     if norm_f is None:
         norm_f = normalize_text(field_str, remove_accents=opts.remove_diacritics)
@@ -127,7 +145,8 @@ def _resolved(f: FilterExpression, schema: T.StructType) -> FilterExpression:
 
 
 def filter_column(f: FilterExpression, schema: T.StructType, opts: FilterOptions = FilterOptions()) -> Column:
-    """One filter -> boolean Column (never NULL; NULL field -> false).
+    """One filter -> boolean Column for ``filter`` (a NULL field is
+    never kept; numeric and date comparisons may be NULL there).
 
     A text field is normalised ONCE per row and the normalised value is
     bound to a lambda variable (``exists(array(norm), n -> pred(n))``).
@@ -147,6 +166,8 @@ def filter_column(f: FilterExpression, schema: T.StructType, opts: FilterOptions
             pred = F.exists(F.array(plain), lambda n: _predicate(f, c, dt, opts, n, n))
     else:
         pred = _predicate(f, c, dt, opts, None, None)
+        if f.operator in ("greaterThan", "lessThan", "between", "equals", "in"):
+            return c.isNotNull() & pred  # no negation follows: NULL and false both drop the row
     return c.isNotNull() & F.coalesce(pred, F.lit(False))
 
 
@@ -194,8 +215,8 @@ def _predicate(f: FilterExpression, c: Column, dt: T.DataType, opts: FilterOptio
         nv = _js_number_py(v)
         if nv is None:
             return F.lit(False)
-        num = js_number(c, dt.simpleString())
-        return (num > F.lit(nv)) if op == "greaterThan" else (num < F.lit(nv))
+        num, x = _comparable(c, dt), _number_lit(nv, dt)
+        return (num > x) if op == "greaterThan" else (num < x)
     if op == "between":
         if not isinstance(v, (list, tuple)) or len(v) != 2:
             return F.lit(False)
@@ -206,8 +227,8 @@ def _predicate(f: FilterExpression, c: Column, dt: T.DataType, opts: FilterOptio
         lo, hi = _js_number_py(v[0]), _js_number_py(v[1])
         if lo is None or hi is None:
             return F.lit(False)
-        num = js_number(c, dt.simpleString())
-        return (num >= F.lit(lo)) & (num <= F.lit(hi))
+        num = _comparable(c, dt)
+        return (num >= _number_lit(lo, dt)) & (num <= _number_lit(hi, dt))
     if op == "in":
         if not isinstance(v, (list, tuple)):
             return F.lit(False)

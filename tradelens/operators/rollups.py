@@ -98,7 +98,7 @@ def company_rollup(
     the JS way), unique_goods_count, first/last transaction date (ISO text).
     Filters: date range and category before grouping; ``search`` (regex on
     the company name) after grouping (P7)."""
-    tx = store.facts(["company_id", "goods_id", "total_value_usd", "quantity", "date"])
+    tx = store.facts(["company_id", "goods_id", "total_value_usd", "quantity", "date"], dates=(date_from, date_to))
     tx = _where(tx, date_range(F.col("date"), date_from, date_to))
     if category is not None:
         tx = tx.join(goods_in_category(store, category), "goods_id", "left_semi")
@@ -290,7 +290,7 @@ def goods_rollup(
     on the importer name (semi-join, J4; fixes Q1), ``search`` a regex on
     raw or short name, ``category`` an exact name.  Facts are aggregated to
     goods grain before the dimension join (not a group-join)."""
-    tx = store.facts(["goods_id", "company_id", "quantity", "total_value_usd", "date"])
+    tx = store.facts(["goods_id", "company_id", "quantity", "total_value_usd", "date"], dates=(date_from, date_to))
     tx = _where(tx, date_range(F.col("date"), date_from, date_to))
     if company:
         tx = tx.join(companies_matching(store, company), "company_id", "left_semi")
@@ -347,7 +347,7 @@ def goods_list_page(store: Store, page=1, page_size=50, sort_by: str | None = No
 def goods_mean_price(store: Store, date_from=None, date_to=None) -> DataFrame:
     """Per goods Σ, Σ, count, **plain mean** of unit price (rounded to
     6 dp), first and last date, category (Q3 fixed: the filter applies)."""
-    tx = store.facts(["goods_id", "quantity", "total_value_usd", "unit_price_usd", "date"])
+    tx = store.facts(["goods_id", "quantity", "total_value_usd", "unit_price_usd", "date"], dates=(date_from, date_to))
     tx = _where(tx, date_range(F.col("date"), date_from, date_to))
     per = tx.groupBy("goods_id").agg(
         F.sum("quantity").alias("_qty"),
@@ -525,7 +525,7 @@ def transactions_view(
     Unmatched dimension fields become ``''`` (P2).  Fact predicates are
     applied before the joins (pushed to the scan); name predicates after."""
     with_raw = include_raw and "raw_data" in _fact_columns(store)
-    tx = store.facts(list(_TX_COLUMNS) + (["raw_data"] if with_raw else []))
+    tx = store.facts(list(_TX_COLUMNS) + (["raw_data"] if with_raw else []), dates=(date_from, date_to))
     fact_conds = [
         date_range(F.col("date"), date_from, date_to),
         (F.col("hs_code") == hs_code) if hs_code is not None else None,

@@ -1,8 +1,9 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
 Every query reads the driver's tables through ``TestbedStore`` (or data
-Spark derives from them) and runs over whole tables.  The DuckDB twins live
-in ``plans.oracles``.
+Spark derives from them) and runs over whole tables.  Queries of the import
+jobs read stand-in inputs selected from them (``import_batch``,
+``stored_lines``).  The DuckDB twins live in ``plans.oracles``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradelens.functions.numbers import iso_timestamp
 from tradelens.operators import rollups as R
 from tradelens.sources.testbed import TestbedStore
 
@@ -197,6 +199,30 @@ def _tool_aggregate(s):
     return A.run_tool(s, "aggregateTransactions", TOOL_AGGREGATE_PARAMS)
 
 
+# the two examples of the tool's documentation, over the test data's values
+@register("tool_example_top_importers")
+def _tool_example_top_importers(s):
+    return A.run_tool(
+        s,
+        "aggregateTransactions",
+        {"aggregations": [{"field": "totalValueUSD", "operation": "sum"}], "groupBy": ["importCompanyRawName"], "sort": {"sum_totalValueUSD": -1}, "limit": 10},
+    )
+
+
+@register("tool_example_average")
+def _tool_example_average(s):
+    return A.run_tool(
+        s,
+        "aggregateTransactions",
+        {
+            "aggregations": [{"field": "totalValueUSD", "operation": "avg", "alias": "avgPrice"}, {"field": "quantity", "operation": "sum", "alias": "totalQty"}],
+            "groupBy": ["goodsRawName", "unit"],
+            "match": {"year": 1997, "importCountry": "NATION_3"},
+            "sort": {"avgPrice": -1},
+        },
+    )
+
+
 @register("tool_sum_field")
 def _tool_sum_field(s):
     return A.run_tool(s, "sumField", {"field": "total_value_usd", "match": {"customsOffice": "ASIA"}})
@@ -320,12 +346,12 @@ def _filter_audit(s):
 
 @register("agg_js_grouped")
 def _agg_js_grouped(s):
-    return E.group_by(E.engine_view(s), "import_country", "total_value_usd", "sum")
+    return E.group_by(E.engine_view(s, ["import_country", "total_value_usd"]), "import_country", "total_value_usd", "sum")
 
 
 @register("agg_total")
 def _agg_total(s):
-    return E.compute_total(E.engine_view(s), "quantity", "average")
+    return E.compute_total(E.engine_view(s, ["quantity"]), "quantity", "average")
 
 
 MULTI_SPECS = [
@@ -339,7 +365,7 @@ MULTI_SPECS = [
 
 @register("agg_multi_spec")
 def _agg_multi_spec(s):
-    return E.compute_aggregations(E.engine_view(s), MULTI_SPECS)
+    return E.compute_aggregations(E.engine_view(s, [f for x in MULTI_SPECS for f in (x.field, x.group_by) if f]), MULTI_SPECS)
 
 
 @register("agg_cache")
@@ -349,17 +375,17 @@ def _agg_cache(s):
 
 @register("agg_cache_top_n")
 def _agg_cache_top_n(s):
-    return E.cache_top_n(E.build_cache(E.engine_view(s)), "importCompany", 10)
+    return E.cache_top_n(E.build_cache(E.engine_view(s, ["import_company_name", "total_value_usd"]), only=["importCompany"]), "importCompany", 10)
 
 
 @register("time_series_month")
 def _time_series_month(s):
-    return E.time_series(E.engine_view(s), "total_value_usd", "sum")
+    return E.time_series(E.engine_view(s, ["date", "total_value_usd"]), "total_value_usd", "sum")
 
 
 @register("full_data_points")
 def _full_data_points(s):
-    return E.full_data_points(E.engine_view(s), "category_name", "total_value_usd")
+    return E.full_data_points(E.engine_view(s, ["category_name", "total_value_usd"]), "category_name", "total_value_usd")
 
 
 @register("summary_lines")
@@ -381,20 +407,26 @@ BATCH_COLUMNS = (*DEDUP_KEY, "line_no", "goods_id", "supplier_id", "quantity", "
 BATCH_ORDER = ("file_no", "declaration_number", "line_no", "goods_id", "supplier_id", "quantity")
 
 
+def _nibble(c: str, at: int) -> F.Column:
+    """One hexadecimal digit of a value's MD5: a fixed sixteenth per digit."""
+    return F.substring(F.md5(F.col(c)), at, 1)
+
+
 def import_batch(s) -> DataFrame:
-    """Stand-in import file: two overlapping date slices of the fact lines
-    concatenated (an export delivered twice with a 3-month overlap), with
-    ``file_no`` giving file order.  Only selection and renaming here."""
+    """Stand-in import file: every fact line, followed by the lines of 6/16 of
+    the declarations once more (an export delivered again), with ``file_no``
+    giving file order.  Only selection and renaming here."""
     f = s.facts(list(BATCH_COLUMNS))
-    a = f.filter((F.col("date") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col("date") < F.lit("1997-07-01").cast("timestamp_ntz")))
-    b = f.filter((F.col("date") >= F.lit("1997-04-01").cast("timestamp_ntz")) & (F.col("date") < F.lit("1997-10-01").cast("timestamp_ntz")))
-    return a.withColumn("file_no", F.lit(0)).unionByName(b.withColumn("file_no", F.lit(1)))
+    again = f.filter(_nibble("declaration_number", 2) < "6")
+    return f.withColumn("file_no", F.lit(0)).unionByName(again.withColumn("file_no", F.lit(1)))
 
 
 def stored_lines(s) -> DataFrame:
-    """Stand-in target table: the lines already imported (Oct 1996 - mid May 1997)."""
+    """Stand-in target table: the lines already imported - half of the
+    declarations, without 3/16 of the goods and 1/16 of the companies, which
+    are new to the store."""
     f = s.facts(list(BATCH_COLUMNS))
-    return f.filter((F.col("date") >= F.lit("1996-10-01").cast("timestamp_ntz")) & (F.col("date") < F.lit("1997-05-15").cast("timestamp_ntz")))
+    return f.filter((_nibble("declaration_number", 1) < "8") & (_nibble("goods_raw_name", 1) >= "3") & (_nibble("import_company_raw_name", 1) >= "1"))
 
 
 @register("dedup_in_file")
@@ -450,18 +482,52 @@ def _dim_goods_new(s):
 
 @register("import_summary")
 def _import_summary(s):
-    batch = import_batch(s)
-    unique = D.dedup_in_file(batch, BATCH_ORDER).drop("occurrences")
-    new, _ = D.split_against_table(unique, stored_lines(s))
-    stored_goods = _stored_goods(s)
-    return D.import_summary(
-        batch,
-        unique,
-        new,
-        D.new_companies(new, _stored_companies(s)),
-        D.new_goods(new, stored_goods, BATCH_ORDER),
-        goods_reused=D.goods_reused(new, stored_goods),
-    )
+    stored = stored_lines(s)
+    return D.import_report(import_batch(s), BATCH_ORDER, stored, _stored_companies(s), _stored_goods(s))
+
+
+# ---------------------------------------------------------------- the CSV import in one plan
+
+from tradelens.operators import ingest as IG  # noqa: E402
+from tradelens.session import stage_table  # noqa: E402
+from tradelens.sources.store import FrameStore  # noqa: E402
+from tradelens.sources.testbed import customs_rows  # noqa: E402
+
+
+def _csv_rows(s, faults: bool = False) -> DataFrame:
+    """The stand-in rows as a table of text cells, as a read CSV file is."""
+    return stage_table(customs_rows(s, faults), "customs-rows")
+
+
+@register("import_parsed_cells")
+def _import_parsed_cells(s):
+    """Every line as customs cells, parsed to typed facts."""
+    f = IG.to_facts(_csv_rows(s))
+    money = [F.col(c).cast("double").alias(c) for c in ("quantity", "total_value_usd", "usd_rate", "tax_rate")]
+    return f.select("declaration_number", "line_no", iso_timestamp("date").alias("date"), "year", "month", "day", "delivery_terms", "hs_code", *money)
+
+
+@register("import_issue_counts")
+def _import_issue_counts(s):
+    """Validation of all lines with a spoiled cell in some declarations."""
+    issues = IG.row_issues(_csv_rows(s, faults=True))
+    return issues.groupBy("field", "message", "severity").agg(F.count(F.lit(1)).alias("issues"), F.countDistinct("row").alias("lines"))
+
+
+@register("import_quarantine_summary")
+def _import_quarantine_summary(s):
+    """Import of the same lines with the faulty ones set aside."""
+    r = IG.plan_import(s.spark, _csv_rows(s, faults=True), None, None, None, None, mode="quarantine")
+    return r.summary
+
+
+@register("import_transactions_page")
+def _import_transactions_page(s):
+    """All lines imported into an empty store, and its transaction list."""
+    r = IG.plan_import(s.spark, _csv_rows(s), None, None, None, None, mode="quarantine")
+    store = FrameStore(s.spark, r.new_facts, r.new_companies, r.new_goods, r.new_categories)
+    page = R.transactions_page(store, page=1, page_size=100, sort_by="totalValueUSD", ascending=False)
+    return page.drop("company_id", "goods_id", "unit_price_usd")
 
 
 # ---------------------------------------------------------------- profile, growth, comparisons
@@ -589,9 +655,12 @@ for _name, _spec in INTENTS.items():
     register(_name)((lambda spec: (lambda s: _intent(s, spec)))(_spec))
 
 
+SUFFICIENCY_FIELDS = ["declaration_number", "import_company_name", "total_value_usd", "category_name"]
+
+
 @register("data_sufficiency")
 def _data_sufficiency(s):
-    return IN.data_sufficiency(E.engine_view(s), ["declaration_number", "import_company_name", "total_value_usd", "category_name"], 100)
+    return IN.data_sufficiency(E.engine_view(s, SUFFICIENCY_FIELDS), SUFFICIENCY_FIELDS, 100)
 
 
 # ---------------------------------------------------------------- sessions
@@ -622,7 +691,7 @@ def _normalize_text(s):
 @register("searchable_text")
 def _searchable_text(s):
     conv = s.table("conversations")
-    st = X.searchable_text(F.col("text"), compose=False)
+    st = X.searchable_text(F.col("text"))
     return conv.select("conv_id", "turn", F.md5(st).alias("searchable_md5"), F.length(st).alias("searchable_length"))
 
 

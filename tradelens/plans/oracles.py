@@ -278,6 +278,20 @@ FROM s
 
 # ---------------------------------------------------------------- aggregation tools
 
+oracle(
+    "tool_example_top_importers",
+    """
+SELECT import_company_raw_name, CAST(SUM(total_value_usd) AS DOUBLE) AS "sum_totalValueUSD"
+FROM facts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10
+""",
+)
+oracle(
+    "tool_example_average",
+    """
+SELECT goods_raw_name, unit, CAST(SUM(total_value_usd) AS DOUBLE) / COUNT(total_value_usd) AS "avgPrice", CAST(SUM(quantity) AS DOUBLE) AS "totalQty"
+FROM facts WHERE year = 1997 AND import_country = 'NATION_3' GROUP BY 1, 2
+""",
+)
 oracle(
     "tool_aggregate",
     """
@@ -528,11 +542,12 @@ _BATCH = f"""
 , b0 AS (
   SELECT {_KEYS}, line_no, goods_id, supplier_id, quantity, date FROM facts
 ), batch AS (
-  SELECT *, 0 AS file_no FROM b0 WHERE date >= TIMESTAMP '1997-01-01' AND date < TIMESTAMP '1997-07-01'
+  SELECT *, 0 AS file_no FROM b0
   UNION ALL
-  SELECT *, 1 AS file_no FROM b0 WHERE date >= TIMESTAMP '1997-04-01' AND date < TIMESTAMP '1997-10-01'
+  SELECT *, 1 AS file_no FROM b0 WHERE substr(md5(declaration_number), 2, 1) < '6'
 ), stored AS (
-  SELECT * FROM b0 WHERE date >= TIMESTAMP '1996-10-01' AND date < TIMESTAMP '1997-05-15'
+  SELECT * FROM b0 WHERE substr(md5(declaration_number), 1, 1) < '8' AND substr(md5(goods_raw_name), 1, 1) >= '3'
+    AND substr(md5(import_company_raw_name), 1, 1) >= '1'
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY {_KEYTXT} ORDER BY file_no, declaration_number, line_no, goods_id, supplier_id, quantity) AS rn,
          COUNT(*) OVER (PARTITION BY {_KEYTXT}) AS occurrences
@@ -595,7 +610,14 @@ oracle(
     "dim_goods_new",
     _BATCH
     + """SELECT raw_name, hs_code,
-       CASE WHEN length(raw_name) <= 100 THEN raw_name ELSE substr(raw_name, 1, 97) || '...' END AS short_name,
+       CASE
+         WHEN length(raw_name) <= 100 THEN raw_name
+         WHEN strpos(raw_name, ',') - 1 > 20 AND strpos(raw_name, ',') - 1 < 100 THEN trim(substr(raw_name, 1, strpos(raw_name, ',') - 1))
+         WHEN strpos(raw_name, ';') - 1 > 20 AND strpos(raw_name, ';') - 1 < 100 THEN trim(substr(raw_name, 1, strpos(raw_name, ';') - 1))
+         WHEN strpos(raw_name, '-') - 1 > 20 AND strpos(raw_name, '-') - 1 < 100 THEN trim(substr(raw_name, 1, strpos(raw_name, '-') - 1))
+         WHEN strpos(raw_name, '(') - 1 > 20 AND strpos(raw_name, '(') - 1 < 100 THEN trim(substr(raw_name, 1, strpos(raw_name, '(') - 1))
+         ELSE substr(raw_name, 1, 97) || '...'
+       END AS short_name,
        'Other' AS category, 'fallback' AS classified_by
 FROM new_goods""",
 )
@@ -617,6 +639,72 @@ SELECT (SELECT COUNT(*) FROM batch) AS total_rows,
 )
 
 
+# ---------------------------------------------------------------- the CSV import in one plan
+
+_ROWS = """
+, rows AS (
+  SELECT declaration_number, CAST(declaration_number AS BIGINT) * 8 + line_no AS pos, year + 25 AS y, month AS m, day AS d,
+         make_date(year + 25, month, 1) + CAST(day - 1 AS INTEGER) AS dt, import_company_raw_name, goods_raw_name, hs_code, unit,
+         quantity, total_value_usd, usd_rate, tax_rate, payment_method, export_country, import_country, customs_office,
+         CASE delivery_terms WHEN 'A' THEN 'FOB' WHEN 'N' THEN 'CIF' ELSE 'CFR' END AS delivery_terms, md5(declaration_number) AS h
+  FROM facts
+)
+"""
+_FAULT = "substr(h, {at}, 1) = '0'"
+_ANY_FAULT = " OR ".join(_FAULT.format(at=i) for i in range(1, 8))
+_KEY8 = "declaration_number, hs_code, goods_raw_name, import_company_raw_name, total_value_usd, usd_rate, payment_method, delivery_terms"
+
+oracle(
+    "import_parsed_cells",
+    _ROWS
+    + f"""SELECT declaration_number, pos AS line_no, {iso("CAST(dt AS TIMESTAMP)")} AS date, CAST(y AS INTEGER) AS year, m AS month, d AS day,
+       delivery_terms, hs_code, CAST(quantity AS DOUBLE) AS quantity, CAST(total_value_usd AS DOUBLE) AS total_value_usd,
+       CAST(usd_rate AS DOUBLE) AS usd_rate, CAST(tax_rate AS DOUBLE) AS tax_rate
+FROM rows""",
+)
+_FAULTS = (
+    ("Năm", "Năm không hợp lệ: 1999"),
+    ("Tháng", "Tháng không hợp lệ: 13"),
+    ("Ngày", "Ngày không hợp lệ: x"),
+    ("Số Lượng", "Giá trị số không hợp lệ: Số Lượng"),
+    ("Trị giá USD", "Giá trị không thể âm: Trị giá USD"),
+    ("Điều kiện giao hàng", "Điều kiện giao hàng không hợp lệ: XYZ"),
+    ("HS code", "Trường bắt buộc trống: HS code"),
+)
+oracle(
+    "import_issue_counts",
+    _ROWS
+    + " UNION ALL ".join(
+        f"SELECT '{field}' AS field, '{message}' AS message, 'error' AS severity, COUNT(*) AS issues, COUNT(DISTINCT pos) AS lines FROM rows WHERE {_FAULT.format(at=i)} HAVING COUNT(*) > 0"
+        for i, (field, message) in enumerate(_FAULTS, start=1)
+    ),
+)
+oracle(
+    "import_quarantine_summary",
+    _ROWS
+    + f"""
+, good AS (SELECT * FROM rows WHERE NOT ({_ANY_FAULT})),
+uniq AS (SELECT DISTINCT {_KEY8} FROM good)
+SELECT (SELECT COUNT(*) FROM rows) AS total_rows, (SELECT COUNT(*) FROM good) AS valid_rows,
+       (SELECT COUNT(*) FROM rows) - (SELECT COUNT(*) FROM good) AS invalid_rows,
+       (SELECT COUNT(*) FROM good) - (SELECT COUNT(*) FROM uniq) AS duplicates_in_file, 0::BIGINT AS duplicates_in_db,
+       (SELECT COUNT(*) FROM uniq) AS imported_rows,
+       (SELECT COUNT(DISTINCT import_company_raw_name) FROM uniq) AS new_companies,
+       (SELECT COUNT(DISTINCT goods_raw_name) FROM uniq) AS new_goods, 0::BIGINT AS existing_goods_reused""",
+)
+oracle(
+    "import_transactions_page",
+    _ROWS
+    + f"""
+, uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY8} ORDER BY pos) AS rn FROM rows) WHERE rn = 1)
+SELECT declaration_number, pos AS line_no, {iso("CAST(dt AS TIMESTAMP)")} AS date, import_company_raw_name AS company_name,
+       goods_raw_name AS goods_name, (SELECT any_value(g.short_name) FROM goods g WHERE g.raw_name = goods_raw_name) AS short_name,
+       'Other' AS category, hs_code, CAST(quantity AS DOUBLE) AS quantity, unit, CAST(total_value_usd AS DOUBLE) AS total_value_usd,
+       export_country, import_country, customs_office
+FROM uniq ORDER BY total_value_usd DESC, declaration_number, pos LIMIT 100""",
+)
+
+
 # ---------------------------------------------------------------- profile, growth, comparisons
 
 oracle(

@@ -7,10 +7,10 @@ and one helper that resolves where lineage may be cut.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in the library relies on.  Session time zone is UTC
 # because the fact table stores naive timestamps (day grain) and month keys
@@ -53,14 +53,12 @@ def build_session(
 ) -> SparkSession:
     """Create (or reuse) a session with the library defaults.
 
-    ``master`` defaults to ``local[*]`` only when nothing else set it, so on a
-    cluster ``spark-submit`` decides.
+    A master is set only when the caller names one; otherwise
+    ``spark-submit`` or the environment decides.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    elif not os.environ.get("SPARK_MASTER") and not os.environ.get("MASTER"):
-        builder = builder.master("local[*]")
     for key, value in BASE_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
@@ -101,3 +99,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A table location under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its own file system (not the driver's disk)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it
+    back: several plans then read one frozen result, and a lost executor
+    re-reads files instead of recomputing."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

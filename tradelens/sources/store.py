@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FACT_PARTITIONS = ("year", "month")
@@ -23,7 +23,9 @@ class Store:
 
     spark: SparkSession
 
-    def facts(self, columns: Sequence[str] | None = None) -> DataFrame:  # pragma: no cover - interface
+    def facts(self, columns: Sequence[str] | None = None, dates: tuple | None = None) -> DataFrame:  # pragma: no cover - interface
+        """Fact columns.  ``dates`` = (from, to) tells a store laid out by date
+        which part the caller will keep; the caller still filters exactly."""
         raise NotImplementedError
 
     def companies(self) -> DataFrame:  # pragma: no cover - interface
@@ -68,7 +70,7 @@ class FrameStore(Store):
     goods_df: DataFrame
     categories_df: DataFrame
 
-    def facts(self, columns: Sequence[str] | None = None) -> DataFrame:
+    def facts(self, columns: Sequence[str] | None = None, dates: tuple | None = None) -> DataFrame:
         return self.transactions if columns is None else self.transactions.select(*columns)
 
     def companies(self) -> DataFrame:
@@ -95,12 +97,34 @@ class ParquetStore(FrameStore):
         )
         self.root = root
 
+    def facts(self, columns: Sequence[str] | None = None, dates: tuple | None = None) -> DataFrame:
+        tx = self.transactions
+        bounds = month_bounds(*dates) if dates else None
+        if bounds is not None:
+            tx = tx.filter(bounds)  # partition columns only: whole folders are skipped
+        return tx if columns is None else tx.select(*columns)
+
+
+def month_bounds(date_from=None, date_to=None) -> Column | None:
+    """Condition on the partition columns ``year, month`` that holds for every
+    date of an inclusive range (ISO dates; either bound optional)."""
+    cond = None
+    if date_from is not None:
+        y, m = int(str(date_from)[:4]), int(str(date_from)[5:7] or 1)
+        cond = (F.col("year") > y) | ((F.col("year") == y) & (F.col("month") >= m))
+    if date_to is not None:
+        y, m = int(str(date_to)[:4]), int(str(date_to)[5:7] or 12)
+        upper = (F.col("year") < y) | ((F.col("year") == y) & (F.col("month") <= m))
+        cond = upper if cond is None else cond & upper
+    return cond
+
 
 def write_store(store: Store, root: str, mode: str = "overwrite", partitions: int | None = None) -> ParquetStore:
     """Write the star as Parquet.
 
-    The fact table is partitioned by ``year, month`` (date filters prune
-    whole folders).  Rows are range-partitioned on ``(year, month,
+    The fact table is partitioned by ``year, month``; roll-ups with a date
+    range pass it to ``facts``, which turns it into month bounds that skip
+    whole folders.  Rows are range-partitioned on ``(year, month,
     company_id)`` first: each write task owns a contiguous slice of months
     and companies, so a folder gets few, large files sorted by company
     (Parquet min/max statistics then skip row groups for importer filters),

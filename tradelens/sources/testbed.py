@@ -116,7 +116,7 @@ class TestbedStore(Store):
             self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
-    def facts(self, columns: Sequence[str] | None = None) -> DataFrame:
+    def facts(self, columns: Sequence[str] | None = None, dates: tuple | None = None) -> DataFrame:
         columns = list(columns or DEFAULT_FACT_COLUMNS)
         unknown = [c for c in columns if c not in _FACT_COLUMNS]
         if unknown:
@@ -201,13 +201,16 @@ def testbed(spark: SparkSession, sf_dir: str) -> TestbedStore:
     return TestbedStore(spark, sf_dir)
 
 
-def export_customs_csv(store: Store, path: str, sep: str = ";") -> None:
-    """Write the fact lines as a customs CSV (24 headers, European numbers,
-    day/month/year cells) — stand-in input for the import job; renaming and
-    formatting only.  Two value mappings keep the rows inside the customs
-    domain the validator enforces: years move by +25 (the test data spans
-    1995-2001, the validator accepts 2000-2100) and the return flag A/N/R
-    names the delivery terms FOB/CIF/CFR."""
+def customs_rows(store: Store, faults: bool = False) -> DataFrame:
+    """The fact lines as customs CSV rows (24 text columns, European numbers,
+    day/month/year cells) with the reader's position columns — stand-in input
+    for the import job; renaming and formatting only.
+
+    Two value mappings keep the rows inside the customs domain the validator
+    enforces: years move by +25 (the test data spans 1995-2001, the validator
+    accepts 2000-2100) and the return flag A/N/R names the delivery terms
+    FOB/CIF/CFR.  ``faults`` spoils one cell of each sixteenth of the
+    declarations, a different cell per digit of the number's MD5."""
     from tradelens.functions.numbers import format_vi_number
     from tradelens.schema import CSV_COLUMNS
 
@@ -215,7 +218,7 @@ def export_customs_csv(store: Store, path: str, sep: str = ";") -> None:
         [
             "year", "month", "day", "import_company_raw_name", "hs_code", "goods_raw_name", "tax_rate", "unit", "quantity",
             "unit_price_usd", "total_value_usd", "usd_rate", "payment_method", "delivery_terms", "transport_mode",
-            "export_country", "import_country", "customs_office", "export_type", "declaration_number",
+            "export_country", "import_country", "customs_office", "export_type", "declaration_number", "line_no",
         ]
     )
 
@@ -248,5 +251,22 @@ def export_customs_csv(store: Store, path: str, sep: str = ";") -> None:
         "Loại hình": F.col("export_type"),
         "Số tờ khai": F.col("declaration_number"),
     }
-    out = f.select(*[cells[c].alias(c) for c in CSV_COLUMNS])
+    if faults:
+        for at, (c, bad) in enumerate((("Năm", "1999"), ("Tháng", "13"), ("Ngày", "x"), ("Số Lượng", "abc"), ("Trị giá USD", "-5"), ("Điều kiện giao hàng", "XYZ"), ("HS code", "  ")), start=1):
+            cells[c] = F.when(F.substring(F.md5("declaration_number"), at, 1) == "0", F.lit(bad)).otherwise(cells[c])
+    position = F.col("declaration_number").cast("long") * 8 + F.col("line_no")
+    return f.select(
+        *[cells[c].alias(c) for c in CSV_COLUMNS],
+        F.lit("lines").alias("_src_file"),
+        F.lit(0).cast("long").alias("_src_block"),
+        position.alias("_src_pos"),
+        position.alias("source_row"),
+    )
+
+
+def export_customs_csv(store: Store, path: str, sep: str = ";") -> None:
+    """Write :func:`customs_rows` as CSV files with a header."""
+    from tradelens.schema import CSV_COLUMNS
+
+    out = customs_rows(store).select(*[F.col(f"`{c}`") for c in CSV_COLUMNS])
     out.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)

@@ -1,59 +1,29 @@
 """Incremental import of customs CSV files as a Structured Stream.
 
-New files dropped in ``source_dir`` are read with an explicit all-text
-schema (``maxFilesPerTrigger`` bounds a micro-batch) and each micro-batch is
-imported by ``foreachBatch``: validate -> in-batch de-duplication -> anti-
-join against the stored lines -> append.  De-duplication against what is
-already stored makes a replayed batch (after a failure) a no-op, so the sink
-is idempotent without keeping rows in stream state.
+New files dropped in ``source_dir`` form micro-batches (``maxFilesPerTrigger``
+bounds them); ``foreachBatch`` reads the batch's files like a batch import -
+columns bound by each file's own header - and imports them: validate ->
+in-batch de-duplication -> anti-join against the stored lines -> append.
+De-duplication against what is already stored makes a replayed batch (after a
+failure) a no-op, and its dimensions and rejected lines are completed.
+Rejected lines, and all lines of a refused batch, are written to
+``{store_root}/rejected`` under the batch's id.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tradelens.operators import ingest as I
-from tradelens.schema import CSV_COLUMNS
-from tradelens.sources.customs_csv import ORDER_COLUMNS, read_stream_csv, with_batch_positions
-
-
-def _existing(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    path = f"{root}/{name}"
-    if "://" not in path and not os.path.exists(path.replace("file:", "")):
-        return None
-    return spark.read.parquet(path)
+from tradelens.sources.customs_csv import batch_files, stream_files
 
 
 def import_batch(batch: DataFrame, batch_id: int, store_root: str, mode: str = "quarantine") -> None:
     """One micro-batch of the stream import (called by ``foreachBatch``)."""
-    from tradelens.session import ensure_checkpoint_dir
-
-    spark = batch.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = store_root.rstrip("/")
-    rows = with_batch_positions(batch)
-    ex = {n: _existing(spark, root, n) for n in ("transactions", "companies", "goods", "categories")}
-    res = I.plan_import(spark, rows, ex["transactions"], ex["companies"], ex["goods"], ex["categories"], mode)
-    if not res.accepted:
-        return
-    staged = res.new_facts.checkpoint(eager=True)
-    companies, goods, cats = I._new_dimensions(spark, staged, ex["companies"], ex["goods"], ex["categories"])
-    companies, goods, cats = companies.checkpoint(eager=True), goods.checkpoint(eager=True), cats.checkpoint(eager=True)
-    (
-        staged.drop(*ORDER_COLUMNS, "source_row", "import_company_address")
-        .withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .repartition("year", "month")
-        .write.mode("append")
-        .partitionBy("year", "month")
-        .parquet(f"{root}/transactions")
-    )
-    companies.write.mode("append").parquet(f"{root}/companies")
-    goods.write.mode("append").parquet(f"{root}/goods")
-    cats.write.mode("append").parquet(f"{root}/categories")
+    files = batch_files(batch)
+    if files:
+        I.run_import(batch.sparkSession, files, store_root, mode, import_id=f"batch-{batch_id}")
 
 
 def start_stream_import(
@@ -61,13 +31,12 @@ def start_stream_import(
     source_dir: str,
     store_root: str,
     checkpoint_location: str,
-    sep: str = ";",
     max_files_per_trigger: int = 1,
     available_now: bool = True,
     mode: str = "quarantine",
 ) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what is there and stops."""
-    stream = read_stream_csv(spark, source_dir, CSV_COLUMNS, sep, max_files_per_trigger)
+    stream = stream_files(spark, source_dir, max_files_per_trigger)
     writer = stream.writeStream.foreachBatch(lambda df, bid: import_batch(df, bid, store_root, mode)).option(
         "checkpointLocation", checkpoint_location
     )

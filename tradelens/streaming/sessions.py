@@ -9,9 +9,10 @@ over any ``(user, timestamp)`` log:
   user, so one very active user would be sessionised by one task.  Instead
   the events are range-partitioned on ``(user, ts)`` — which cuts a hot
   user's timeline into contiguous time slices on different tasks — each
-  slice is sessionised with windows over ``(user, slice)``, and the
-  per-slice partial sessions (a handful per user and slice) are merged
-  across slice boundaries with a second, small window.
+  slice is sessionised with windows over ``(user, slice)``.  Only the first
+  and the last session of a slice can continue in a neighbouring one, so at
+  most two rows per user and slice go to the second window that merges
+  across slices; all sessions in between are final as they are.
 * **streaming** (:func:`stream_sessions`) uses ``session_window`` with a
   watermark; open sessions live in the state store and are emitted when the
   watermark passes their end.
@@ -46,30 +47,35 @@ def sessionize(
     prev = F.lag("_ts").over(w)
     flagged = sliced.withColumn("_new", F.when(prev.isNull() | (F.col("_ts") > prev + step), 1).otherwise(0))
     flagged = flagged.withColumn("_lsid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    partial = flagged.groupBy("_u", "_slice", "_lsid").agg(
-        F.min("_ts").alias("_start"), F.max("_ts").alias("_end"), F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum")
+    whole = Window.partitionBy("_u", "_slice")
+    flagged = flagged.withColumn("_border", (F.col("_lsid") == 1) | (F.col("_lsid") == F.max("_lsid").over(whole)))
+    partial = flagged.groupBy("_u", "_slice", "_lsid", "_border").agg(
+        F.min("_ts").alias("session_start"), F.max("_ts").alias("session_end"), F.count(F.lit(1)).alias("events"), F.sum("_v").alias("total_value")
     )
-    # merge partial sessions that continue across a slice boundary
-    w2 = Window.partitionBy("_u").orderBy("_start", "_slice", "_lsid")
-    prev_end = F.max("_end").over(w2.rowsBetween(Window.unboundedPreceding, -1))
-    merged = partial.withColumn("_new", F.when(prev_end.isNull() | (F.col("_start") > prev_end + step), 1).otherwise(0))
-    merged = merged.withColumn("_sid", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-    out = merged.groupBy("_u", "_sid").agg(
-        F.min("_start").alias("session_start"),
-        F.max("_end").alias("session_end"),
-        F.sum("_n").alias("events"),
-        F.sum("_sum").alias("total_value"),
+    # a session that crosses slices is a run of border sessions without a gap
+    w2 = Window.partitionBy("_u").orderBy("session_start", "_slice", "_lsid")
+    prev_end = F.max("session_end").over(w2.rowsBetween(Window.unboundedPreceding, -1))
+    border = partial.filter("_border").withColumn("_new", F.when(prev_end.isNull() | (F.col("session_start") > prev_end + step), 1).otherwise(0))
+    border = border.withColumn("_sid", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = border.groupBy("_u", "_sid").agg(
+        F.min("session_start").alias("session_start"),
+        F.max("session_end").alias("session_end"),
+        F.sum("events").alias("events"),
+        F.sum("total_value").alias("total_value"),
     )
+    names = ["_u", "session_start", "session_end", "events", "total_value"]
+    out = merged.select(*names).unionByName(partial.filter(~F.col("_border")).select(*names))
     cols = [F.col("_u").alias(user_col), "session_start", "session_end", "events"]
     if value_col:
         cols.append("total_value")
     return out.select(*cols)
 
 
-def stream_sessions(events: DataFrame, user_col: str = "user_id", ts_col: str = "ts", gap: str = "30 minutes", watermark: str = "1 hour", value_col: str | None = "value") -> DataFrame:
-    """Streaming variant: ``events`` is a streaming DataFrame; late events
-    older than ``watermark`` are dropped, a session is emitted (append mode)
-    once the watermark passes its end."""
+def stream_sessions(events: DataFrame, user_col: str = "user_id", ts_col: str = "ts", gap: str = "30 minutes", *, watermark: str, value_col: str | None = "value") -> DataFrame:
+    """Streaming variant: ``events`` is a streaming DataFrame.  A session is
+    emitted (append mode) once the watermark passes its end.  Events later
+    than ``watermark`` are dropped by Spark, so the caller must choose it; how
+    many were dropped is the query progress's ``numRowsDroppedByWatermark``."""
     timed = events.withWatermark(ts_col, watermark)
     aggs = [F.min(ts_col).alias("session_start"), F.max(ts_col).alias("session_end"), F.count(F.lit(1)).alias("events")]
     if value_col:
