@@ -78,6 +78,27 @@ def test_classify_pending_job(spark):
     assert [r.name for r in res.new_categories.collect()] == ["Thủy sản đông lạnh"]
 
 
+def test_enrichment_writes_back_and_sets_failures_aside(spark, tmp_dir):
+    root = f"{tmp_dir}/store"
+    spark.createDataFrame(
+        [(1, "Gạo", "Gạo", 10, "h1", "fallback"), (2, "boom", "boom", 10, "h2", "fallback")],
+        "goods_id long, raw_name string, short_name string, category_id long, hs_code string, classified_by string",
+    ).write.parquet(f"{root}/goods")
+    spark.createDataFrame([(10, "Other", "")], "category_id long, name string, description string").write.parquet(f"{root}/categories")
+
+    def fn(name):
+        if name == "boom":
+            raise RuntimeError("down")
+        return '{"category": "Nông sản", "confidence": 0.9}'
+
+    first = EN.enrich_store(spark, root, classifier=EN.model_classifier(fn), label="model")
+    assert (first.processed, first.succeeded, first.failed) == (2, 1, 1)
+    assert {r.goods_id: r.classified_by for r in spark.read.parquet(f"{root}/goods").collect()} == {1: "model", 2: "failed"}
+    assert {r.name for r in spark.read.parquet(f"{root}/categories").collect()} >= {"Other", "Nông sản"}
+    assert EN.enrich_store(spark, root, classifier=EN.model_classifier(fn)).processed == 0
+    assert EN.enrich_store(spark, root, classifier=EN.model_classifier(fn), retry_failed=True).processed == 1
+
+
 def test_hot_user_split_across_slices(spark):
     """One user holding almost all events is cut into several range slices;
     sessions crossing slice boundaries must still be merged."""

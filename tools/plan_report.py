@@ -14,7 +14,7 @@ sys.path.insert(0, ".")
 
 
 def main():
-    from __spark_entry__ import queries
+    from tradelens.plans.catalog import QUERIES
     from tradelens.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
@@ -22,7 +22,7 @@ def main():
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     print("| query | hash shuffles | range shuffles | single-partition | broadcasts | SMJ | BHJ | partial aggs | WindowGroupLimit | Python |")
     print("|---|---|---|---|---|---|---|---|---|---|")
-    for name, fn in sorted(queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         p = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         row = [
             len(re.findall(r"Exchange hashpartitioning", p)),
