@@ -156,7 +156,7 @@ def luhn(s):
 def test_pseudonyms_keep_format_and_links(spark):
     a = "card 4111 1111 1111 1111, 4111111111111111; mail Jo.Doe-7@x.example.org tel +1 (988) 555-2485 and 988-555-2485 ip 10.0.0.255, born 1999-12-31 or 31.12.1999 ssn 123-45-6789."
     bad = "4111111111111112 1999-02-30 31/13/1999 300.1.1.1 000-45-6789 666-45-6789 12-34 v1.2.3 4.0. user@host 1234567890123456789012"
-    rows = [(1, a), (2, "again 4111111111111111 and Jo.Doe-7@x.example.org"), (3, bad), (4, None), (5, ""), (6, "no numbers"), (7, a), (8, "x " * 30_000 + "10.0.0.255")]
+    rows = [(1, a), (2, "again 4111111111111111 and Jo.Doe-7@x.example.org"), (3, bad), (4, None), (5, ""), (6, "no numbers"), (7, a), (9, "Write to Jo.Doe-7@x.example.org. Or call +1 (988) 555-2485."), (10, "IP 10.0.0.255."), (8, "x " * 30_000 + "10.0.0.255")]
     got = by_id(pseudonymise(clashing(docs(spark, rows)), key="k"))
     kinds = Counter(f.kind for f in got[1].found)
     assert kinds == {"card": 2, "email": 1, "phone": 2, "ip": 1, "date": 2, "ssn": 1} and got[1].n_found == 9
@@ -172,6 +172,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert got[3].text == bad and got[3].n_found == 0
     assert (got[4].text, got[4].n_found, got[5].text, got[6].text) == (None, 0, "", "no numbers")
     assert got[7].text == new and got[8].n_found == 1
+    assert (got[9].n_found, got[10].n_found) == (2, 1)  # values at the end of a sentence
     assert by_id(pseudonymise(docs(spark, rows), key="other"))[1].text != new
     assert pseudonymise(docs(spark, []), key="k").collect() == []
 
