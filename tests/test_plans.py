@@ -3,12 +3,12 @@ plans; the shapes do not depend on data size)."""
 
 import pytest
 
-from __spark_entry__ import queries
 from tests.conftest import SF_SMALL
+from tradelens.plans.catalog import QUERIES
 
 
 def plan(spark, name):
-    df = queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     return df._jdf.queryExecution().executedPlan().toString() + "\n" + df._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -71,7 +71,7 @@ def test_sessions_split_hot_users(spark):
 
 
 def test_no_cross_join(spark):
-    for name in queries():
+    for name in QUERIES:
         p = plan(spark, name)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
