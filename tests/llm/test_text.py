@@ -177,6 +177,32 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pseudonymise(docs(spark, []), key="k").collect() == []
 
 
+def test_cards_beside_other_numbers(spark):
+    card, amex = "4111111111111111", "378282246310005"
+    rows = [
+        (0, card), (1, f"{card} 03/27"), (2, "4111 1111 1111 1111 123"), (3, f"Nr. 12 {card}"), (4, f"{card} 10.0.0.255"), (5, f"{card} 988-555-2485"),
+        (6, f"12 4111-1111-1111-1111 {card}"), (7, "2027 4111 1111 1111 1111 2028"), (8, f"visa-{card}-"), (9, "3782 822463 10005 1234"), (10, amex),
+        (11, "41111111 11111111 10.0.0.255"), (12, f"1999-12-31 {card}\0 x"), (13, "1999-12-31 2000-01-31 988-555-2485 988-555-2486"),
+        (14, "1999 2000 2001 2002 2003 2004 2005 2006 2007"), (15, "5500 0000 0000 0004 4111 1111 1111 1111"), (16, "4111111111111112 123"),
+        (17, f"{card}@x.org"), (18, f"{card} 4"),
+    ]
+    got = by_id(pseudonymise(docs(spark, rows), key="k"))
+    kinds = {i: [f.kind for f in r.found] for i, r in got.items()}
+    one = ["card"]
+    assert kinds == {
+        0: one, 1: one, 2: one, 3: one, 4: ["card", "ip"], 5: ["card", "phone"], 6: ["card", "card"], 7: one, 8: one, 9: one, 10: one, 11: ["card", "ip"],
+        12: ["date", "card"], 13: ["date", "date", "phone", "phone"], 14: [], 15: ["card", "card"], 16: [], 17: ["email"], 18: one,
+    }
+    new = got[0].text
+    grouped = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert luhn(new) and new != card
+    assert [got[i].text for i in (1, 3, 8, 18)] == [f"{new} 03/27", f"Nr. 12 {new}", f"visa-{new}-", f"{new} 4"]
+    assert [got[i].text for i in (2, 7)] == [f"{grouped} 123", f"2027 {grouped} 2028"]
+    assert got[6].text == f"12 {grouped.replace(' ', '-')} {new}" and got[15].text.endswith(grouped) and got[12].text.endswith(f" {new}\0 x")
+    assert got[9].text.replace(" ", "") == got[10].text + "1234" and got[11].text.startswith(f"{new[:8]} {new[8:]} ")
+    assert all(re.sub(r"\d+", "9", got[i].text) == re.sub(r"\d+", "9", t) for i, t in rows if i != 17)
+
+
 def test_pseudonyms_are_one_to_one(spark):
     rows = [(i, f"{i // 256}.{i % 256}.7.9 and 19{i % 90 + 10}-0{i % 9 + 1}-1{i % 10} and +1 (2{i % 90 + 10:02d}) 555-{i:04d}") for i in range(1500)]
     seen = defaultdict(set)

@@ -19,6 +19,14 @@ Equal values get equal pseudonyms in every document, and different values of
 a kind different ones; separators stay in place.  Everything is DataFrame
 expressions over one row; nothing is shuffled.
 
+Card numbers are looked for in runs of digit groups joined by single blanks
+or hyphens: every stretch of whole groups with 13-19 digits is a candidate, so
+that an expiry date, security code or other number beside a card does not hide
+it.  Of overlapping candidates that pass Luhn the customary groupings come
+first, numbers of a known network before others, longer before shorter.
+Grouped numbers of no known network count only at an end of their run, other
+groupings only where no other kind of finding begins inside.
+
 Defined results: a null text stays null with no finding, an empty text stays
 empty; text outside findings is unchanged; numbers that fail validation are
 unchanged; repeated rows get equal results; an empty table gives an empty
@@ -41,9 +49,25 @@ PATTERNS = {
     "date": r"(?<![\d/.-])(?:\d{4}([-/])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    # a run of digit groups, cut before a group where another kind begins; the cards in it are chosen by _cards
+    "card": "",
 }
-ANY = "|".join(f"(?:{p})" for p in (PATTERNS[k].replace(r"([-/])", r"(?<s1>[-/])").replace(r"\1", r"\k<s1>").replace(r"([-/.])", r"(?<s2>[-/.])").replace(r"\2", r"\k<s2>") for k in PATTERNS))
+
+
+def _unnumbered(kind: str, tag: str) -> str:
+    """The pattern with named back references, to stand beside others."""
+    return PATTERNS[kind].replace("([-/])", f"(?<{tag}1>[-/])").replace(r"\1", rf"\k<{tag}1>").replace("([-/.])", f"(?<{tag}2>[-/.])").replace(r"\2", rf"\k<{tag}2>")
+
+
+_OTHER = "|".join(f"(?:{_unnumbered(k, 's')})" for k in ("ip", "date", "phone", "ssn"))
+_MIN_DIGITS = r"(?<!\d)(?=\d(?:[ -]?\d){12})"
+RUN = rf"{_MIN_DIGITS}\d++(?:[ -]\d++)*+"
+PATTERNS["card"] = rf"{_MIN_DIGITS}\d++(?:[ -](?!{_OTHER})\d++)*+"
+ANY = "|".join(f"(?:{_unnumbered(k, 't')})" for k in PATTERNS)
+# customary groupings: the usual ones, and those that may also be a usual one and a number beside it
+USUAL_CARD = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+OTHER_CARD = r"^(?:\d{4}([ -])\d{4}\1\d{4}\1(?:\d{4}\1)?\d{1,3}|\d{6}[ -]\d{13})$"
+NETWORK = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|(?:6011|64[4-9]\d|65\d\d|62\d\d|35\d\d)\d{12,15}|(?:5[06-9]|6\d)\d{11,17})$"
 # a cheap test first: every kind has an @ or two digits with at most a separator between
 MAYBE = r"@|[0-9][-./ )]?[0-9]"
 
@@ -144,7 +168,72 @@ def _card(m: Column, key: str) -> Column:
             out = F.when(n == size, z(d)).otherwise(out)
         return _bind(out, lambda p: F.concat(p, ((10 - _luhn_sum(p, 0) % 10) % 10).cast("string")))
 
-    return _bind(_digits(m), lambda d: F.when((_luhn_sum(d, 1) % 10 == 0) & ~d.rlike("^0+$"), _refill(m, permuted(d))).otherwise(m))
+    return _bind(_digits(m), lambda d: _refill(m, permuted(d)))
+
+
+def _pieces(text: Column, pattern: str, fn) -> Column:
+    """``text`` cut at the matches of ``pattern``: an array of (kind, value),
+    kind "" between matches; ``fn`` gives the pieces of one match."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    return F.flatten(F.transform(parts, lambda z: F.when(z["match"].isNull(), F.array(_piece("", z["gap"]))).otherwise(F.concat(F.array(_piece("", z["gap"])), fn(z["match"])))))
+
+
+def _piece(kind: str | Column, value: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value"))
+
+
+def _cards(run: Column, customary: bool) -> Column:
+    """Pieces of a run of digit groups: its card numbers and what is between.
+    ``customary``: only those in a customary grouping, and a run that is one
+    number of a known network."""
+    tokens = F.regexp_extract_all(run, F.lit(r"\d+[ -]?"), F.lit(0))
+    # what begins at each group, as far as 19 digits can reach
+    starts = F.regexp_extract_all(run, F.lit(r"(?<!\d)(?=(\d[\d -]{0,37}))"), F.lit(1))
+
+    def candidates(tokens: Column) -> Column:
+        def rated(v: Column, k: Column) -> Column:
+            def of(d: Column) -> Column:
+                groups = F.char_length(v) - F.char_length(d) + 1
+                usual, other, known = v.rlike(USUAL_CARD), v.rlike(OTHER_CARD), d.rlike(NETWORK)
+                first, last = k == 0, k + groups == F.size(tokens)
+                if customary:
+                    whole = first & last & known & ~run.rlike(rf"^(?:{_OTHER})")
+                    fits = usual | other | whole
+                else:
+                    fits = ~v.rlike(r"\d{13}")  # a number that fails by itself does not pass with its neighbour
+                fits = fits & ((groups == 1) | known | first | last)
+                tier = F.when(usual & known, 0).when(other & known, 1).when(usual, 2).when(other, 3).when(known, 4).otherwise(5)
+                valid = F.when(fits & ~d.rlike("^0+$"), _luhn_sum(d, 1) % 10 == 0).otherwise(False)
+                return F.struct(valid.alias("valid"), tier.alias("tier"), (-F.char_length(d)).alias("size"), k.alias("k"), groups.alias("groups"), v.alias("value"))
+
+            return _bind(_digits(v), of)
+
+        def at(w: Column, k: Column) -> Column:
+            found = F.array(*[F.regexp_extract(w, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0) for n in range(13, 20)])
+            return F.filter(F.transform(F.filter(found, lambda v: v != ""), lambda v: rated(v, k)), lambda c: c["valid"])
+
+        return F.sort_array(F.flatten(F.transform(starts, at)))
+
+    def disjoint(found: Column) -> Column:
+        slim = F.transform(found, lambda c: F.struct(c["k"].alias("k"), (c["k"] + c["groups"]).alias("end"), c["value"].alias("value")))
+        none = F.filter(slim, lambda c: F.lit(False))
+        taken = F.aggregate(slim, none, lambda acc, c: F.when(F.exists(acc, lambda a: (a["k"] < c["end"]) & (c["k"] < a["end"])), acc).otherwise(F.concat(acc, F.array(c))))
+        return F.sort_array(taken)
+
+    def cut(tokens: Column) -> Column:
+        def written(taken: Column) -> Column:
+            def before(i: Column, upto: Column) -> Column:
+                """Text between the number before ``i`` and group ``upto``."""
+                end = F.when(i > 0, F.get(taken, i - 1)["end"]).otherwise(0)
+                sep = F.when(i > 0, F.regexp_extract(F.get(tokens, end - 1), "[ -]$", 0)).otherwise("")
+                return F.concat(sep, F.array_join(F.slice(tokens, end + 1, upto - end), ""))
+
+            numbers = F.flatten(F.transform(taken, lambda c, i: F.array(_piece("", before(i, c["k"])), _piece("card", c["value"]))))
+            return F.concat(numbers, F.array(_piece("", before(F.size(taken), F.size(tokens)))))
+
+        return _bind(disjoint(candidates(tokens)), written)
+
+    return _bind(tokens, cut)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -231,17 +320,13 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """Pseudonym of one finding (unchanged where it fails validation)."""
-    kind = {"email": _email, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
-
-    def by_kind(k: Column) -> Column:
-        out = m
-        for name, fn in kind.items():
-            out = F.when(k == name, fn(m, key)).otherwise(out)
-        return out
-
-    return _bind(kind_of(m), by_kind)
+    fns = {"email": _email, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
+    out = m
+    for name, fn in fns.items():
+        out = F.when(kind == name, fn(m, key)).otherwise(out)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,11 +334,21 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     replaced) and ``found``: array of (kind, pseudonym) in text order."""
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    rows = rows.withColumn("raw", F.when(maybe, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    done = F.transform("raw", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value"), pseudonym(m, key).alias("pseudonym")))
-    rows = rows.withColumn("done", F.when(F.size("raw") > 0, done))
-    gaps = F.split("text", ANY, -1)
-    woven = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size("done")).alias("g"), F.col("done.pseudonym").alias("p")), lambda z: F.concat(z["g"], z["p"])), ""), F.element_at(gaps, -1))
+    # customary card numbers first; what is left of the text is joined again, so that other findings see their surroundings
+    mark = F.when(F.contains("text", F.lit("\0")), F.concat(F.lit("\0"), F.sha2(F.col("text").cast("binary"), 256), F.lit("\0"))).otherwise(F.lit("\0"))
+    rows = rows.withColumn("mark", F.when(maybe, mark))
+    runs = _pieces(F.col("text"), f"(?:{PATTERNS['email']})|(?:{RUN})", lambda m: F.when(m.contains("@"), F.array(_piece("", m))).otherwise(_cards(m, True)))
+    marked = F.array_join(F.transform(runs, lambda p: F.when(p["kind"] == "card", F.concat("mark", p["value"], "mark")).otherwise(p["value"])), "")
+    rows = rows.withColumn("parts", F.when(maybe, F.when(F.col("text").rlike(RUN), F.split(marked, F.col("mark"), -1)).otherwise(F.array("text"))))
+
+    def rest(m: Column) -> Column:
+        return _bind(kind_of(m), lambda k: F.when(k == "card", _cards(m, False)).otherwise(F.array(_piece(k, m))))
+
+    cut = F.flatten(F.transform("parts", lambda p, i: F.when(i % 2 == 1, F.array(_piece("card", p))).otherwise(_pieces(p, ANY, rest))))
+    rows = rows.withColumn("raw", F.filter(cut, lambda p: p["value"] != ""))
+    done = F.transform("raw", lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("value"), F.when(p["kind"] == "", p["value"]).otherwise(pseudonym(p["value"], p["kind"], key)).alias("pseudonym")))
+    rows = rows.withColumn("done", done)
+    woven = F.array_join("done.pseudonym", "")
     changed = F.filter("done", lambda d: d["value"] != d["pseudonym"])
     found = F.coalesce(F.transform(changed, lambda d: F.struct(d["kind"].alias("kind"), d["pseudonym"].alias("pseudonym"))), F.array().cast("array<struct<kind:string,pseudonym:string>>"))
     return rows.select("doc_id", F.when(F.col("done").isNotNull(), woven).otherwise(F.col("text")).alias("text"), F.size(found).cast("long").alias("n_found"), found.alias("found"))
