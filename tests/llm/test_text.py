@@ -124,6 +124,23 @@ def test_html_main_text(open_, close):
     assert got == WANT or (not close and got.startswith(WANT))
 
 
+LONG = "A paragraph of running text that is long enough to be counted as part of the article itself."
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "no-comments", "has-comments", "comment", "layout has-sidebar", "no-sidebar", "content with-header", "sidebar-wrap", "page-widget"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_qualified_names_stay(tag, name):
+    if (tag, name) != ("div", "comment"):
+        assert main_text(f"<body><nav>Menu</nav><{tag} class='{name}'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></{tag}><footer>End</footer>") == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+def test_html_names_inside_an_article():
+    kept = "".join(f"<section {x}><p>{LONG}</p></section>" for x in ("class='related-work'", "class='social-history'", "id='search-methods'", "class='ad-hoc'"))
+    gone = "".join(f"<div class='{x}'><p>Gone.</p></div>" for x in ("ad", "ad-slot-1", "adBox", "related-posts", "social-links", "post-sidebar", "comment-list", "cookie-bar", "sponsored-content"))
+    comments = "<ol class='comment-list'><li><article><p>Gone.</p></article></ol><article class='comment'><p>Gone.</p></article>"
+    assert main_text(f"<article>{kept}{gone}</article>{comments}") == "\n\n".join([LONG] * 4)
+
+
 def test_html_cases(spark):
     odd = [None, "", "plain text", "<p>unclosed <b>tags", "<!-- never closed <p>x", "<script>only()", "a < b <p>1 &lt; 2", '<p title="a>b">in</p>', "<nav>menu", "<", "&am", "<p>" + "x" * 200_000]
     assert [main_text(x) for x in odd[:11]] == ["", "", "plain text", "unclosed tags", "", "", "a < b\n\n1 < 2", "in", "", "<", "&am"]

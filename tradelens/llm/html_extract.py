@@ -3,7 +3,12 @@
 1. Strip markup: a linear scan turns the page into lines (one per block
    element).  Scripts, styles, comments and other raw elements go; elements
    that by tag, role, class or id are menus, headers, footers, sidebars,
-   notices, adverts, forms or reader comments become empty lines.
+   notices, adverts, forms or reader comments become empty lines.  A class or
+   id counts by its whole tokens or their last part ("site-header"), not where
+   it says what the element has or lacks ("has-sidebar", "comments-open"); an
+   element so named that holds most of the page's text is a layout wrapper and
+   stays.  Articles are comments inside a comment list, or when so named after
+   the page's first article.
 2. Every line weighs its text length, links not counted; mostly linked lines
    and, where the page marks an article or main element, lines outside it
    weigh nothing.
@@ -27,7 +32,9 @@ an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -47,6 +54,7 @@ BLOCK_TAGS = frozenset(
 )
 SPACE_TAGS = frozenset("br td th option wbr".split())
 DROP_TAGS = frozenset("nav footer aside form button select menu dialog fieldset label input".split())
+TABLE_TAGS = frozenset("caption table tbody td tfoot th thead tr".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(("article", "main"))
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -56,6 +64,12 @@ DROP_NAMES = frozenset(
     "related recommended recommendations footer header masthead toolbar pagination pager widget widgets login signup search form copyright".split()
 )
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies reply".split())
+# Parts of a class or id that say no more than what stands before them ("ad-box", "related-posts"); after adverts and comments also those of OWN_PARTS.
+PART_NAMES = frozenset("area articles bar block blocks bottom box button buttons column container group icons inner item items left link links list panel posts right row section slot stories top unit x".split())
+OWN_PARTS = frozenset("author body content entry header image label meta module node text thread title".split())
+AD_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored promo promotion".split()) | COMMENT_NAMES
+# A class that speaks of something the element has, lacks or does with it ("has-sidebar").
+QUALIFIERS = frozenset("has have no not with without hide show toggle is".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9-])[^>]*>?", re.A | re.I) for tag in RAW_TAGS}
@@ -63,40 +77,207 @@ _ATTR = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _NAMES = re.compile(r"[a-z]+|\d+")
 
 
-def _dropped(tag: str, attrs: str, in_main: bool) -> str:
-    """Why an element is not part of the text: "comment", "chrome" or ""."""
+@lru_cache(maxsize=1 << 14)
+def _named(token: str) -> str:
+    """The name in DROP_NAMES or COMMENT_NAMES that a class or id token is or
+    ends with, trailing part names and numbers aside; "" if there is none."""
+    # camelCase, snake_case and kebab-case names in parts
+    parts = _NAMES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+    own = not AD_NAMES.isdisjoint(parts)
+    while len(parts) > 1 and parts[-1] not in DROP_NAMES - OWN_PARTS and (parts[-1].isdigit() or parts[-1] in PART_NAMES or (own and parts[-1] in OWN_PARTS)):
+        parts.pop()
+    if not parts or not QUALIFIERS.isdisjoint(parts[:-1]):
+        return ""
+    return parts[-1] if parts[-1] in DROP_NAMES or parts[-1] in COMMENT_NAMES else ""
+
+
+def _dropped(tag: str, attrs: str, in_main: bool, seen_main: bool) -> str:
+    """Why an element is not part of the text: "comment", "chrome", "name"
+    (chrome by nothing but its class or id) or ""."""
     if tag in ("html", "body", "main"):
         return ""
     kind, role, hidden = set(), "", False
     for m in _ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            for token in value.split():
-                # camelCase, snake_case and kebab-case names in parts
-                kind.update(_NAMES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+            kind.update(_named(token) for token in value.split())
         elif name == "role":
             role = value.strip().lower()
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             hidden = True
+    if tag == "article":  # the first article of a page is no comment; those in a comment list go with the list
+        return "comment" if kind & COMMENT_NAMES and seen_main else ""
     if kind & COMMENT_NAMES:
         return "comment"
-    if tag == "article":
-        return ""
-    names = DROP_NAMES - {"header"} if in_main else DROP_NAMES
-    if tag in DROP_TAGS or (tag == "header" and not in_main) or role in DROP_ROLES or hidden or kind & names:
+    if tag in DROP_TAGS or (tag == "header" and not in_main) or role in DROP_ROLES or hidden:
         return "chrome"
-    return ""
+    names = DROP_NAMES - {"header"} if in_main else DROP_NAMES
+    return "name" if kind & names else ""
+
+
+class _Page:
+    """A page as a flat list of events with properly nested elements.
+
+    Events are texts (text, linked), breaks (``None`` for a block, "" for a
+    space) and element numbers: ``e`` opens element e, ``~e`` closes it.
+    Element 0 is the page."""
+
+    def __init__(self, html: str):
+        self.events: list = []
+        self.tag, self.why, self.parent = [""], [""], [0]
+        self.own, self.solid = [0], [0]  # unlinked characters; paragraphs, a top heading counting twice
+        self.end = [0]  # event that closes the element
+        self.open, self.n_open = [0], Counter()
+        self.main_depth, self.seen_main = 0, False
+        self._read(html)
+        while len(self.open) > 1:
+            self._pop()
+        self._exempt()
+
+    def _push(self, tag: str, why: str) -> None:
+        e = len(self.tag)
+        self.tag.append(tag)
+        self.why.append(why)
+        self.parent.append(self.open[-1])
+        self.own.append(0)
+        self.solid.append(0)
+        self.end.append(0)
+        self.open.append(e)
+        self.n_open[tag] += 1
+        self.events.append(e)
+        if tag in MAIN_TAGS and not why:
+            self.main_depth += 1
+            self.seen_main = True
+
+    def _pop(self) -> None:
+        e = self.open.pop()
+        self.end[e] = len(self.events)
+        self.events.append(~e)
+        tag, up = self.tag[e], self.parent[e]
+        self.n_open[tag] -= 1
+        if tag in MAIN_TAGS and not self.why[e]:
+            self.main_depth -= 1
+        if not self.why[e]:
+            self.own[up] += self.own[e]
+            self.solid[up] += self.solid[e] + (2 if tag == "h1" else tag == "p" and self.own[e] > 0)
+
+    def _pop_to(self, at: int) -> None:
+        while len(self.open) > at:
+            self._pop()
+
+    def _close(self, tag: str) -> None:
+        """A closing tag ends its element and all that is open inside; one
+        that fits no open element, or only one around the article or the table cell, is ignored."""
+        block = False
+        for at in range(len(self.open) - 1, 0, -1) if self.n_open[tag] else ():
+            e = self.open[at]
+            here = self.tag[e]
+            if here == tag:
+                if tag in BLOCK_TAGS or tag in SPACE_TAGS or not block or self.why[e]:
+                    self._pop_to(at)
+                return
+            if here in MAIN_TAGS and tag not in MAIN_TAGS and not self.why[e]:
+                return
+            if here in ("td", "th", "caption") and tag not in TABLE_TAGS and tag not in MAIN_TAGS:
+                return
+            block = block or here in BLOCK_TAGS
+
+    def _opened(self, tag: str, attrs: str) -> None:
+        why = _dropped(tag, attrs, self.main_depth > 0, self.seen_main)
+        if tag in MAIN_TAGS and not why:
+            # a menu, header or advert never swallows an article
+            for at in range(1, len(self.open)):
+                if self.why[self.open[at]] == "comment":
+                    break
+                if self.why[self.open[at]]:
+                    self._pop_to(at)
+                    break
+            else:
+                at = 0
+            if at and at < len(self.open) and self.why[self.open[at]] == "comment":
+                why = "comment"
+        self._push(tag, why)
+
+    def _read(self, html: str) -> None:
+        link_depth = 0
+        pos, n = 0, len(html)
+        while pos < n:
+            at = html.find("<", pos)
+            if at < 0:
+                at = n
+            if at > pos:
+                text = unescape(html[pos:at])
+                self.events.append((text, link_depth > 0))
+                if not link_depth:
+                    self.own[self.open[-1]] += len(text.strip())
+            if at == n:
+                break
+            if html.startswith("<!--", at):
+                stop = html.find("-->", at + 4)
+                pos = n if stop < 0 else stop + 3
+                continue
+            nxt = html[at + 1 : at + 2]
+            if nxt in ("!", "?"):
+                stop = html.find(">", at)
+                pos = n if stop < 0 else stop + 1
+                continue
+            m = _TAG.match(html, at)
+            if m is None:
+                if not (nxt.isalpha() or nxt == "/"):  # a bare "<" is text
+                    self.events.append(("<", False))
+                    pos = at + 1
+                else:  # broken or cut tag
+                    stop = html.find(">", at)
+                    pos = n if stop < 0 else stop + 1
+                continue
+            closing, tag, attrs = m[1] == "/", m[2].lower(), m[3]
+            pos = m.end()
+            if not closing and tag in RAW_TAGS and not attrs.endswith("/"):
+                close = _RAW_END[tag].search(html, pos)
+                if close:
+                    pos = close.end()
+                elif tag != "head":  # a head without an end: the body follows anyway
+                    pos = n
+                continue
+            if tag == "a":
+                link_depth = max(0, link_depth + (-1 if closing else 1))
+            elif tag in BLOCK_TAGS:
+                link_depth = 0
+            if tag in BLOCK_TAGS:
+                self.events.append(None)
+            elif tag in SPACE_TAGS:
+                self.events.append("")
+            if tag in VOID_TAGS or tag in ("html", "body") or (attrs.endswith("/") and not closing):
+                continue
+            if closing:
+                self._close(tag)
+            else:
+                self._opened(tag, attrs)
+
+    def _exempt(self) -> None:
+        """An element dropped for its class or id alone that holds most of
+        the page's unlinked text, in paragraphs, is a layout wrapper."""
+        named = [e for e in range(len(self.tag)) if self.why[e] == "name"]
+        total = self.own[0] + sum(self.own[e] for e in named)
+        for e in reversed(named):
+            if 2 * self.own[e] > total and self.solid[e] >= 2:
+                self.why[e] = ""
+                up = self.parent[e]
+                while up:
+                    self.own[up] += self.own[e]
+                    self.solid[up] += self.solid[e]
+                    if self.why[up]:
+                        break
+                    up = self.parent[up]
 
 
 def _lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """Lines (text, linked characters, inside article/main) in page order,
     dropped elements as empty lines; whether the page marks a main element."""
+    page = _Page(html)
     lines: list[tuple[str, int, bool]] = []
     buf: list[str] = []
-    linked = link_depth = main_depth = 0
-    has_main = False
-    skip, skip_depth, skip_why = "", 0, ""
-    pos, n = 0, len(html)
+    linked = main_depth = 0
 
     def end_line() -> None:
         nonlocal linked
@@ -106,77 +287,30 @@ def _lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         buf.clear()
         linked = 0
 
-    while pos < n:
-        at = html.find("<", pos)
-        if at < 0:
-            at = n
-        if at > pos and not skip:
-            text = unescape(html[pos:at])
-            buf.append(text)
-            if link_depth:
-                linked += len(text)
-        if at == n:
-            break
-        if html.startswith("<!--", at):
-            stop = html.find("-->", at + 4)
-            pos = n if stop < 0 else stop + 3
-            continue
-        nxt = html[at + 1 : at + 2]
-        if nxt in ("!", "?"):
-            stop = html.find(">", at)
-            pos = n if stop < 0 else stop + 1
-            continue
-        m = _TAG.match(html, at)
-        if m is None:
-            if not (nxt.isalpha() or nxt == "/"):  # a bare "<" is text
-                if not skip:
-                    buf.append("<")
-                pos = at + 1
-            else:  # broken or cut tag
-                stop = html.find(">", at)
-                pos = n if stop < 0 else stop + 1
-            continue
-        closing, tag, attrs = m[1] == "/", m[2].lower(), m[3]
-        pos = m.end()
-        if not closing and tag in RAW_TAGS and not attrs.endswith("/"):
-            close = _RAW_END[tag].search(html, pos)
-            if close:
-                pos = close.end()
-            elif tag != "head":  # a head without an end: the body follows anyway
-                pos = n
-            continue
-        if skip:
-            if closing and tag == skip:
-                skip_depth -= 1
-            elif not closing and tag == skip and tag not in VOID_TAGS:
-                skip_depth += 1
-            elif not closing and tag in MAIN_TAGS and skip_why == "chrome" and not _dropped(tag, attrs, False):
-                skip_depth = 0
-            if skip_depth > 0:
-                continue
-            skip = ""
-            lines.extend([("", 0, main_depth > 0)] * WINDOW)
-            if closing:
-                continue
-        why = "" if closing else _dropped(tag, attrs, main_depth > 0)
-        if why:
-            if tag in BLOCK_TAGS:
-                end_line()
-            if tag not in VOID_TAGS and not attrs.endswith("/"):
-                skip, skip_depth, skip_why = tag, 1, why
-            continue
-        if tag == "a":
-            link_depth = max(0, link_depth + (-1 if closing else 1))
-        if tag in BLOCK_TAGS:
+    at, n = 0, len(page.events)
+    while at < n:
+        x = page.events[at]
+        at += 1
+        if x is None:
             end_line()
-            link_depth = 0 if tag != "a" else link_depth
-            if tag in MAIN_TAGS:
-                has_main = has_main or not closing
-                main_depth = max(0, main_depth + (-1 if closing else 1))
-        elif tag in SPACE_TAGS:
+        elif x == "":
             buf.append(" ")
+        elif isinstance(x, tuple):
+            buf.append(x[0])
+            if x[1]:
+                linked += len(x[0])
+        else:
+            e = x if x >= 0 else ~x
+            tag = page.tag[e]
+            if tag in BLOCK_TAGS:
+                end_line()
+            if x >= 0 and page.why[e]:
+                at = page.end[e] + 1
+                lines.extend([("", 0, main_depth > 0)] * WINDOW)
+            elif tag in MAIN_TAGS:
+                main_depth += 1 if x >= 0 else -1
     end_line()
-    return lines, has_main
+    return lines, page.seen_main
 
 
 def main_text(html: str | None) -> str:
