@@ -141,6 +141,21 @@ def test_html_names_inside_an_article():
     assert main_text(f"<article>{kept}{gone}</article>{comments}") == "\n\n".join([LONG] * 4)
 
 
+def test_html_optional_end_tags():
+    cases = {
+        "<article><p>A<p class='ad'>Buy<p>Real 1</p><p>Real 2</p></article>": "A\n\nReal 1\n\nReal 2",
+        "<article><p>A<p class='ad'>Buy <b>now<h2>B</h2><p>C</article>": "A\n\nB\n\nC",
+        "<article><ul><li>A<li class='ad'><p>Buy<ul><li>x</ul><li>B</ul><p>C</article>": "A\n\nB\n\nC",
+        "<article><dl><dt>A<dd class='ad'>Buy<dt>B<dd>C</dl>D</article>": "A\n\nB\n\nC\n\nD",
+        "<article><table><tr><td>A<td class='ad'>Buy<td>B<tr class='ad'><td>Buy<tr><td>C</table>D</article>": "A B\n\nC\n\nD",
+        "<article><div>A<div class='ad'>Buy</article><p>After": "A",
+        "<article><section><p>A<div class='ad'>Buy</section><p>B</article>": "A\n\nB",
+        "<article><p>A<span class='ad'>Buy<p>B</p></div>C</article>": "A\n\nB\n\nC",
+        "<article><p class='ad'>Buy</p><p>A</p></article>": "A",
+    }
+    assert {x: main_text(x) for x in cases} == cases
+
+
 def test_html_cases(spark):
     odd = [None, "", "plain text", "<p>unclosed <b>tags", "<!-- never closed <p>x", "<script>only()", "a < b <p>1 &lt; 2", '<p title="a>b">in</p>', "<nav>menu", "<", "&am", "<p>" + "x" * 200_000]
     assert [main_text(x) for x in odd[:11]] == ["", "", "plain text", "unclosed tags", "", "", "a < b\n\n1 < 2", "in", "", "<", "&am"]

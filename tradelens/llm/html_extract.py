@@ -24,8 +24,9 @@ space, blocks are trimmed and joined by an empty line.
 
 Defined results: null or empty html gives an empty text, and so does a page
 without any text outside the stripped parts; an element never closed ends
-with the page, but a menu, header or advert never swallows an article that
-starts inside it; repeated rows give repeated results; an empty table gives
+with the one around it or with the page, paragraphs, list items, terms, rows
+and cells where HTML lets the next one end them, and a menu, header or advert
+never swallows an article that starts inside it; repeated rows give repeated results; an empty table gives
 an empty result.
 """
 
@@ -55,6 +56,20 @@ BLOCK_TAGS = frozenset(
 SPACE_TAGS = frozenset("br td th option wbr".split())
 DROP_TAGS = frozenset("nav footer aside form button select menu dialog fieldset label input".split())
 TABLE_TAGS = frozenset("caption table tbody td tfoot th thead tr".split())
+# Elements whose end tag is optional: what a new element closes, and what such a search does not go beyond.
+P_TAGS = frozenset(("p",))
+P_SCOPE = frozenset("button td th caption table article main".split())
+LIST_SCOPE = frozenset("ul ol menu dl table td th caption section article aside main nav header footer blockquote form figure fieldset details".split())
+TABLE_SCOPE = frozenset(("table",))
+IMPLIED = {
+    "li": (frozenset(("li",)), LIST_SCOPE),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), LIST_SCOPE)),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th")), TABLE_SCOPE)),
+    "tr": (frozenset(("tr",)), TABLE_SCOPE),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset(("thead", "tbody", "tfoot", "caption")), TABLE_SCOPE)),
+    "option": (frozenset(("option",)), frozenset(("select",))),
+}
+NO_P_CLOSE = frozenset("caption tbody tfoot thead tr legend".split())  # blocks that stand in no paragraph
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(("article", "main"))
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -182,6 +197,16 @@ class _Page:
                 return
             block = block or here in BLOCK_TAGS
 
+    def _imply(self, closes: frozenset, scope: frozenset) -> None:
+        """Close the innermost open element of ``closes`` within ``scope``."""
+        for at in range(len(self.open) - 1, 0, -1) if any(self.n_open[t] for t in closes) else ():
+            here = self.tag[self.open[at]]
+            if here in closes:
+                self._pop_to(at)
+                return
+            if here in scope:
+                return
+
     def _opened(self, tag: str, attrs: str) -> None:
         why = _dropped(tag, attrs, self.main_depth > 0, self.seen_main)
         if tag in MAIN_TAGS and not why:
@@ -247,6 +272,10 @@ class _Page:
                 self.events.append(None)
             elif tag in SPACE_TAGS:
                 self.events.append("")
+            if not closing and tag in BLOCK_TAGS and tag not in NO_P_CLOSE:
+                self._imply(P_TAGS, P_SCOPE)
+            if not closing and tag in IMPLIED:
+                self._imply(*IMPLIED[tag])
             if tag in VOID_TAGS or tag in ("html", "body") or (attrs.endswith("/") and not closing):
                 continue
             if closing:
