@@ -156,6 +156,24 @@ def test_html_optional_end_tags():
     assert {x: main_text(x) for x in cases} == cases
 
 
+def test_html_container_stays_whole():
+    ad, links = "<div class='ad'>Buy</div>", "<ul>" + "<li><a href='/x'>Linked</a>" * 5 + "</ul>"
+    linked = "\n\n".join(["Linked"] * 5)
+    menu = "<div><p>Teaser</p></div>" + ad
+    cases = {
+        f"<div class='content'><h1>Title</h1>{ad}<p>{LONG}</p>{ad}<p>Short end.</p></div>": f"Title\n\n{LONG}\n\nShort end.",
+        f"<body><div id='page'>{menu}<div class='content'><h1>Title</h1>{ad}<p>{LONG}</p>{ad}<p>End.</p></div>{ad}<div><p>Imprint</p></div></div>": f"Title\n\n{LONG}\n\nEnd.",
+        f"<div class='content'><p>{LONG}</p>{links}<p>Short end.</p></div>": f"{LONG}\n\n{linked}\n\nShort end.",
+        f"<div><p>{LONG}</p><p><a href='/x'>See this page</a></p><p>Short end.</p></div>": f"{LONG}\n\nSee this page\n\nShort end.",
+        f"<div><div>{LONG}</div>{ad}<div>Short end.</div></div>": f"{LONG}\n\nShort end.",
+        f"<div><section><p>{LONG}</p></section>{ad}<section><p>Short end.</p></section></div>": f"{LONG}\n\nShort end.",
+        f"<article><p>Teaser</p></article><div class='content'><h1>Title</h1><p>{LONG}</p>{ad}<p>End.</p></div>": f"Title\n\n{LONG}\n\nEnd.",
+        f"<article><h1>Title</h1>{links}<p>{LONG}</p></article><div><p>Teaser</p></div>": f"Title\n\n{linked}\n\n{LONG}",
+    }
+    for page, want in cases.items():
+        assert main_text(page) == want, page
+
+
 def test_html_cases(spark):
     odd = [None, "", "plain text", "<p>unclosed <b>tags", "<!-- never closed <p>x", "<script>only()", "a < b <p>1 &lt; 2", '<p title="a>b">in</p>', "<nav>menu", "<", "&am", "<p>" + "x" * 200_000]
     assert [main_text(x) for x in odd[:11]] == ["", "", "plain text", "unclosed tags", "", "", "a < b\n\n1 < 2", "in", "", "<", "&am"]

@@ -9,15 +9,18 @@
    element so named that holds most of the page's text is a layout wrapper and
    stays.  Articles are comments inside a comment list, or when so named after
    the page's first article.
-2. Every line weighs its text length, links not counted; mostly linked lines
-   and, where the page marks an article or main element, lines outside it
-   weigh nothing.
-3. Line-block distribution: lengths are summed over sliding windows of
-   ``WINDOW`` lines.  A stretch begins where the sum rises from zero and ends
-   where it dives back to zero; it is text if its sum surges above ``SURGE``
-   somewhere (inside a marked article any text counts as a surge).  If no
-   stretch surges the heaviest one is the text.
-4. All lines between the rise and the dive are kept, short ones included.
+2. Where the page marks article or main elements and no container outside
+   them holds more unlinked text (and ``SURGE`` of it), all their lines are the text.
+3. Otherwise every line weighs its text length, links not counted; mostly
+   linked lines weigh nothing.  Line-block distribution: lengths are summed
+   over sliding windows of ``WINDOW`` lines.  A stretch begins where the sum
+   rises from zero and ends where it dives back to zero; it is text if its sum
+   surges above ``SURGE`` somewhere.  If no stretch surges the heaviest one is
+   the text.  A dropped element breaks a stretch (``WINDOW`` empty lines) only
+   between containers, and the other stretches of a chosen container (the
+   page itself is none) are chosen with it.
+4. All lines between the rise and the dive, or between the first and the last
+   stretch of a chosen container, are kept, short and linked ones included.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by an empty line.
@@ -37,6 +40,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +76,7 @@ IMPLIED = {
 NO_P_CLOSE = frozenset("caption tbody tfoot thead tr legend".split())  # blocks that stand in no paragraph
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(("article", "main"))
+BOX_TAGS = frozenset("div article main td th center details".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROP_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation "
@@ -147,8 +152,14 @@ class _Page:
         self._read(html)
         while len(self.open) > 1:
             self._pop()
+        self.last = list(range(len(self.tag)))  # the last element inside each one
+        for e in range(len(self.tag) - 1, 0, -1):
+            self.last[self.parent[e]] = max(self.last[self.parent[e]], self.last[e])
         self._exempt()
 
+    def within(self, e: int, outer: int) -> bool:
+        return outer <= e <= self.last[outer]
+
     def _push(self, tag: str, why: str) -> None:
         e = len(self.tag)
         self.tag.append(tag)
@@ -300,19 +311,27 @@ class _Page:
                     up = self.parent[up]
 
 
-def _lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, linked characters, inside article/main) in page order,
-    dropped elements as empty lines; whether the page marks a main element."""
-    page = _Page(html)
-    lines: list[tuple[str, int, bool]] = []
+class _Line(NamedTuple):
+    text: str
+    linked: int  # linked characters
+    inside: bool  # of article/main
+    box: int  # innermost container: an element with blocks of its own, not a list, section or quotation
+
+
+def _lines(page: _Page) -> list[_Line]:
+    """Lines in page order; dropped elements between containers as empty lines."""
+    boxes = {page.parent[e] for e in range(1, len(page.tag)) if page.tag[e] in BLOCK_TAGS and not page.why[e]}
+    lines: list[_Line] = []
     buf: list[str] = []
     linked = main_depth = 0
+    box, outer = 0, []
+    gaps: list[tuple[int, int]] = []  # line and container of a dropped element
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join("".join(buf).split())
         if text:
-            lines.append((text, linked, main_depth > 0))
+            lines.append(_Line(text, linked, main_depth > 0, box))
         buf.clear()
         linked = 0
 
@@ -335,19 +354,44 @@ def _lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 end_line()
             if x >= 0 and page.why[e]:
                 at = page.end[e] + 1
-                lines.extend([("", 0, main_depth > 0)] * WINDOW)
-            elif tag in MAIN_TAGS:
+                gaps.append((len(lines), box))
+                continue
+            if tag in MAIN_TAGS:
                 main_depth += 1 if x >= 0 else -1
+            if tag in BOX_TAGS and e in boxes:
+                if x >= 0:
+                    outer.append(box)
+                    box = e
+                else:
+                    box = outer.pop()
     end_line()
-    return lines, page.seen_main
+    out, done = [], 0
+    for k, c in gaps:
+        out.extend(lines[done:k])
+        done = k
+        # inside one container when both neighbours are in it and one of them not in a container within
+        near = [x.box for x in lines[max(0, k - 1) : k + 1]]
+        joined = c in near and all(page.within(x, c) if c else x == c for x in near)
+        if not joined:
+            out.extend([_Line("", 0, False, c)] * WINDOW)
+    return out + lines[done:]
 
 
 def main_text(html: str | None) -> str:
     """Main text of one page."""
-    lines, has_main = _lines(html or "")
-    has_main = has_main and any(inside and text for text, _, inside in lines)
-    weight = [len(text) if (inside or not has_main) and (has_main or 2 * link <= len(text)) else 0 for text, link, inside in lines]
-    surge = 1 if has_main else SURGE
+    page = _Page(html or "")
+    lines = _lines(page)
+    inside = [x for x in range(len(lines)) if lines[x].inside]
+    weight = [len(x.text) if 2 * x.linked <= len(x.text) else 0 for x in lines]
+    if inside:
+        heavy: Counter = Counter()
+        for x, w in zip(lines, weight, strict=True):
+            if not x.inside:
+                heavy[x.box] += w
+        most = max(heavy, key=heavy.__getitem__, default=0)
+        if sum(weight[x] for x in inside) >= heavy[most] or heavy[most] < SURGE:
+            return "\n\n".join(lines[x].text for x in inside)
+        weight = [0 if x.inside and not page.within(x.box, most) else w for x, w in zip(lines, weight, strict=True)]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(lines))]
     stretches, i = [], 0
     while i < len(lines):
@@ -359,11 +403,18 @@ def main_text(html: str | None) -> str:
             j += 1
         # window i reaches WINDOW - 1 lines ahead: the rise is at its first weighted line, the dive at the last
         own = [x for x in range(i, min(j + WINDOW - 1, len(lines))) if weight[x]]
-        stretches.append((max(sums[i:j]), sum(weight[x] for x in own), own))
+        stretches.append((max(sums[i:j]), sum(weight[x] for x in own), own[0], own[-1]))
         i = j
-    chosen = [s for s in stretches if s[0] >= surge] or sorted(stretches, key=lambda s: -s[1])[:1]
-    keep = sorted({x for _, _, own in chosen for x in own})
-    return "\n\n".join(lines[x][0] for x in keep)
+    chosen = [s for s in stretches if s[0] >= SURGE] or sorted(stretches, key=lambda s: -s[1])[:1]
+    keep = {x for *_, first, end in chosen for x in range(first, end + 1)}
+    ends: dict[int, tuple[int, int]] = {}  # first and last weighted line of each chosen container
+    chosen_boxes = {lines[x].box for x in keep if weight[x]} - {0}
+    for x, line in enumerate(lines):
+        if weight[x] and line.box in chosen_boxes:
+            ends[line.box] = (ends.get(line.box, (x, x))[0], x)
+    for c, (first, end) in ends.items():
+        keep.update(x for x in range(first, end + 1) if page.within(lines[x].box, c))
+    return "\n\n".join(lines[x].text for x in sorted(keep) if lines[x].text)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
