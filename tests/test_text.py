@@ -22,6 +22,37 @@ def test_nfc(spark):
     assert _apply(spark, X.nfc(F.col("v")), ["ệ"]) == ["ệ"]
 
 
+def test_nfc_of_all_scripts(spark):
+    import random
+    import unicodedata
+
+    words = ["ș ț Ș", "nǐ hǎo ǚ", "ḍ ẛ̣ ḹ", "ё й ў", "ά ῷ ΐ", "が パ ヴ", "한국어 각", "क़ ড়", "ொ ൌ", "Å Ω ; ·", "豈", "שׁ", "ế đ", "𝅗𝅥 𑄮", "plain", "", None]
+    rows = [unicodedata.normalize(f, w) if w else w for w in words for f in ("NFD", "NFC")] + words + ["a\u0301\u0302", "x\u0323\u0307\u0323"]
+    rng = random.Random(4)
+    pool = "aeou\u0301\u0302\u0323\u031b\u0308\u1100\u1161\u11a8\uac00\u3099か\u0438\u0306\u03b1\u0345\u0313 "
+    rows += ["".join(rng.choice(pool) for _ in range(12)) for _ in range(300)]
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    got = df.select("v", X.nfc("v").alias("n"), X.normalize_vietnamese("v").alias("t"), X.keywords("v", 1).alias("k")).collect()
+    for r in got:
+        want = r.v if r.v is None else unicodedata.normalize("NFC", r.v)
+        assert r.n == want
+        assert r.t == (want if want is None else " ".join(want.split()))
+    assert df.filter(X.nfc("v") == "한국어 각").count() >= 2 and df.groupBy(X.searchable_text("v").alias("s")).count().count() > 100
+
+
+def test_nfc_class_misses_nothing(spark):
+    """Every character that is not stable under NFC alone or after another is in the class."""
+    import sys
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    late = {y for x in chars for y in unicodedata.normalize("NFD", x)[1:] if unicodedata.normalize("NFC", x) == x}
+    unstable = [x for x in chars if unicodedata.combining(x) or not unicodedata.is_normalized("NFC", x) or x in late]
+    assert len(unstable) > 1500
+    df = spark.createDataFrame([(x,) for x in unstable], "v string")
+    assert df.filter(~F.col("v").rlike(X._NOT_COMPOSED)).count() == 0
+
+
 def test_levenshtein(spark):
     df = spark.createDataFrame([("electonic", "electronic"), ("electonic", "electronics"), ("laptop", "desktop")], "a string, b string")
     assert [r[0] for r in df.select(X.levenshtein("a", "b")).collect()] == [1, 2, 4]

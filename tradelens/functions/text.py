@@ -3,14 +3,13 @@ truncation, keywords and the goods-name shortening rule.
 
 Everything is a built-in expression (``translate``, ``regexp_replace``,
 ``levenshtein``, higher-order array functions).  NFC has no SQL function in
-Spark 4.1; it is composed here for the accented Latin letters.
+Spark 4.1; the ICU library of Spark's collations is called for it.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from functools import cache
-from itertools import permutations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,34 +112,35 @@ def strip_vietnamese(c: ColumnOrName) -> Column:
     return F.translate(F.lower(_col(c)), VI_LOWER_ACCENTED, VI_LOWER_BASE)
 
 
-@cache
-def _compositions() -> list[tuple[str, str]]:
-    """(letter + combining marks, composed letter) for the accented Latin
-    letters, marks in either order and partly composed; longest first."""
-    out = {}
-    for code in (*range(0x00C0, 0x0180), 0x01A0, 0x01A1, 0x01AF, 0x01B0, *range(0x1EA0, 0x1EFA)):
-        letter = chr(code)
-        base, *marks = unicodedata.normalize("NFD", letter)
-        for order in permutations(marks):
-            for k in range(len(order)):  # the first k marks already composed
-                head = unicodedata.normalize("NFC", base + "".join(order[:k]))
-                if len(head) == 1:
-                    out[head + "".join(order[k:])] = letter
-    return sorted(out.items(), key=lambda x: (-len(x[0]), x[0]))
+def _not_composed() -> str:
+    """Regex class of the characters whose presence may mean that a text is
+    not in NFC: marks, Hangul vowels and finals, and letters that are
+    replaced.  Few wide ranges, with others between them, test faster."""
+    spans: list[list[int]] = [[0x0300, 0x036F]]
+    for code in range(0x0370, sys.maxunicode + 1):
+        ch = chr(code)
+        jamo = 0x1161 <= code <= 0x1175 or 0x11A8 <= code <= 0x11C2
+        if 0xD800 <= code < 0xE000 or not (jamo or unicodedata.category(ch)[0] == "M" or not unicodedata.is_normalized("NFC", ch)):
+            continue
+        if code - spans[-1][1] < (16 if code < 0x0590 else 64):
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
 
 
-def nfc(c: ColumnOrName) -> Column:
-    """Unicode composition (NFC) of accented Latin letters.
+_NOT_COMPOSED = _not_composed()
 
-    Rows without combining marks - nearly all - are returned after one
-    regex test; the others are composed pair by pair."""
-    marked, composed = (F.split(F.lit("|".join(x)), r"\|") for x in zip(*_compositions(), strict=True))
-    pairs = F.arrays_zip(marked.alias("a"), composed.alias("b"))  # a constant, folded once
 
-    def compose(x: Column) -> Column:
-        return F.when(x.rlike(r"\p{Mn}"), F.aggregate(pairs, x, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(x)
+def nfc(c: ColumnOrName) -> Column:
+    """Unicode composition (NFC) by the ICU library that Spark brings along.
 
-    return F.transform(F.array(_col(c)), compose)[0]
+    Rows without a combining mark or the like - nearly all - are returned
+    after one regex test.  Spark takes the call for non-deterministic: it can
+    stand in any projection or filter, but not in a join condition."""
+    x = _col(c)
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(False))
+    return F.when(x.rlike(_NOT_COMPOSED), composed).otherwise(x)
 
 
 def normalize_vietnamese(c: ColumnOrName, compose: bool = True) -> Column:
