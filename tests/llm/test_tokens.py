@@ -108,6 +108,17 @@ def test_packing_cases(spark, reference):
     assert pack(docs(spark, []), vocabulary()).collect() == []
 
 
+def test_packing_gives_special_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    texts = {i: t for i, t in enumerate([*TEXTS, "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "<|endoftext|", "a" * 3000 + "<|endoftext|>"])}
+    library = lambda x: plain.encode(x, add_special_tokens=False).ids
+    assert library("a<|endoftext|>b") == [64, 50256, 65]
+    rows = pack(docs(spark, list(texts.items())), vocabulary(), size=64).collect()
+    check_pieces(rows, texts, library, 64)
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 @pytest.mark.parametrize("width", [2, 4])
 def test_separator_scan_matches_splitting(spark, tmp_dir, monkeypatch, block, width):

@@ -90,7 +90,7 @@ def _tokenise(path: str, end_id: int, size: int, keep_ids: bool):
     from tradelens.llm.tokenizer import byte_bpe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path).encode
+        encode = byte_bpe(path, special=True).encode
         for b in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column("text")):

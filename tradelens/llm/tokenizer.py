@@ -5,7 +5,8 @@ Where its merges are in id order - true of the byte-level vocabularies used
 here and checked on loading - the same merges run as ``tiktoken`` ranks,
 which gives the same ids about five times faster; otherwise, and for a text
 that engine refuses, ``tokenizers`` itself encodes.  Strings of special
-tokens inside a text are ordinary text.
+tokens inside a text are ordinary text, or with ``special`` their single ids
+as by default in ``tokenizers``; texts that hold one are encoded there.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class ByteBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         self.path = path
+        self.special = special
         self._slow = None
         self._fast = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._added = [t["content"] for t in spec.get("added_tokens", [])] if special else []
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         vocab = model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -50,13 +53,13 @@ class ByteBpe:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
+            self._slow.encode_special_tokens = not self.special
         return self._slow.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text as little-endian unsigned 32-bit integers."""
         ids = None
-        if self._fast is not None:
+        if self._fast is not None and not any(t in text for t in self._added):
             try:
                 ids = self._fast.encode_ordinary(text)
             except BaseException as e:  # the engine's panics on extreme runs are no Exception
@@ -66,6 +69,6 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBpe:
+def byte_bpe(path: str, special: bool = False) -> ByteBpe:
     """The tokenizer of a vocabulary file, loaded once per Python worker."""
-    return ByteBpe(path)
+    return ByteBpe(path, special)
