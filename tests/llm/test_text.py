@@ -264,6 +264,20 @@ def test_pseudonyms_are_one_to_one(spark):
     assert len({next(iter(v)) for v in seen.values()}) == len(seen)
 
 
+def test_short_local_parts_are_one_to_one(spark):
+    from itertools import product
+    from string import ascii_lowercase, ascii_uppercase, digits
+
+    chars = ascii_lowercase + ascii_uppercase + digits
+    parts = [*chars, *("".join(x) for x in product(chars, repeat=2))]
+    text = " ".join(f"{x}@x.com" for x in parts)
+    row = pseudonymise(docs(spark, [(1, text), (2, "_@x.com a@x.com")]), key="k").filter("doc_id = 1").first()
+    new = [x.removesuffix("@x.com") for x in row.text.split(" ")]
+    kind = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x)))
+    assert [kind(x) for x in new] == [kind(x) for x in parts]
+    assert len(set(new)) == len(parts) and all(x != y for x, y in zip(parts[:62], new, strict=False))
+
+
 def test_pii_query_leaves_other_text_alone(spark):
     old = by_id(table(spark, SF_SMALL, "documents"))
     for r in QUERIES["op8_pii"](spark, SF_SMALL).collect():

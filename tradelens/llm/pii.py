@@ -90,8 +90,9 @@ def _feistel(x: Column, y: Column, a: int, b: int, key: str, kind: str) -> Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def _shift(half: Column, digest: Column) -> Column:
-    """Shift each letter or digit within its class by a byte of the digest."""
+def _shift(half: Column, digest: Column, least: int = 0) -> Column:
+    """Shift each letter or digit within its class by a byte of the digest,
+    by ``least`` places at least; an empty half stays empty."""
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
     def one(c: Column, i: Column) -> Column:
@@ -99,18 +100,20 @@ def _shift(half: Column, digest: Column) -> Column:
         out = c
         for alphabet in (lower, upper, digits):
             at = F.instr(F.lit(alphabet), c) - 1
-            out = F.when(at >= 0, F.substr(F.lit(alphabet), (at + by) % len(alphabet) + 1, F.lit(1))).otherwise(out)
+            out = F.when(at >= 0, F.substr(F.lit(alphabet), (at + least + by % (len(alphabet) - least)) % len(alphabet) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.split(half, ""), one), "")
+    return F.when(half == "", half).otherwise(F.array_join(F.transform(F.split(half, ""), one), ""))
 
 
 def _feistel_text(text: Column, key: str, kind: str) -> Column:
-    """The network over the two halves of a string; classes and length stay."""
+    """The network over the two halves of a string; classes and length stay.
+    One character has no two halves: it is shifted by a keyed number of places."""
     cut = F.floor(F.char_length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), cut).alias("x"), F.substr(text, cut + 1, F.lit(1 << 20)).alias("y"))
     out = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda acc, i: F.struct(acc["y"].alias("x"), _shift(acc["x"], _hash(key, kind, i, acc["y"])).alias("y")))
-    return F.concat(out["x"], out["y"])
+    single = _shift(text, _hash(key, kind, F.lit(0), F.lit("")), least=1)
+    return F.when(F.char_length(text) == 1, single).otherwise(F.concat(out["x"], out["y"]))
 
 
 def _bind(value: Column, fn) -> Column:
