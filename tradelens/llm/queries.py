@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm import langid, toxicity
+from tradelens.llm import langid, merkle, toxicity
 from tradelens.llm.common import held_out_fold
 from tradelens.llm.decontam import find_matches
 from tradelens.llm.exact_dedup import exact_dedup
@@ -164,3 +164,69 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         F.size("passages").cast("long").alias("n_passages"),
     )
+
+
+MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t
+), enc AS (
+  SELECT doc_id, lang, text,
+         coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+           || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+         xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) AS crc
+  FROM documents, crc_table
+), leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(text)::VARCHAR || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS claim
+  FROM enc
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+), tree AS (
+  SELECT lang, 0 AS lvl, idx, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY lang, lvl, idx // 8, n
+), sub AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, idx, n, subroot AS digest FROM sub
+  UNION ALL
+  SELECT lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, idx // 8, n
+), tree_runs AS (
+  SELECT lang, lvl, idx, n, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY lang, lvl, idx // 8 ORDER BY idx)
+), top_runs AS (
+  SELECT lvl, idx, n, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM top WHERE n > 1 WINDOW w AS (PARTITION BY lvl, idx // 8 ORDER BY idx)
+), walk AS (
+  SELECT doc_id, lang, idx AS place, leaf, 0 AS lvl, idx, n, '' AS proof, coalesce(claim, leaf) AS h FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.lang, place, leaf, w.lvl + 1, w.idx // 8, (w.n + 7) // 8, proof || l || r, sha256(l || h || r)
+  FROM walk w JOIN tree_runs t ON t.lang IS NOT DISTINCT FROM w.lang AND t.lvl = w.lvl AND t.idx = w.idx WHERE w.n > 1
+), up AS (
+  SELECT doc_id, w.lang, place, leaf, subroot, 0 AS lvl, s.idx, s.n, proof, h FROM walk w JOIN sub s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT doc_id, lang, place, leaf, subroot, u.lvl + 1, u.idx // 8, (u.n + 7) // 8, proof || l || r, sha256(l || h || r)
+  FROM up u JOIN top_runs t ON t.lvl = u.lvl AND t.idx = u.idx WHERE u.n > 1
+)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root,
+       h = (SELECT digest FROM top WHERE n = 1) AS verified
+FROM up WHERE n = 1
+"""
+
+
+@register("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of ``documents``, a tree per language, and the check of
+    a copy in which the texts of a third of the ids are lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = {"text": F.translate("text", upper, upper.lower())}
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    claim = F.when(altered, merkle.digest([lowered.get(c, F.col(c)) for c in MERKLE_FIELDS]))
+    found = merkle.prove(merkle.build_manifest(docs, MERKLE_FIELDS, "doc_id", "lang", claim))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
