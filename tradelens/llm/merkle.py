@@ -256,8 +256,8 @@ def prove(manifest: Manifest) -> DataFrame:
     if manifest.root is None:
         return blocks.sparkSession.createDataFrame([], schema)
     empty = F.array().cast("array<string>")
-    own = F.lit("").alias("subroot")
-    top = _descend(manifest.top, blocks.sparkSession.range(1).select(F.lit("").alias("tree"), empty.alias("left"), empty.alias("right"), own))
+    root_path = _tree_roots(manifest.top).select("tree", empty.alias("left"), empty.alias("right"), F.lit("").alias("subroot"))
+    top = _descend(manifest.top, root_path)
     of_subroot = cut(_handed_down(manifest.top[0], top), "merkle-paths").drop("tree", "subroot")
     subroots = manifest.subroots.select("tree", F.lower(F.hex("digest")).alias("subroot"), F.col("rank").alias("_rank"))
     above = _descend(manifest.levels, cut(subroots.join(of_subroot, F.col("rank") == F.col("_rank")).select("tree", "left", "right", "subroot"), "merkle-paths"))

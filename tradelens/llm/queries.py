@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelens.llm import langid, merkle, toxicity
+from tradelens.llm.best_fit import best_fit_pack
 from tradelens.llm.common import held_out_fold
 from tradelens.llm.decontam import find_matches
 from tradelens.llm.exact_dedup import exact_dedup
@@ -230,3 +231,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     claim = F.when(altered, merkle.digest([lowered.get(c, F.col(c)) for c in MERKLE_FIELDS]))
     found = merkle.prove(merkle.build_manifest(docs, MERKLE_FIELDS, "doc_id", "lang", claim))
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def word_vocabulary() -> str:
+    """Place of the public BPE vocabulary with word ends."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` packed whole into sequences of at most 4096 tokens, best fit decreasing."""
+    return best_fit_pack(table(spark, sf_dir, "documents"), word_vocabulary(), size=4096, end_id=1)
