@@ -22,6 +22,7 @@ from tradelens.llm.packing import pack
 from tradelens.llm.pii import pseudonymise
 from tradelens.llm.simhash import simhash_dedup
 from tradelens.llm.token_counts import count_tokens, write_token_files
+from tradelens.llm.whitening import fit_whitening, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,3 +245,11 @@ def word_vocabulary() -> str:
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` packed whole into sequences of at most 4096 tokens, best fit decreasing."""
     return best_fit_pack(table(spark, sf_dir, "documents"), word_vocabulary(), size=4096, end_id=1)
+
+
+@register("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every row of ``embeddings``."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = whiten(vectors, fit_whitening(vectors, "embedding", components=4), "vec_id", "embedding")
+    return found.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
