@@ -15,6 +15,8 @@ token, are encoded by ``tokenizers`` itself.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +25,27 @@ from tradelens.llm.tokenizer import _byte_alphabet
 
 END = "</w>"
 
+# Fixed value: the word pattern of the vocabulary file.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Characters of the fast path: not U+0130 (its lower case is two characters)
+# nor the control characters some engines count as white space.
+SIMPLE = [(0x09, 0x0D), (0x20, 0x7E), (0xA0, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC), (0x2122, 0x2122)]
+
+
+def _apart() -> re.Pattern:
+    """What of ``WORDS`` is no run of letters, in lower-case simple text."""
+    kinds: dict[str, str] = {"L": "", "N": "", "other": ""}
+    for lo, hi in SIMPLE:
+        for c in map(chr, range(lo, hi + 1)):
+            kind = unicodedata.category(c)[0]
+            if not c.isspace():
+                kinds[kind if kind in "LN" else "other"] += re.escape(c)
+    return re.compile(rf"('(?:[stmd]|re|ve|ll)|[{kinds['N']}]|[{kinds['other']}]+)")
+
 
 class WordBpe:
     def __init__(self, path: str):
-        import regex
-
         self.path = path
         self._slow = None
         self._fast = None
@@ -41,7 +59,7 @@ class WordBpe:
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         plain = steps == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in splits] == ["Split", "ByteLevel"] and not splits[1].get("add_prefix_space")
-        if in_order and plain and model.get("end_of_word_suffix") == END and splits[0].get("invert"):
+        if in_order and plain and model.get("end_of_word_suffix") == END and splits[0].get("invert") and splits[0]["pattern"].get("Regex") == WORDS:
             import tiktoken
 
             alphabet = _byte_alphabet()
@@ -51,15 +69,14 @@ class WordBpe:
                 ranks[bytes(alphabet[c] for c in word) + (b" " if token.endswith(END) else b"")] = i
             if len(ranks) == len(vocab):
                 self._fast = tiktoken.Encoding("word-bpe", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
-                self._words = regex.compile(splits[0]["pattern"]["Regex"]).findall
-                # not U+0130 (its lower case is two characters) nor the control characters some engines count as white space
-                self._simple = regex.compile(r"[\x09-\x0D\x20-\x7E\xA0-įı-ɏ‐-‧‰-⁞€™]*").fullmatch
+                self._apart = _apart().split
+                self._simple = re.compile(f"[{''.join(f'{re.escape(chr(a))}-{re.escape(chr(b))}' for a, b in SIMPLE)}]*").fullmatch
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text as little-endian unsigned 32-bit integers."""
         ids = None
         if self._fast is not None and self._simple(text) and not any(t in text for t in self._added):
-            words = self._words(text.lower())
+            words = " ".join(self._apart(text.lower())).split()
             try:
                 ids = self._fast.encode_ordinary(" ".join(words) + " ") if words else []
             except BaseException as e:  # the engine's panics on extreme runs are no Exception
