@@ -6,6 +6,8 @@ import os
 from pyspark.sql import functions as F
 
 from tradelens.operators import enrich as EN
+from tradelens.sources.commits import CommitLog
+from tradelens.sources.store import read_store
 from tradelens.streaming.sessions import sessionize, stream_sessions
 
 T0 = dt.datetime(2024, 1, 1)
@@ -93,8 +95,9 @@ def test_enrichment_writes_back_and_sets_failures_aside(spark, tmp_dir):
 
     first = EN.enrich_store(spark, root, classifier=EN.model_classifier(fn), label="model")
     assert (first.processed, first.succeeded, first.failed) == (2, 1, 1)
-    assert {r.goods_id: r.classified_by for r in spark.read.parquet(f"{root}/goods").collect()} == {1: "model", 2: "failed"}
-    assert {r.name for r in spark.read.parquet(f"{root}/categories").collect()} >= {"Other", "Nông sản"}
+    now = read_store(spark, root, CommitLog(spark, root).entries())  # goods keep their versions: read through the store
+    assert sorted((r.goods_id, r.classified_by) for r in now["goods"].collect()) == [(1, "model"), (2, "failed")]
+    assert {r.name for r in now["categories"].collect()} >= {"Other", "Nông sản"}
     assert EN.enrich_store(spark, root, classifier=EN.model_classifier(fn)).processed == 0
     assert EN.enrich_store(spark, root, classifier=EN.model_classifier(fn), retry_failed=True).processed == 1
 

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelens.sources.commits import LOG, Commit, CommitLog, hadoop_path, read_dimension, read_table
+
 FACT_PARTITIONS = ("year", "month")
 
 
@@ -83,18 +85,31 @@ class FrameStore(Store):
         return self.categories_df
 
 
+# table -> id column of each dimension
+DIMENSIONS = {"companies": "company_id", "goods": "goods_id", "categories": "category_id"}
+
+
+def read_store(spark: SparkSession, root: str, entries: Sequence[Commit]) -> dict[str, DataFrame | None]:
+    """The tables of a store as of the given commits, None for those without rows."""
+    root = root.rstrip("/")
+    found = {"transactions": read_table(spark, root, "transactions", entries)}
+    for name, key in DIMENSIONS.items():
+        found[name] = read_dimension(spark, root, name, key, entries)
+    return found
+
+
 class ParquetStore(FrameStore):
-    """Materialised star under ``root`` (S4 scans)."""
+    """Materialised star under ``root`` (S4 scans), as of the commits made
+    when it was opened; what other jobs write meanwhile does not show."""
 
     def __init__(self, spark: SparkSession, root: str):
         root = root.rstrip("/")
-        super().__init__(
-            spark,
-            spark.read.parquet(f"{root}/transactions"),
-            spark.read.parquet(f"{root}/companies"),
-            spark.read.parquet(f"{root}/goods"),
-            spark.read.parquet(f"{root}/categories"),
-        )
+        self.commits = CommitLog(spark, root).entries()
+        found = read_store(spark, root, self.commits)
+        missing = [n for n, df in found.items() if df is None]
+        if missing:
+            raise FileNotFoundError(f"no {', '.join(missing)} under {root}")
+        super().__init__(spark, found["transactions"], found["companies"], found["goods"], found["categories"])
         self.root = root
 
     def facts(self, columns: Sequence[str] | None = None, dates: tuple | None = None) -> DataFrame:
@@ -133,6 +148,9 @@ def write_store(store: Store, root: str, mode: str = "overwrite", partitions: in
     size it to about one task per 128-512 MB of facts."""
     spark = store.spark
     root = root.rstrip("/")
+    if mode == "overwrite":  # the commits of a store that is replaced go first
+        path, fs = hadoop_path(spark, f"{root}/{LOG}")
+        fs.delete(path, True)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = store.facts()
     (
