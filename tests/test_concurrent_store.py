@@ -66,9 +66,9 @@ def test_overlapping_imports_give_the_rows_of_one(spark, tmp_dir):
     assert joined.count() == 60
 
 
-@pytest.mark.parametrize("step", range(6))
+@pytest.mark.parametrize("step", range(7))
 def test_interleaved_at_each_write(spark, tmp_dir, monkeypatch, step):
-    """The other import runs whole before the n-th write of this one (5: between its last write and its commit)."""
+    """The other import runs whole before the n-th write of this one (6: between its last write and its commit)."""
     a, b = os.path.join(tmp_dir, "a.csv"), os.path.join(tmp_dir, "b.csv")
     write_csv(a, lines(0, 12))
     write_csv(b, lines(6, 18))
@@ -91,7 +91,7 @@ def test_interleaved_at_each_write(spark, tmp_dir, monkeypatch, step):
     tried = CommitLog.try_commit
 
     def try_commit(self, *args):
-        if state["on"] and step == 5:
+        if state["on"] and step == 6:
             other()
         return tried(self, *args)
 

@@ -501,6 +501,7 @@ oracle(
     "agg_cache_top_n",
     _CACHE.format(extra="") + "SELECT * FROM cache WHERE dim = 'importCompany' ORDER BY value DESC, key LIMIT 10",
 )
+ORACLES["agg_cache_stored"], ORACLES["agg_cache_stored_top_n"] = ORACLES["agg_cache"], ORACLES["agg_cache_top_n"]
 oracle(
     "time_series_month",
     _ENGINE_VIEW

@@ -163,4 +163,11 @@ def write_store(store: Store, root: str, mode: str = "overwrite", partitions: in
     store.companies().write.mode(mode).parquet(f"{root}/companies")
     store.goods().write.mode(mode).parquet(f"{root}/goods")
     store.categories().write.mode(mode).parquet(f"{root}/categories")
+    if mode == "overwrite":  # what an import adds for its lines: keys for the next import, states for the roll-up cache
+        from tradelens.operators.dedup import write_line_keys
+        from tradelens.operators.rollup_states import STATE_FACTS, TABLE, fact_states
+
+        written = spark.read.parquet(f"{root}/transactions")
+        fact_states(written.select(*STATE_FACTS)).write.mode(mode).partitionBy("dim").parquet(f"{root}/{TABLE}")
+        write_line_keys(written, written.count(), f"{root}/line_keys")
     return ParquetStore(spark, root)
