@@ -297,7 +297,11 @@ def filter_audit(df: DataFrame, filters: Sequence, opts: FilterOptions = FilterO
     for i in range(len(fs)):
         aggs.append(F.count_if(preds[i]).alias(f"m{i}"))
         aggs.append(F.count_if(combine(preds[: i + 1], fs[: i + 1])).alias(f"c{i}"))
-    one = df.agg(*aggs)
+    return audit_rows(df.agg(*aggs), fs)
+
+
+def audit_rows(one: DataFrame, fs: Sequence[FilterExpression]) -> DataFrame:
+    """P20: the one-row counts (``total, m0, c0, m1, ...``) as a row per filter."""
     rows = [
         F.struct(
             F.lit(i + 1).cast("long").alias("iteration"),

@@ -10,7 +10,7 @@ stable.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +86,96 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int, page_size: int)
     return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+# ---------------------------------------------------------------- seek paging (L3)
+
+Sort = Sequence[tuple[str, bool]]  # (column, ascending)
+
+
+def full_sort(sort: Sort, tie_break: Sequence[str]) -> list[tuple[str, bool]]:
+    """The sort with its tie-breakers, as ``order_columns`` orders them."""
+    used = {c for c, _ in sort}
+    return [*sort, *[(c, True) for c in tie_break if c not in used]]
+
+
+def after(sort: Sort, last: Mapping[str, object], inclusive: bool = False) -> Column:
+    """Rows that follow the row with the sort values ``last`` (``inclusive``:
+    and that row), where nulls come first ascending and last descending.
+
+    The leading column's bound is also a condition of its own, so it reaches
+    the scan and skips files and row groups."""
+    cond = F.lit(inclusive)
+    bound = None
+    for c, asc in reversed(list(sort)):
+        col, v = F.col(c), last[c]
+        if v is None:
+            beyond, same = (col.isNotNull() if asc else F.lit(False)), col.isNull()
+            bound = None if asc else col.isNull()
+        else:
+            value = F.lit(v)
+            beyond, same = ((col > value) if asc else ((col < value) | col.isNull())), col == value
+            bound = (col >= value) if asc else ((col <= value) | col.isNull())
+        cond = beyond | (same & cond)
+    cond = F.coalesce(cond, F.lit(False))
+    return cond if bound is None else bound & cond
+
+
+def seek_page(df: DataFrame, sort: Sort, tie_break: Sequence[str], page_size: int, last: Mapping[str, object] | None = None) -> DataFrame:
+    """L3 by key: the page after the row with the sort values ``last`` (the
+    last row of the page before; None: the first page).  The sort with its
+    tie-breakers must tell rows apart.  A task keeps one page of rows,
+    however deep the page lies."""
+    keys = full_sort(sort, tie_break)
+    rows = df if last is None else df.filter(after(keys, last))
+    return rows.orderBy(*order_columns(list(sort), tie_break)).limit(page_size)
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """Where the pages of a sorted list start: ``starts`` has a row per
+    ``every`` pages with the page number (``page``) and the sort values of its
+    first row."""
+
+    starts: DataFrame
+    sort: tuple[tuple[str, bool], ...]
+    tie_break: tuple[str, ...]
+    page_size: int
+    every: int
+
+    def page(self, df: DataFrame, page: int) -> DataFrame:
+        """Page ``page`` of ``df`` (the rows the index was made of): the same
+        rows as ``paginate`` gives, from a scan that starts at an indexed row."""
+        entry = (page - 1) // self.every * self.every + 1
+        first = self.starts.filter(F.col("page") == entry).drop("page").first()
+        if first is None:
+            return df.limit(0)
+        rows = df.filter(after(full_sort(self.sort, self.tie_break), first.asDict(), inclusive=True))
+        return paginate(rows, order_columns(list(self.sort), self.tie_break), page - entry + 1, self.page_size)
+
+
+def page_index(df: DataFrame, sort: Sort, tie_break: Sequence[str], page_size: int, every: int = 1) -> PageIndex:
+    """Build a :class:`PageIndex`: the sort columns alone are range-partitioned
+    (Spark samples the bounds), sorted and written; a count per partition then
+    gives every row its exact place.  No task sorts more than its range, and
+    no row but the page starts is kept.  With ``every`` = m the index is m
+    times smaller and a page reads up to m pages of rows a task."""
+    from tradelens.session import stage_table
+
+    spark = df.sparkSession
+    keys = full_sort(sort, tie_break)
+    order = order_columns(list(sort), tie_break)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = df.select(*[c for c, _ in keys]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = stage_table(placed.withColumn("_at", F.monotonically_increasing_id()), "page-order").withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)
+    ranked = placed.join(F.broadcast(offsets), "_part").withColumn("_place", place)  # broadcast: as many rows as partitions
+    starts = ranked.filter(F.col("_place") % (page_size * every) == 0)
+    starts = starts.select((F.col("_place") / page_size + 1).cast("long").alias("page"), *[c for c, _ in keys])
+    return PageIndex(stage_table(starts.repartitionByRange(parts, "page"), "page-starts"), tuple(sort), tuple(tie_break), page_size, every)
+
+
 @dataclass(frozen=True)
 class PageInfo:
     total: int

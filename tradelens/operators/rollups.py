@@ -249,20 +249,25 @@ def company_top_category(store: Store) -> DataFrame:
     return top.select("company_id", F.col("category").alias("most_frequent_category"), "transaction_count")
 
 
+def _orders_by_country(store: Store) -> DataFrame:
+    """Lines and value per (company, export country, declaration): the one
+    aggregation of the facts that all figures of A34 derive from."""
+    tx = store.facts(["company_id", "export_country", "declaration_number", "total_value_usd"])
+    return tx.groupBy("company_id", "export_country", "declaration_number").agg(F.sum("total_value_usd").alias("_v"), F.count(F.lit(1)).alias("_n"))
+
+
 def company_export_countries(store: Store) -> DataFrame:
     """totalSuppliers (distinct export countries), averageOrderValue
     (value per declaration) and the top export country by value."""
-    tx = store.facts(["company_id", "export_country", "declaration_number", "total_value_usd"])
-    per_country = tx.groupBy("company_id", "export_country").agg(F.sum("total_value_usd").alias("_cv"))
+    orders = _orders_by_country(store)
+    per_country = orders.groupBy("company_id", "export_country").agg(F.sum("_v").alias("_cv"))
     top = top_k_per_group(per_country, ["company_id"], [F.col("_cv").desc(), F.col("export_country").asc()], 1).select(
         "company_id", F.col("export_country").alias("top_export_country")
     )
-    totals = tx.groupBy("company_id").agg(
-        F.count_distinct("export_country").alias("total_suppliers"),
-        F.count_distinct("declaration_number").alias("order_count"),
-        F.sum("total_value_usd").alias("_value"),
-    )
-    return totals.join(top, "company_id").select(
+    # a declaration may name several countries: distinct per company before counting
+    counts = orders.groupBy("company_id", "declaration_number").agg(F.sum("_v").alias("_v")).groupBy("company_id").agg(F.count("declaration_number").alias("order_count"), F.sum("_v").alias("_value"))
+    suppliers = per_country.groupBy("company_id").agg(F.count("export_country").alias("total_suppliers"))
+    return counts.join(suppliers, "company_id").join(top, "company_id").select(
         "company_id",
         "total_suppliers",
         "order_count",
@@ -272,6 +277,17 @@ def company_export_countries(store: Store) -> DataFrame:
     )
 
 
+def company_top_export_countries(store: Store, k: int = 5) -> DataFrame:
+    """A34 topExportCountries[]: per company the ``k`` countries with most
+    lines (ties by name), as an array of (country, transaction_count) in that
+    order.  The limit is applied before and after the shuffle
+    (``top_k_per_group``), so a list never holds more than ``k`` entries."""
+    per = _orders_by_country(store).groupBy("company_id", F.coalesce("export_country", F.lit("")).alias("country")).agg(F.sum("_n").alias("transaction_count"))
+    top = top_k_per_group(per, ["company_id"], [F.col("transaction_count").desc(), F.col("country").asc()], k)
+    entries = F.array_sort(F.collect_list(F.struct("rank", "country", "transaction_count")))
+    return top.groupBy("company_id").agg(F.transform(entries, lambda e: F.struct(e["country"].alias("country"), e["transaction_count"].alias("transaction_count"))).alias("top_export_countries"))
+
+
 # ---------------------------------------------------------------- goods
 
 
@@ -586,6 +602,35 @@ def transactions_page(store: Store, page=1, page_size=50, sort_by: str = "date",
     )
 
 
+def transactions_index(store: Store, page_size=50, sort_by: str = "date", ascending: bool = False, every: int = 1, **filters):
+    """L3: the page starts of a transaction list (see ``listing.page_index``)."""
+    from tradelens.operators.listing import clamp_page, page_index, resolve_sort
+
+    _, size = clamp_page(1, page_size)
+    col = resolve_sort(sort_by, TRANSACTION_SORTS, "date")
+    return page_index(transactions_view(store, **filters), [(col, ascending)], TX_TIE_BREAK, size, every)
+
+
+def _as_page(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"date": iso_timestamp("date"), "quantity": _money("quantity"), "total_value_usd": _money("total_value_usd")})
+
+
+def transactions_indexed_page(store: Store, index, page: int, **filters) -> DataFrame:
+    """A page of the list an index was made of; equal to ``transactions_page``
+    with the same sort and filters, without keeping the pages before it."""
+    return _as_page(index.page(transactions_view(store, **filters), max(1, page)))
+
+
+def transactions_after(store: Store, last: dict | None, page_size=50, sort_by: str = "date", ascending: bool = False, **filters) -> DataFrame:
+    """The page that follows the row with the sort values ``last`` (columns of
+    ``transactions_view``: the sort column and ``TX_TIE_BREAK``)."""
+    from tradelens.operators.listing import clamp_page, resolve_sort, seek_page
+
+    _, size = clamp_page(1, page_size)
+    col = resolve_sort(sort_by, TRANSACTION_SORTS, "date")
+    return _as_page(seek_page(transactions_view(store, **filters), [(col, ascending)], TX_TIE_BREAK, size, last))
+
+
 def transactions_api_page(store: Store, page=1, page_size=50, sort_by: str = "date", ascending: bool = False, **filters) -> DataFrame:
     """P1 + P2 + S6: the list page in the API's nested shape — ``company``
     and ``goods`` structs, numbers defaulted to 0, ``currency`` and the

@@ -8,13 +8,16 @@ jobs read stand-in inputs selected from them (``import_batch``,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradelens.functions.numbers import iso_timestamp
 from tradelens.operators import rollups as R
-from tradelens.session import stage_table
+from tradelens.operators.listing import order_columns
+from tradelens.session import scratch_path, stage_table
 from tradelens.sources.testbed import TestbedStore
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +147,28 @@ def _transactions_page(s):
     return R.transactions_page(s, page=1, page_size=50, sort_by="totalValueUSD", ascending=False, **_TX_FILTERS)
 
 
+@register("transactions_deep_page")
+def _transactions_deep_page(s):
+    """Page 400 of the whole list, read from an index of page starts."""
+    index = R.transactions_index(s, page_size=50, sort_by="totalValueUSD", ascending=False, every=4)
+    return R.transactions_indexed_page(s, index, 400)
+
+
+@register("transactions_next_page")
+def _transactions_next_page(s):
+    """The page after the list's thousandth row, by that row's sort values."""
+    keys = ["total_value_usd", *R.TX_TIE_BREAK]
+    last = R.transactions_view(s).select(*dict.fromkeys(keys)).orderBy(*order_columns([("total_value_usd", False)], R.TX_TIE_BREAK)).offset(999).limit(1).first()
+    return R.transactions_after(s, None if last is None else last.asDict(), page_size=50, sort_by="totalValueUSD", ascending=False)
+
+
+@register("company_top_export_countries")
+def _company_top_export_countries(s):
+    """The list as text: country:lines, in order."""
+    found = R.company_top_export_countries(s)
+    return found.select("company_id", F.array_join(F.transform("top_export_countries", lambda e: F.concat_ws(":", e["country"], e["transaction_count"].cast("string"))), ";").alias("top_export_countries"))
+
+
 @register("transactions_count")
 def _transactions_count(s):
     return R.transactions_count(s, page_size=50, **_TX_FILTERS)
@@ -271,12 +296,13 @@ def _match_document(s):
 # ---------------------------------------------------------------- filter engine (P10-P20)
 
 from tradelens.operators import engine as E  # noqa: E402
+from tradelens.operators import dictionary_filters as DF  # noqa: E402
 from tradelens.operators import filters as FL  # noqa: E402
 from tradelens.operators import rollup_states as RS  # noqa: E402
 
 
 def _filtered(s, filters, opts=FL.FilterOptions()):
-    return _display(FL.execute_filters(E.engine_view(s), filters, opts))
+    return _display(DF.filter_store(s, filters, opts))
 
 
 @register("filter_equals")
@@ -340,7 +366,17 @@ def _filter_cnf(s):
 
 @register("filter_audit")
 def _filter_audit(s):
-    return FL.filter_audit(E.engine_view(s), CNF_FILTERS)
+    return FL.audit_rows(DF.running_counts(s, CNF_FILTERS), [FL.FilterExpression.of(f) for f in CNF_FILTERS])
+
+
+SAMPLE_ORDER = ("date", "declaration_number", "goods_id", "quantity")
+
+
+@register("filter_audit_sample")
+def _filter_audit_sample(s):
+    """The first five lines each filter matches."""
+    found = DF.filter_samples(s, CNF_FILTERS, [F.col(c) for c in SAMPLE_ORDER], ["date", "declaration_number", "goods_id", "quantity", "customs_office", "total_value_usd"])
+    return _display(found)
 
 
 # ---------------------------------------------------------------- engine aggregates
@@ -420,7 +456,6 @@ def _summary_lines(s):
 
 # ---------------------------------------------------------------- import de-duplication
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from tradelens.operators import dedup as D  # noqa: E402
 from tradelens.schema import DEDUP_KEY  # noqa: E402
@@ -511,7 +546,7 @@ def _import_summary(s):
 # ---------------------------------------------------------------- the CSV import in one plan
 
 from tradelens.operators import ingest as IG  # noqa: E402
-from tradelens.sources.store import FrameStore  # noqa: E402
+from tradelens.sources.store import FrameStore, ParquetStore  # noqa: E402
 from tradelens.sources.testbed import customs_rows  # noqa: E402
 
 
@@ -551,6 +586,25 @@ def _import_transactions_page(s):
     return page.drop("company_id", "goods_id", "unit_price_usd")
 
 
+@register("import_overlapping")
+def _import_overlapping(s):
+    """All lines in two files that share six sixteenths of the declarations.
+    Both imports look at the empty store before either writes; the facts of
+    the committed store are joined to its dimensions."""
+    rows = _csv_rows(s)
+    digit = F.substring(F.md5(F.col("`Số tờ khai`")), 3, 1)
+    root = scratch_path(s.spark, f"overlapping-{uuid.uuid4().hex}")
+    plans = [IG.plan_import(s.spark, rows.filter(half), None, None, None, None, mode="quarantine") for half in (digit < "b", digit > "4")]
+    for name, plan in zip("ab", plans):
+        IG.append_import(plan, root, name, seen=0)
+    store = ParquetStore(s.spark, root)
+    lines = store.facts(["company_id", "goods_id", "declaration_number"])
+    joined = lines.join(store.companies(), "company_id").join(store.goods(), "goods_id")
+    return joined.groupBy(F.col("name").alias("company")).agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("raw_name").alias("goods"), F.countDistinct("declaration_number").alias("declarations")
+    )
+
+
 # ---------------------------------------------------------------- profile, growth, comparisons
 
 from tradelens.operators import analytics as AN  # noqa: E402

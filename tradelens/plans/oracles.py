@@ -257,6 +257,27 @@ ORDER BY total_value_usd DESC, declaration_number, line_no, goods_id, company_id
 LIMIT 50
 """,
 )
+_TX_ALL = _TX_VIEW.split("  WHERE f.date")[0] + ")\n"
+_TX_PAGE = f"""
+SELECT declaration_number, line_no, {iso("date")} AS date, company_id, company_name, goods_id, goods_name, short_name,
+       category, hs_code, CAST(quantity AS DOUBLE) AS quantity, unit, unit_price_usd,
+       CAST(total_value_usd AS DOUBLE) AS total_value_usd, export_country, import_country, customs_office
+FROM view
+ORDER BY total_value_usd DESC, declaration_number, line_no, goods_id, company_id, quantity
+"""
+oracle("transactions_deep_page", _TX_ALL + _TX_PAGE + "LIMIT 50 OFFSET 19950")
+oracle("transactions_next_page", _TX_ALL + _TX_PAGE + "LIMIT 50 OFFSET 1000")
+oracle(
+    "company_top_export_countries",
+    """
+, pc AS (
+  SELECT company_id, coalesce(export_country, '') AS country, COUNT(*) AS n FROM facts GROUP BY 1, 2
+), top AS (
+  SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY n DESC, country) AS rk FROM pc
+)
+SELECT company_id, string_agg(country || ':' || n, ';' ORDER BY rk) AS top_export_countries FROM top WHERE rk <= 5 GROUP BY company_id
+""",
+)
 oracle(
     "transactions_count",
     _TX_VIEW + "SELECT COUNT(*) AS total, CAST(ceil(COUNT(*) / 50.0) AS BIGINT) AS total_pages FROM view",
@@ -436,6 +457,21 @@ SELECT 3, 'total_value_usd', 'greaterThan', 'total_value_usd greaterThan 50000',
 """,
 )
 
+oracle(
+    "filter_audit_sample",
+    f"""
+, ln AS (SELECT date, declaration_number, goods_id, quantity, customs_office, total_value_usd FROM facts),
+hit AS (
+  SELECT 1::BIGINT AS iteration, * FROM ln WHERE customs_office IS NOT NULL AND {_CNF_US}
+  UNION ALL SELECT 2, * FROM ln WHERE customs_office IS NOT NULL AND {_CNF_ASIA}
+  UNION ALL SELECT 3, * FROM ln WHERE {_CNF_VALUE}
+), rk AS (SELECT *, row_number() OVER (PARTITION BY iteration ORDER BY date, declaration_number, goods_id, quantity) AS rank FROM hit)
+SELECT iteration, rank, {iso("date")} AS date, declaration_number, goods_id, CAST(quantity AS DOUBLE) AS quantity, customs_office,
+       CAST(total_value_usd AS DOUBLE) AS total_value_usd
+FROM rk WHERE rank <= 5
+""",
+)
+
 # ---------------------------------------------------------------- engine aggregates
 
 _KEY_IC = "CASE WHEN import_country IS NULL OR import_country = '' THEN 'Unknown' ELSE import_country END"
@@ -706,6 +742,16 @@ FROM uniq ORDER BY total_value_usd DESC, declaration_number, pos LIMIT 100""",
 )
 
 
+oracle(
+    "import_overlapping",
+    _ROWS
+    + f"""
+, uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY8} ORDER BY pos) AS rn FROM rows) WHERE rn = 1)
+SELECT import_company_raw_name AS company, COUNT(*) AS lines, COUNT(DISTINCT goods_raw_name) AS goods,
+       COUNT(DISTINCT declaration_number) AS declarations
+FROM uniq GROUP BY 1""",
+)
+
 # ---------------------------------------------------------------- profile, growth, comparisons
 
 oracle(
