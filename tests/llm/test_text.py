@@ -13,6 +13,7 @@ from tests.conftest import SF_CHECK, SF_SMALL
 from tests.llm.helpers import by_id, clashing, docs
 from tradelens.llm import langid, toxicity
 from tradelens.llm.decontam import drop_contaminated, find_matches
+from tradelens.llm import html_extract
 from tradelens.llm.html_extract import extract_text, main_text
 from tradelens.llm.pii import pseudonymise
 from tradelens.llm.queries import QUERIES, table
@@ -174,6 +175,102 @@ def test_html_container_stays_whole():
         assert main_text(page) == want, page
 
 
+def brute_text(html):
+    """Steps 2 (link runs aside) to 4 by their definition, over all pairs of lines and elements."""
+    page = html_extract._Page(html)
+    lines = html_extract._lines(page)
+    weight = html_extract._weights(page, lines)
+    n, w = len(lines), html_extract.WINDOW
+    sums = [sum(weight[k] for k in range(i, min(i + w, n))) for i in range(n)]
+    groups = []
+    for i in range(n):
+        if sums[i]:
+            if not i or not sums[i - 1]:
+                groups.append([])
+            groups[-1].append(i)
+    parts = [({x for i in g for x in range(i, min(i + w, n)) if weight[x]}, max(sums[i] for i in g)) for g in groups]
+    chosen = [p for p, top in parts if top >= html_extract.SURGE]
+    if not chosen and parts:
+        chosen = [max((p for p, _ in parts), key=lambda p: (sum(weight[x] for x in p), -min(p)))]
+    hit = set().union(*chosen) if chosen else set()
+    keep = {x for p in chosen for x in range(min(p), max(p) + 1)}
+    for e in range(1, len(page.tag)):
+        for own in ([x for x in range(n) if weight[x] and lines[x].box == e], [x for x in range(n) if weight[x] and lines[x].marked == e]):
+            if hit & set(own):
+                keep |= set(range(min(own), max(own) + 1))
+    return "\n\n".join(lines[x].text for x in sorted(keep) if lines[x].text)
+
+
+def test_html_distribution_decides_on_every_page(spark):
+    """Against the brute force, on the given pages, the same without their
+    article tags, and pages of random blocks."""
+    pages = [r.html for r in table(spark, SF_SMALL, "pages").collect()]
+    plain = [re.sub(r"</?(article|main)[^>]*>", lambda m: m[0].replace(m[1], "div"), p) for p in pages]
+    rng = random.Random(4)
+    made = []
+    for _ in range(300):
+        out, open_ = [], []
+        for _ in range(rng.randint(1, 25)):
+            k = rng.random()
+            if k < 0.2:
+                open_.append(rng.choice(["div", "section", "article", "main", "ul", "td", "div class='sidebar'", "div class='ad'"]))
+                out.append(f"<{open_[-1]}>")
+            elif k < 0.35 and open_:
+                out.append(f"</{open_.pop().split()[0]}>")
+            elif k < 0.6:
+                out.append(f"<p><a href=x>{'link ' * rng.randint(1, 8)}</a></p>")
+            else:
+                out.append(f"<{rng.choice(['p', 'h1', 'h2'])}>{'word ' * rng.randint(0, 30)}</p>")
+        made.append("".join(out))
+    for p in pages + plain + made:
+        assert main_text(p) == brute_text(p)
+
+
+def test_html_menus_inside_a_marked_element():
+    menu = "<div class='col-left'><ul>" + "".join(f"<li><a href='{i}'>Entry {i}</a></li>" for i in range(4)) + "</ul></div>"
+    text = f"Title\n\n{LONG}\n\nShort."
+    for tag in ("main", "article", "div"):
+        body = f"<p>{LONG}</p><p>Short.</p>"
+        assert main_text(f"<{tag}>{menu}<h1>Title</h1>{body}{menu}</{tag}>") == text, tag
+    # a linked headline and source are text, links between paragraphs are the article's
+    assert main_text(f"<main>{menu}<h1><a href='x'>Title</a></h1><p>{LONG}</p><p>Short.</p></main>") == text
+    assert main_text(f"<article><p>{LONG}</p><p><a href='x'>The source</a></p></article>{menu}") == f"{LONG}\n\nThe source"
+    assert main_text(f"<article><div><p>{LONG}</p></div>{menu}<div><p>End.</p></div></article>") == "\n\n".join([LONG, *[f"Entry {i}" for i in range(4)], "End."])
+
+
+def test_html_names_need_more_than_a_name_inside_an_article():
+    kept = "<section id='search'><h2>Search</h2><p>We looked.</p></section><section id='form'><h2>Form</h2><p>Of it.</p></section><h2 id='related'>Related theorems</h2>"
+    listed = "<div class='related'><ul><li><a href=1>One more</a></li><li><a href=2>Another</a></li></ul></div><section id='search'><input name=q>Search here</section><div class='share'>Tell others</div><div class='ad'>Buy " + LONG + "</div>"
+    assert main_text(f"<article><p>{LONG}</p>{kept}{listed}<p>{LONG}</p></article>") == "\n\n".join([LONG, "Search", "We looked.", "Form", "Of it.", "Related theorems", LONG])
+
+
+def test_html_raw_and_media_elements():
+    cases = {
+        "<p>Let <math><mi>x</mi></math> be a number.": "Let x be a number.",
+        "<article><p>A</p><video src=x><p>B</p><p>C</p></article>": "A\n\nB\n\nC",
+        "<article><object data=x><p>Text</p></article>": "Text",
+        "<article><p>A</p><video src=x><p>fallback</p></video><p>B</p></article>": "A\n\nB",
+        "<p>A</p><svg><title>t</title><text>drawn</text></svg><p>B</p>": "A\n\nB",
+        "<script src=/js/>var a=1;</script><p>B</p>": "B",
+        "<script src='/js/'/><p>B</p>": "B",
+        "<iframe src=/x/>inside</iframe><p>B</p>": "B",
+    }
+    assert {x: main_text(x) for x in cases} == cases
+
+
+def test_html_time_grows_with_the_page():
+    import time
+
+    def seconds(n):
+        page = "".join(f"<div>before {i} " for i in range(n)) + LONG + "".join(f" after {i}</div>" for i in range(n)) + "<video src=x>" * n
+        start = time.perf_counter()
+        assert LONG in main_text(page)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(20_000) < 20 * max(seconds(2_000), 0.01) + 1
+
+
 def test_html_cases(spark):
     odd = [None, "", "plain text", "<p>unclosed <b>tags", "<!-- never closed <p>x", "<script>only()", "a < b <p>1 &lt; 2", '<p title="a>b">in</p>', "<nav>menu", "<", "&am", "<p>" + "x" * 200_000]
     assert [main_text(x) for x in odd[:11]] == ["", "", "plain text", "unclosed tags", "", "", "a < b\n\n1 < 2", "in", "", "<", "&am"]

@@ -5,20 +5,27 @@
    that by tag, role, class or id are menus, headers, footers, sidebars,
    notices, adverts, forms or reader comments become empty lines.  A class or
    id counts by its whole tokens or their last part ("site-header"), not where
-   it says what the element has or lacks ("has-sidebar", "comments-open"); an
-   element so named that holds most of the page's text is a layout wrapper and
-   stays.  Articles are comments inside a comment list, or when so named after
-   the page's first article.
-2. Where the page marks article or main elements and no container outside
-   them holds more unlinked text (and ``SURGE`` of it), all their lines are the text.
-3. Otherwise every line weighs its text length, links not counted; mostly
-   linked lines weigh nothing.  Line-block distribution: lengths are summed
-   over sliding windows of ``WINDOW`` lines.  A stretch begins where the sum
-   rises from zero and ends where it dives back to zero; it is text if its sum
-   surges above ``SURGE`` somewhere.  If no stretch surges the heaviest one is
-   the text.  A dropped element breaks a stretch (``WINDOW`` empty lines) only
+   it says what the element has or lacks ("has-sidebar", "comments-open"), and
+   not alone: an element so named that holds most of the page's text is a
+   layout wrapper and stays, and inside an article a name (adverts and
+   comments apart) needs links, form fields or a short text to bear it out; a
+   section or heading there needs links or fields.  Articles are comments
+   inside a comment list, or when so named after the page's first article.
+2. Weigh the lines: a line weighs its text length, links not counted; mostly
+   linked lines weigh nothing, but in article or main elements they do so only
+   in runs of ``WINDOW`` or more (a menu; a linked headline or source is text),
+   and top headings always weigh.
+   Where a page marks article or main elements and no container outside them
+   holds more unlinked text (and ``SURGE`` of it), the lines outside weigh
+   nothing; otherwise those marked lines weigh nothing that lie outside the
+   heaviest container.
+3. Line-block distribution, on every page: weights are summed over sliding
+   windows of ``WINDOW`` lines.  A stretch begins where the sum rises from
+   zero and ends where it dives back to zero; it is text if its sum surges
+   above ``SURGE`` somewhere.  If no stretch surges the heaviest one is the
+   text.  A dropped element breaks a stretch (``WINDOW`` empty lines) only
    between containers, and the other stretches of a chosen container (the
-   page itself is none) are chosen with it.
+   page itself is none) or marked element are chosen with it.
 4. All lines between the rise and the dive, or between the first and the last
    stretch of a chosen container, are kept, short and linked ones included.
 
@@ -52,7 +59,8 @@ WINDOW = 3
 SURGE = 80
 
 # Fixed HTML vocabulary.
-RAW_TAGS = frozenset("script style noscript template textarea title svg math iframe object canvas video audio head".split())
+RAW_TAGS = frozenset("script style noscript textarea title iframe head".split())
+MEDIA_TAGS = frozenset("svg object canvas video audio template".split())  # what is inside stands in for the media
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -76,6 +84,8 @@ IMPLIED = {
 NO_P_CLOSE = frozenset("caption tbody tfoot thead tr legend".split())  # blocks that stand in no paragraph
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FIELD_TAGS = frozenset("input select textarea button".split())
 BOX_TAGS = frozenset("div article main td th center details".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROP_NAMES = frozenset(
@@ -113,7 +123,10 @@ def _named(token: str) -> str:
 
 def _dropped(tag: str, attrs: str, in_main: bool, seen_main: bool) -> str:
     """Why an element is not part of the text: "comment", "chrome", "name"
-    (chrome by nothing but its class or id) or ""."""
+    (chrome by nothing but its class or id), "part" (so named inside an
+    article) or ""."""
+    if tag in MEDIA_TAGS:
+        return "chrome"
     if tag in ("html", "body", "main"):
         return ""
     kind, role, hidden = set(), "", False
@@ -131,8 +144,9 @@ def _dropped(tag: str, attrs: str, in_main: bool, seen_main: bool) -> str:
         return "comment"
     if tag in DROP_TAGS or (tag == "header" and not in_main) or role in DROP_ROLES or hidden:
         return "chrome"
-    names = DROP_NAMES - {"header"} if in_main else DROP_NAMES
-    return "name" if kind & names else ""
+    if not in_main:
+        return "name" if kind & DROP_NAMES else ""
+    return "name" if kind & AD_NAMES else "part" if kind & (DROP_NAMES - {"header"}) else ""
 
 
 class _Page:
@@ -146,8 +160,10 @@ class _Page:
         self.events: list = []
         self.tag, self.why, self.parent = [""], [""], [0]
         self.own, self.solid = [0], [0]  # unlinked characters; paragraphs, a top heading counting twice
+        self.linked, self.fields = [0], [0]  # linked characters; form fields
         self.end = [0]  # event that closes the element
         self.open, self.n_open = [0], Counter()
+        self.next_end: dict[str, int] = {}  # of a media element: the next closing tag, or the page's end
         self.main_depth, self.seen_main = 0, False
         self._read(html)
         while len(self.open) > 1:
@@ -167,6 +183,8 @@ class _Page:
         self.parent.append(self.open[-1])
         self.own.append(0)
         self.solid.append(0)
+        self.linked.append(0)
+        self.fields.append(0)
         self.end.append(0)
         self.open.append(e)
         self.n_open[tag] += 1
@@ -183,6 +201,8 @@ class _Page:
         self.n_open[tag] -= 1
         if tag in MAIN_TAGS and not self.why[e]:
             self.main_depth -= 1
+        self.linked[up] += self.linked[e]
+        self.fields[up] += self.fields[e]
         if not self.why[e]:
             self.own[up] += self.own[e]
             self.solid[up] += self.solid[e] + (2 if tag == "h1" else tag == "p" and self.own[e] > 0)
@@ -244,8 +264,7 @@ class _Page:
             if at > pos:
                 text = unescape(html[pos:at])
                 self.events.append((text, link_depth > 0))
-                if not link_depth:
-                    self.own[self.open[-1]] += len(text.strip())
+                (self.linked if link_depth else self.own)[self.open[-1]] += len(text.strip())
             if at == n:
                 break
             if html.startswith("<!--", at):
@@ -268,7 +287,10 @@ class _Page:
                 continue
             closing, tag, attrs = m[1] == "/", m[2].lower(), m[3]
             pos = m.end()
-            if not closing and tag in RAW_TAGS and not attrs.endswith("/"):
+            whole = not closing and attrs.endswith("/") and attrs[-2:-1] in ("", " ", "\t", "\n", "\r", "\f", '"', "'")  # <x/>; a bare value may end in "/"
+            if not closing and tag in FIELD_TAGS:
+                self.fields[self.open[-1]] += 1
+            if not closing and tag in RAW_TAGS and not whole:
                 close = _RAW_END[tag].search(html, pos)
                 if close:
                     pos = close.end()
@@ -287,16 +309,36 @@ class _Page:
                 self._imply(P_TAGS, P_SCOPE)
             if not closing and tag in IMPLIED:
                 self._imply(*IMPLIED[tag])
-            if tag in VOID_TAGS or tag in ("html", "body") or (attrs.endswith("/") and not closing):
+            if tag in VOID_TAGS or tag in ("html", "body") or whole:
+                continue
+            if not closing and tag in MEDIA_TAGS and not self._ends(tag, html, pos):
                 continue
             if closing:
                 self._close(tag)
             else:
                 self._opened(tag, attrs)
 
+    def _ends(self, tag: str, html: str, pos: int) -> bool:
+        """Whether a media element is closed at all; one that is not holds nothing."""
+        if self.next_end.get(tag, -1) < pos:
+            found = re.compile(f"</{tag}(?![a-z0-9-])", re.A | re.I).search(html, pos)
+            self.next_end[tag] = found.start() if found else len(html)
+        return self.next_end[tag] < len(html)
+
     def _exempt(self) -> None:
-        """An element dropped for its class or id alone that holds most of
-        the page's unlinked text, in paragraphs, is a layout wrapper."""
+        """Elements dropped for nothing but their class or id: inside an
+        article they stay without something else that speaks for it, and one
+        that holds most of the page's unlinked text, in paragraphs, is a
+        layout wrapper."""
+        for e in range(len(self.tag) - 1, 0, -1):
+            if self.why[e] == "part":
+                listed = self.fields[e] or 2 * self.linked[e] >= self.linked[e] + self.own[e]
+                if not listed and (self.tag[e] in HEADINGS or self.tag[e] == "section" or self.own[e] >= SURGE):
+                    self.why[e] = ""
+                    self.own[self.parent[e]] += self.own[e]
+                    self.solid[self.parent[e]] += self.solid[e]
+                else:
+                    self.why[e] = "name"
         named = [e for e in range(len(self.tag)) if self.why[e] == "name"]
         total = self.own[0] + sum(self.own[e] for e in named)
         for e in reversed(named):
@@ -314,7 +356,8 @@ class _Page:
 class _Line(NamedTuple):
     text: str
     linked: int  # linked characters
-    inside: bool  # of article/main
+    marked: int  # the article or main element around it, 0 if none
+    title: bool  # a top heading
     box: int  # innermost container: an element with blocks of its own, not a list, section or quotation
 
 
@@ -323,15 +366,17 @@ def _lines(page: _Page) -> list[_Line]:
     boxes = {page.parent[e] for e in range(1, len(page.tag)) if page.tag[e] in BLOCK_TAGS and not page.why[e]}
     lines: list[_Line] = []
     buf: list[str] = []
-    linked = main_depth = 0
+    linked = 0
     box, outer = 0, []
+    marks = [0]
+    title = 0
     gaps: list[tuple[int, int]] = []  # line and container of a dropped element
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join("".join(buf).split())
         if text:
-            lines.append(_Line(text, linked, main_depth > 0, box))
+            lines.append(_Line(text, linked, marks[-1], title > 0, box))
         buf.clear()
         linked = 0
 
@@ -356,8 +401,13 @@ def _lines(page: _Page) -> list[_Line]:
                 at = page.end[e] + 1
                 gaps.append((len(lines), box))
                 continue
+            if tag == "h1":
+                title += 1 if x >= 0 else -1
             if tag in MAIN_TAGS:
-                main_depth += 1 if x >= 0 else -1
+                if x >= 0:
+                    marks.append(marks[-1] or e)
+                else:
+                    marks.pop()
             if tag in BOX_TAGS and e in boxes:
                 if x >= 0:
                     outer.append(box)
@@ -373,48 +423,90 @@ def _lines(page: _Page) -> list[_Line]:
         near = [x.box for x in lines[max(0, k - 1) : k + 1]]
         joined = c in near and all(page.within(x, c) if c else x == c for x in near)
         if not joined:
-            out.extend([_Line("", 0, False, c)] * WINDOW)
+            out.extend([_Line("", 0, 0, False, c)] * WINDOW)
     return out + lines[done:]
 
 
-def main_text(html: str | None) -> str:
-    """Main text of one page."""
-    page = _Page(html or "")
-    lines = _lines(page)
-    inside = [x for x in range(len(lines)) if lines[x].inside]
-    weight = [len(x.text) if 2 * x.linked <= len(x.text) else 0 for x in lines]
-    if inside:
-        heavy: Counter = Counter()
-        for x, w in zip(lines, weight, strict=True):
-            if not x.inside:
-                heavy[x.box] += w
-        most = max(heavy, key=heavy.__getitem__, default=0)
-        if sum(weight[x] for x in inside) >= heavy[most] or heavy[most] < SURGE:
-            return "\n\n".join(lines[x].text for x in inside)
-        weight = [0 if x.inside and not page.within(x.box, most) else w for x, w in zip(lines, weight, strict=True)]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(lines))]
-    stretches, i = [], 0
-    while i < len(lines):
+def _weights(page: _Page, lines: list[_Line]) -> list[int]:
+    """What each line counts for in the distribution (step 2)."""
+    plain = [len(x.text) if 2 * x.linked <= len(x.text) else 0 for x in lines]
+    marked = [bool(x.marked) for x in lines]
+    weight = list(plain)
+    if not any(marked):
+        return weight
+    i = 0
+    while i < len(lines):  # linked lines of a marked element, in runs
+        j = i
+        while j < len(lines) and marked[j] and lines[j].text and not plain[j] and not lines[j].title:
+            j += 1
+        if 0 < j - i < WINDOW:
+            weight[i:j] = [len(x.text) for x in lines[i:j]]
+        elif i == j and marked[i] and lines[i].title:
+            weight[i] = len(lines[i].text)
+        i = max(j, i + 1)
+    heavy: Counter = Counter()
+    for x, w in zip(lines, plain, strict=True):
+        if not x.marked:
+            heavy[x.box] += w
+    most = max(heavy, key=heavy.__getitem__, default=0)
+    if sum(w for w, m in zip(plain, marked, strict=True) if m) >= heavy[most] or heavy[most] < SURGE:
+        return [w if m else 0 for w, m in zip(weight, marked, strict=True)]
+    return [0 if m and not page.within(x.box, most) else w for x, w, m in zip(lines, weight, marked, strict=True)]
+
+
+def window_sums(weight: list[int]) -> list[int]:
+    """Sum of the ``WINDOW`` weights from each line on."""
+    total, out = 0, [0] * len(weight)
+    for i in range(len(weight) - 1, -1, -1):
+        total += weight[i] - (weight[i + WINDOW] if i + WINDOW < len(weight) else 0)
+        out[i] = total
+    return out
+
+
+def stretches(weight: list[int]) -> list[tuple[int, int, int, int]]:
+    """The distribution's stretches: (surge, weight, first, last weighted line)."""
+    sums, found, i = window_sums(weight), [], 0
+    while i < len(weight):
         if not sums[i]:
             i += 1
             continue
         j = i
-        while j < len(lines) and sums[j]:
+        while j < len(weight) and sums[j]:
             j += 1
         # window i reaches WINDOW - 1 lines ahead: the rise is at its first weighted line, the dive at the last
-        own = [x for x in range(i, min(j + WINDOW - 1, len(lines))) if weight[x]]
-        stretches.append((max(sums[i:j]), sum(weight[x] for x in own), own[0], own[-1]))
+        own = [x for x in range(i, min(j + WINDOW - 1, len(weight))) if weight[x]]
+        found.append((max(sums[i:j]), sum(weight[x] for x in own), own[0], own[-1]))
         i = j
-    chosen = [s for s in stretches if s[0] >= SURGE] or sorted(stretches, key=lambda s: -s[1])[:1]
-    keep = {x for *_, first, end in chosen for x in range(first, end + 1)}
-    ends: dict[int, tuple[int, int]] = {}  # first and last weighted line of each chosen container
-    chosen_boxes = {lines[x].box for x in keep if weight[x]} - {0}
+    return found
+
+
+def main_text(html: str | None) -> str:
+    """Main text of one page."""
+    page = _Page(html or "")
+    lines = _lines(page)
+    weight = _weights(page, lines)
+    found = stretches(weight)
+    chosen = [s for s in found if s[0] >= SURGE] or sorted(found, key=lambda s: -s[1])[:1]
+    spans = [(first, last) for *_, first, last in chosen]
+    hit = [x for first, last in spans for x in range(first, last + 1) if weight[x]]
+    for of in (lambda x: x.box, lambda x: x.marked):  # first and last weighted line of each chosen container and marked element
+        ends: dict[int, tuple[int, int]] = {}
+        taken = {of(lines[x]) for x in hit} - {0}
+        for x, line in enumerate(lines):
+            if weight[x] and of(line) in taken:
+                ends[of(line)] = (ends.get(of(line), (x, x))[0], x)
+        spans += ends.values()
+    # an element's lines lie together, so a container's span holds nothing else
+    depth, steps = 0, [0] * (len(lines) + 1)
+    for first, last in spans:
+        steps[first] += 1
+        steps[last + 1] -= 1
+    kept = []
     for x, line in enumerate(lines):
-        if weight[x] and line.box in chosen_boxes:
-            ends[line.box] = (ends.get(line.box, (x, x))[0], x)
-    for c, (first, end) in ends.items():
-        keep.update(x for x in range(first, end + 1) if page.within(lines[x].box, c))
-    return "\n\n".join(lines[x].text for x in sorted(keep) if lines[x].text)
+        depth += steps[x]
+        if depth and line.text:
+            kept.append(line.text)
+    return "\n\n".join(kept)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
