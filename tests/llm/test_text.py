@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_CHECK, SF_SMALL
@@ -22,7 +23,7 @@ from tradelens.llm.queries import QUERIES, table
 
 
 def words(text):
-    return [w for w in re.split(r"\s+", re.sub(r"[^\w\s]|_", "", text or "").lower()) if w]
+    return regex.findall(r"[\p{L}\p{N}\p{M}]+", (text or "").lower())
 
 
 def brute_matches(documents, items, k=5, similarity=0.8):
@@ -82,6 +83,25 @@ def test_decontamination_near_copies(spark):
     assert 0 < len([v for v in want.values() if v < 1])  # edited copies are among them
 
 
+def test_decontamination_word_boundaries(spark):
+    """An item is found whatever parts its words; marks belong to words."""
+    passage = "the quick brown fox jumps over the lazy dog and runs far away from home again today with all its friends"
+    marked = "हिन्दी में एक लंबा वाक्य जो दस से अधिक शब्दों का है और यहाँ समाप्त होता है"
+    gaps = {1: "\u00a0", 2: "/", 3: " - ", 4: "\u2009\u2014\u2009", 5: "\u3000", 6: "\t\n", 7: "_", 8: "...", 9: "\u200b "}
+    documents = {i: f"before{g}{g.join(passage.split())}{g}after" for i, g in gaps.items()} | {20: f"({marked})", 21: marked.replace(" ", "\u00a0"), 30: "".join(passage.split())}
+    items = {1: passage, 2: marked.replace(" ", " | ")}
+    got = matches(docs(spark, list(documents.items())), item_table(spark, items))
+    assert got == pytest.approx(brute_matches(documents, items))
+    assert set(got) == {(i, 1) for i in gaps} | {(20, 2), (21, 2)}
+
+
+def test_decontamination_of_a_very_long_document(spark):
+    passage = "the quick brown fox jumps over the lazy dog and runs far away from home again today"
+    text = " ".join([passage] * 3000)
+    found = find_matches(docs(spark, [(1, text)]), item_table(spark, {1: passage})).collect()
+    assert [(r.doc_id, r.similarity) for r in found] == [(1, 1.0)] and found[0].n_windows >= 3000
+
+
 def test_decontamination_cases(spark):
     passage = "the quick brown fox jumps over the lazy dog and runs far away from home again today"
     items = {1: passage, 2: None, 3: "...", 4: "two words", 5: "go go go go go go go go go go", None: "null id item of seven words here"}

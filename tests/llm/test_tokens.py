@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -154,3 +155,13 @@ def test_token_files_cases(spark):
     assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in out) == [(0, True), (1, False), (2, False), (2, True)]
     token_files, places = write_token_files(docs(spark, []), vocabulary(), end_id=50256)
     assert count_tokens(token_files, 50256).collect() == []
+
+
+def test_object_store_schemes(monkeypatch):
+    asked = []
+    known = SimpleNamespace(from_uri=lambda uri: asked.append(uri) or (None, uri))
+    monkeypatch.setattr(files, "fs", SimpleNamespace(LocalFileSystem=files.fs.LocalFileSystem, FileSystem=known))
+    for uri in ("s3a://bucket/a/b", "s3n://bucket/a", "hdfs://host:1/a", "gs://bucket/a"):
+        files.filesystem(uri)
+    assert asked == ["s3://bucket/a/b", "s3://bucket/a", "hdfs://host:1/a", "gs://bucket/a"]
+    assert files.filesystem("file:/tmp/x")[1] == files.filesystem("/tmp/x")[1] == "/tmp/x"

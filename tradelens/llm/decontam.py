@@ -3,7 +3,8 @@
 Finds, in every document, windows of the size of a benchmark item that match
 the item at a weighted-shingle similarity of at least ``SIMILARITY``.
 
-1. Words: lower case, punctuation removed; shingles of five words, hashed
+1. Words: lower case, parted by anything but letters, digits and marks;
+   shingles of five words, hashed
    (an item of fewer words is one shingle, the whole sequence, and is looked
    for with shingles of its own length).
 2. Item-sized windows: similarity above zero needs a common shingle, so
@@ -48,9 +49,10 @@ BLOCK_BITS = 64 // BLOCKS
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words without punctuation."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", "")
-    return F.array_remove(F.split(F.lower(bare), r"\s+"), "")
+    """Lower-case words: runs of letters, digits and marks; whatever lies
+    between (blanks of any kind, dashes, slashes, punctuation) parts them."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", " ")
+    return F.array_remove(F.split(bare, " "), "")
 
 
 def _with_shingles(df: DataFrame, words: str, k: int) -> DataFrame:
@@ -165,7 +167,9 @@ def _find(rows: DataFrame, bench: DataFrame, k: int, similarity: float, radius:
     m = F.col("n") - (k - 1)
     last = F.greatest(F.size("sh") - m, F.lit(0))
     starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.least(p - m + 1, last), F.lit(0)), F.least(p, last)))))
-    windows = laid.select("doc_id", "text_key", "n", "sh", F.explode_outer(starts).alias("s")).select("doc_id", "text_key", "n", "s", F.slice("sh", F.col("s") + 1, m).alias("win"))
+    # cut inside the array: a row holds one window, not the document
+    cut_out = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("sh", s + 1, m).alias("win")))
+    windows = laid.select("doc_id", "text_key", "n", F.explode(cut_out).alias("w")).select("doc_id", "text_key", "n", "w.s", "w.win")
     windows = windows.withColumn("fp", _simhash(F.col("win"), planes))
 
     # multi-index join, full distance, each pair once (at its first near block)

@@ -13,13 +13,18 @@ import uuid
 from pyarrow import fs
 
 
+# Hadoop's names of file systems that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI (no scheme or ``file:`` is a mounted path)."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def attempt_name(folder: str, stem: str) -> str:
