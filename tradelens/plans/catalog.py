@@ -740,7 +740,7 @@ def _data_sufficiency(s):
 
 # ---------------------------------------------------------------- sessions
 
-from tradelens.streaming.sessions import sessionize  # noqa: E402
+from tradelens.streaming.sessions import merge_sessions, sessionize  # noqa: E402
 
 
 @register("user_sessions_30m")
@@ -750,6 +750,18 @@ def _user_sessions(s):
     return out.select("user_id", *[F.col(c) for c in ("session_start", "session_end")], "events", F.round("total_value", 6).alias("total_value")).transform(_display)
 
 
+@register("user_sessions_out_of_order")
+def _user_sessions_out_of_order(s):
+    """The same sessions from four parts of the events that arrive in an
+    arbitrary order (dealt by a hash of the time), each sessionised on its own, then merged."""
+    ev = s.table("events").select("user_id", "ts", "value")
+    part = F.pmod(F.xxhash64("ts"), F.lit(4))
+    parts = [sessionize(ev.filter(part == i), "user_id", "ts", "30 minutes", "value") for i in range(4)]
+    fragments = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    out = merge_sessions(fragments, "user_id", "30 minutes")
+    return out.select("user_id", "session_start", "session_end", "events", F.round("total_value", 6).alias("total_value")).transform(_display)
+
+
 # ---------------------------------------------------------------- text and date functions
 
 from tradelens.functions import numbers as N  # noqa: E402

@@ -927,6 +927,8 @@ FROM s GROUP BY user_id, sid
 """,
 )
 
+ORACLES["user_sessions_out_of_order"] = ORACLES["user_sessions_30m"]
+
 # Java's (?U)\\s, spelled out for RE2
 _WS_CLASS = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 

@@ -13,15 +13,25 @@ over any ``(user, timestamp)`` log:
   and the last session of a slice can continue in a neighbouring one, so at
   most two rows per user and slice go to the second window that merges
   across slices; all sessions in between are final as they are.
-* **streaming** (:func:`stream_sessions`) uses ``session_window`` with a
-  watermark; open sessions live in the state store and are emitted when the
-  watermark passes their end.
+* **streaming, exact** (:func:`start_session_stream`): each micro-batch is
+  sessionised by itself and its sessions are kept as fragments;
+  :func:`read_sessions` merges fragments whose gap is not too long.  However
+  late an event comes, it ends up in a fragment, extends a session or bridges
+  two: the result equals the batch one, in whatever order events arrive, and
+  no state is held per user.  :func:`compact_fragments` merges what is there.
+* **streaming, windowed** (:func:`stream_sessions`) uses ``session_window``
+  with a watermark; open sessions live in the state store and are emitted
+  when the watermark passes their end; later events are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tradelens.session import stage_table
+from tradelens.sources.commits import children
 
 
 def sessionize(
@@ -81,3 +91,101 @@ def stream_sessions(events: DataFrame, user_col: str = "user_id", ts_col: str =
     if value_col:
         aggs.append(F.sum(value_col).alias("total_value"))
     return timed.groupBy(F.col(user_col), F.session_window(F.col(ts_col), gap).alias("window")).agg(*aggs)
+
+
+# ---------------------------------------------------------------- exact streaming sessions
+
+
+def merge_sessions(fragments: DataFrame, user_col: str = "user_id", gap: str = "30 minutes", slices: int | None = None) -> DataFrame:
+    """Sessions from fragments (``user_col, session_start, session_end, events``
+    and other sums): fragments that overlap, or lie at most ``gap`` apart,
+    are one session.
+
+    Range slices of (user, start) are merged on their own, so a hot user is
+    spread.  What can go on in another slice is merged again: the first and
+    last session of a slice, and those that start before a fragment of an
+    earlier slice has ended."""
+    n = slices or int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = F.expr(f"INTERVAL {gap}")
+    sums = [c for c in fragments.columns if c not in (user_col, "session_start", "session_end")]
+    totals = [F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), *[F.sum(c).alias(c) for c in sums]]
+
+    def numbered(rows: DataFrame, w, name: str) -> DataFrame:
+        ended = F.max("session_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        new = F.when(ended.isNull() | (F.col("session_start") > ended + step), 1).otherwise(0)
+        return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    sliced = fragments.withColumnRenamed(user_col, "_u").repartitionByRange(n, "_u", "session_start").withColumn("_slice", F.spark_partition_id())
+    first = numbered(sliced, Window.partitionBy("_u", "_slice").orderBy("session_start", "session_end"), "_n")
+    # staged: the bounds of the slices are sampled, and two readers of the plan could see different ones
+    merged = stage_table(first.groupBy("_u", "_slice", "_n").agg(*totals), "session-slices")
+    ends = merged.groupBy("_u", "_slice").agg(F.max("session_end").alias("_end"), F.max("_n").alias("_last"))
+    before = Window.partitionBy("_u").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice of a user
+    ends = ends.withColumn("_ended", F.max("_end").over(before)).select(F.col("_u").alias("_u2"), F.col("_slice").alias("_slice2"), "_last", "_ended")
+    merged = merged.join(ends, F.col("_u").eqNullSafe(F.col("_u2")) & (F.col("_slice") == F.col("_slice2"))).drop("_u2", "_slice2")
+    reaches = F.coalesce(F.col("session_start") <= F.col("_ended") + step, F.lit(False))
+    merged = merged.withColumn("_border", (F.col("_n") == 1) | (F.col("_n") == F.col("_last")) | reaches)
+    columns = ["_u", "session_start", "session_end", *sums]
+    border = numbered(merged.filter("_border").select(*columns), Window.partitionBy("_u").orderBy("session_start", "session_end"), "_n")
+    out = border.groupBy("_u", "_n").agg(*totals).select(*columns).unionByName(merged.filter(~F.col("_border")).select(*columns))
+    return out.withColumnRenamed("_u", user_col)
+
+
+def _fragment_folder(root: str) -> str:
+    return f"{root.rstrip('/')}/fragments"
+
+
+def start_session_stream(
+    events: DataFrame,
+    root: str,
+    checkpoint_location: str,
+    user_col: str = "user_id",
+    ts_col: str = "ts",
+    gap: str = "30 minutes",
+    value_col: str | None = "value",
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Sessionise a stream of events into fragments under ``root``.  A batch
+    has a folder of its own, which a replay writes again: an event counts
+    once whatever is restarted."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        found = sessionize(batch, user_col, ts_col, gap, value_col)
+        found.write.mode("overwrite").parquet(f"{_fragment_folder(root)}/batch={batch_id}")
+
+    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
+def _current(spark: SparkSession, root: str) -> tuple[list[str], int]:
+    """Folders that hold every fragment once, and the last finished batch."""
+    folder = _fragment_folder(root)
+    done = [n for n in children(spark, folder) if "_SUCCESS" in children(spark, f"{folder}/{n}")]
+    upto = max((int(n[len("upto=") :]) for n in done if n.startswith("upto=")), default=-1)
+    batches = sorted(int(n[len("batch=") :]) for n in done if n.startswith("batch="))
+    paths = ([f"{folder}/upto={upto}"] if upto >= 0 else []) + [f"{folder}/batch={b}" for b in batches if b > upto]
+    return paths, max([upto, *batches])
+
+
+def read_sessions(spark: SparkSession, root: str, user_col: str = "user_id", gap: str = "30 minutes") -> DataFrame | None:
+    """Sessions of all events so far, with ``open`` where an event at the
+    latest time seen would still extend the session; None before the first batch."""
+    paths, _ = _current(spark, root)
+    if not paths:
+        return None
+    fragments = spark.read.parquet(*paths)
+    latest = fragments.agg(F.max("session_end")).first()[0]
+    out = merge_sessions(fragments, user_col, gap)
+    time_type = fragments.schema["session_end"].dataType
+    return out.withColumn("open", F.coalesce(F.col("session_end") + F.expr(f"INTERVAL {gap}") >= F.lit(latest).cast(time_type), F.lit(False)))
+
+
+def compact_fragments(spark: SparkSession, root: str, user_col: str = "user_id", gap: str = "30 minutes") -> int:
+    """Merge the fragments of all finished batches into one folder, which
+    stands for them from then on; returns the last batch in it (-1: none).
+    A stopped compaction leaves a folder that nobody reads."""
+    paths, last = _current(spark, root)
+    if len(paths) > 1:
+        merge_sessions(spark.read.parquet(*paths), user_col, gap).write.mode("overwrite").parquet(f"{_fragment_folder(root)}/upto={last}")
+    return last
