@@ -320,11 +320,24 @@ def test_first_by_row_drops_lines_without_a_declaration(spark):
     assert [r["_row"] for r in D.first_by_row(df, "_row", DEDUP_CSV_KEY).collect()] == [3]
 
 
+def test_new_goods_classified_on_import(spark, tmp_dir):
+    path, root = os.path.join(tmp_dir, "a.csv"), os.path.join(tmp_dir, "store")
+    for lo, hi, new in ((0, 4, 4), (2, 7, 3)):
+        write_csv(path, lines(lo, hi))
+        done = I.run_import(spark, path, root, classifier=EN.rule_classifier)
+        assert (done.counts["new_goods"], done.counts["new_goods_classified"]) == (new, new)
+    store = ParquetStore(spark, root)
+    assert store.goods_with_category().groupBy("category", "classified_by").count().collect() == [("Nông sản", "rules", 7)]
+    check_unique(contents(spark, root))
+    assert EN.enrich_store(spark, root).processed == 0
+
+
 def test_counts_come_from_the_writes(spark, tmp_dir):
     path, root = os.path.join(tmp_dir, "a.csv"), os.path.join(tmp_dir, "store")
     write_csv(path, [*lines(0, 6), *lines(0, 3), {"Tháng": "13"}])
     first = I.run_import(spark, path, root, mode="quarantine", max_errors=1)
-    assert first.counts == {"total_rows": 10, "valid_rows": 9, "invalid_rows": 1, "duplicates_in_file": 3, "duplicates_in_db": 0, "imported_rows": 6, "new_companies": 6, "new_goods": 6, "existing_goods_reused": 0}
+    assert first.counts == {"total_rows": 10, "valid_rows": 9, "invalid_rows": 1, "duplicates_in_file": 3, "duplicates_in_db": 0, "imported_rows": 6, "new_companies": 6, "new_goods": 6, "existing_goods_reused": 0, "new_goods_classified": 0}
+    assert [(r.row, r.declaration_number, r.field) for r in I.import_errors(first).collect()] == [(10, "306709194540", "Tháng")]
     write_csv(path, [*lines(0, 8), {"Tháng": "13"}, {"Năm": "x"}])
     refused = I.run_import(spark, path, root, mode="quarantine", max_errors=1)
     assert not refused.accepted and refused.counts["imported_rows"] == 0 and len(contents(spark, root)["transactions"]) == 6

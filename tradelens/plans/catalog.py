@@ -147,6 +147,24 @@ def _transactions_page(s):
     return R.transactions_page(s, page=1, page_size=50, sort_by="totalValueUSD", ascending=False, **_TX_FILTERS)
 
 
+def _busiest(s, key: str):
+    """The id with most lines (ties: the smallest)."""
+    found = s.facts([key]).groupBy(key).count().orderBy(F.desc("count"), key).first()
+    return found[0] if found else None
+
+
+@register("company_detail_stats")
+def _company_detail_stats(s):
+    """Detail header of the company with most lines."""
+    return R.company_detail_stats(s, _busiest(s, "company_id"))
+
+
+@register("goods_detail_stats")
+def _goods_detail_stats(s):
+    """Detail header of the goods item with most lines."""
+    return R.goods_detail_stats(s, _busiest(s, "goods_id"))
+
+
 @register("transactions_deep_page")
 def _transactions_deep_page(s):
     """Page 400 of the whole list, read from an index of page starts."""
@@ -577,6 +595,12 @@ def _import_quarantine_summary(s):
     return r.summary
 
 
+@register("import_errors")
+def _import_errors(s):
+    """Every issue of the lines set aside, with the declaration it is about."""
+    return IG.import_errors(IG.plan_import(s.spark, _csv_rows(s, faults=True), None, None, None, None, mode="quarantine"))
+
+
 @register("import_transactions_page")
 def _import_transactions_page(s):
     """All lines imported into an empty store, and its transaction list."""

@@ -257,6 +257,27 @@ ORDER BY total_value_usd DESC, declaration_number, line_no, goods_id, company_id
 LIMIT 50
 """,
 )
+oracle(
+    "company_detail_stats",
+    f"""
+, one AS (SELECT company_id FROM facts GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)
+SELECT f.company_id, COUNT(*) AS total_transactions, {js_round2("SUM(f.total_value_usd)")} AS total_import_value,
+       {js_round2("SUM(f.quantity)")} AS total_quantity, COUNT(DISTINCT f.goods_id) AS unique_goods_count,
+       {iso("MIN(f.date)")} AS first_transaction_date, {iso("MAX(f.date)")} AS last_transaction_date, c.name, c.address
+FROM facts f JOIN companies c ON f.company_id = c.company_id WHERE f.company_id = (SELECT company_id FROM one)
+GROUP BY f.company_id, c.name, c.address
+""",
+)
+oracle(
+    "goods_detail_stats",
+    """
+, one AS (SELECT goods_id FROM facts GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)
+SELECT goods_id, CAST(SUM(quantity) AS DOUBLE) AS total_quantity, CAST(SUM(total_value_usd) AS DOUBLE) AS total_value,
+       COUNT(*) AS transaction_count,
+       CASE WHEN SUM(quantity) > 0 THEN CAST(SUM(total_value_usd) AS DOUBLE) / CAST(SUM(quantity) AS DOUBLE) ELSE 0 END AS average_price
+FROM facts WHERE goods_id = (SELECT goods_id FROM one) GROUP BY goods_id
+""",
+)
 _TX_ALL = _TX_VIEW.split("  WHERE f.date")[0] + ")\n"
 _TX_PAGE = f"""
 SELECT declaration_number, line_no, {iso("date")} AS date, company_id, company_name, goods_id, goods_name, short_name,
@@ -716,6 +737,14 @@ oracle(
         for i, (field, message) in enumerate(_FAULTS, start=1)
     ),
 )
+oracle(
+    "import_errors",
+    _ROWS
+    + " UNION ALL ".join(
+        f"SELECT CAST(pos AS BIGINT) AS row, declaration_number, '{field}' AS field, '{message}' AS message FROM rows WHERE {_FAULT.format(at=i)}"
+        for i, (field, message) in enumerate(_FAULTS, start=1)
+    ),
+)
 oracle(
     "import_quarantine_summary",
     _ROWS
