@@ -370,6 +370,12 @@ def _filter_fuzzy(s):
     return _filtered(s, [{"field": "goods_name", "operator": "contains", "value": "smal rng", "matchStrategy": "fuzzy", "fuzzyThreshold": 2}])
 
 
+@register("filter_single")
+def _filter_single(s):
+    """One filter, line by line."""
+    return _display(FL.apply_filter(E.engine_view(s), {"field": "goods_name", "operator": "contains", "value": "RING"}))
+
+
 CNF_FILTERS = [
     {"field": "customs_office", "operator": "equals", "value": "US", "logicalOperator": "OR"},
     {"field": "customs_office", "operator": "equals", "value": "Asia", "logicalOperator": "AND"},
@@ -476,7 +482,7 @@ def _summary_lines(s):
 
 
 from tradelens.operators import dedup as D  # noqa: E402
-from tradelens.schema import DEDUP_KEY  # noqa: E402
+from tradelens.schema import CSV_COLUMNS, DEDUP_KEY  # noqa: E402
 
 BATCH_COLUMNS = (*DEDUP_KEY, "line_no", "goods_id", "supplier_id", "quantity", "date")
 BATCH_ORDER = ("file_no", "declaration_number", "line_no", "goods_id", "supplier_id", "quantity")
@@ -565,7 +571,8 @@ def _import_summary(s):
 
 from tradelens.operators import ingest as IG  # noqa: E402
 from tradelens.sources.store import FrameStore, ParquetStore  # noqa: E402
-from tradelens.sources.testbed import customs_rows  # noqa: E402
+from tradelens.sources.customs_csv import raw_row_json, read_customs_csv, write_csv  # noqa: E402
+from tradelens.sources.testbed import customs_rows, export_customs_csv  # noqa: E402
 
 
 def _csv_rows(s, faults: bool = False) -> DataFrame:
@@ -595,6 +602,34 @@ def _import_quarantine_summary(s):
     return r.summary
 
 
+@register("csv_round_trip")
+def _csv_round_trip(s):
+    """Every line written as a customs CSV, read back by header and parsed,
+    with two cells of the original row kept beside it."""
+    path = scratch_path(s.spark, f"csv-{uuid.uuid4().hex}")
+    export_customs_csv(s, path)
+    f = IG.to_facts(read_customs_csv(s.spark, path))
+    money = [F.col(c).cast("double").alias(c) for c in ("quantity", "total_value_usd", "usd_rate", "tax_rate")]
+    raw = [F.size("raw_data").cast("long").alias("raw_cells"), F.col("raw_data")["Số tờ khai"].alias("raw_number"), F.get_json_object(raw_row_json("raw_data"), "$['Đơn vị tính']").alias("raw_unit")]
+    return f.select("declaration_number", iso_timestamp("date").alias("date"), "year", "month", "day", "delivery_terms", "hs_code", *money, *raw)
+
+
+@register("csv_dry_run")
+def _csv_dry_run(s):
+    """Validation without import of the same CSV with faulty cells."""
+    path = scratch_path(s.spark, f"csv-{uuid.uuid4().hex}")
+    write_csv(customs_rows(s, faults=True).select(*CSV_COLUMNS), path)
+    return IG.dry_run(s.spark, path)
+
+
+@register("dim_category_new")
+def _dim_category_new(s):
+    """Categories of the stored goods that a dimension holding the others lacks."""
+    named = s.goods_with_category().select("category").filter("category is not null")
+    kept = s.categories().filter(F.substring(F.md5("name"), 1, 1) < "8")
+    return D.new_categories(named, kept)
+
+
 @register("import_errors")
 def _import_errors(s):
     """Every issue of the lines set aside, with the declaration it is about."""
@@ -792,6 +827,27 @@ from tradelens.functions import numbers as N  # noqa: E402
 from tradelens.functions import text as X  # noqa: E402
 
 
+@register("date_formats")
+def _date_formats(s):
+    """D5 over every line's date."""
+    f = s.facts(["declaration_number", "line_no", "date"])
+    as_of = F.lit("2001-06-15 12:00:00").cast("timestamp_ntz")
+    return f.select(
+        "declaration_number", "line_no", N.format_date_vi("date").alias("day"), N.format_datetime_vi("date").alias("moment"), N.format_month_year("date").alias("month_year"),
+        N.format_date_range("date", as_of).alias("span"), N.relative_time("date", as_of).alias("ago"),
+    )
+
+
+@register("number_formats")
+def _number_formats(s):
+    """N6 over every line's value and tax rate."""
+    f = s.facts(["declaration_number", "line_no", "total_value_usd", "tax_rate"])
+    return f.select(
+        "declaration_number", "line_no", N.compact_number("total_value_usd").alias("compact"), N.format_percentage("tax_rate").alias("rate"), N.format_usd("total_value_usd").alias("usd"),
+        N.format_vi_number("total_value_usd", 2).alias("vi_number"), N.format_vnd("total_value_usd").alias("vnd"),
+    )
+
+
 @register("normalize_text")
 def _normalize_text(s):
     docs = s.table("documents")

@@ -424,6 +424,7 @@ def _in_group(n: str, variants) -> str:
 _CO = _norm("customs_office")
 oracle("filter_equals", _ENGINE_VIEW + _SHOW + f"WHERE customs_office IS NOT NULL AND ({_CO} = 'usa' OR {_in_group(_CO, _US)})")
 oracle("filter_contains", _ENGINE_VIEW + _SHOW + f"WHERE goods_name IS NOT NULL AND contains({_norm('goods_name')}, 'ring')")
+oracle("filter_single", _ENGINE_VIEW + _SHOW + f"WHERE goods_name IS NOT NULL AND contains({_norm('goods_name')}, 'ring')")
 oracle("filter_starts_with", _ENGINE_VIEW + _SHOW + f"WHERE goods_name IS NOT NULL AND starts_with({_norm('goods_name')}, 'red')")
 oracle(
     "filter_greater_less",
@@ -737,6 +738,22 @@ oracle(
         for i, (field, message) in enumerate(_FAULTS, start=1)
     ),
 )
+oracle(
+    "csv_round_trip",
+    _ROWS
+    + f"""SELECT declaration_number, {iso("CAST(dt AS TIMESTAMP)")} AS date, CAST(y AS INTEGER) AS year, m AS month, d AS day,
+       delivery_terms, hs_code, CAST(quantity AS DOUBLE) AS quantity, CAST(total_value_usd AS DOUBLE) AS total_value_usd,
+       CAST(usd_rate AS DOUBLE) AS usd_rate, CAST(tax_rate AS DOUBLE) AS tax_rate, 24::BIGINT AS raw_cells, declaration_number AS raw_number, unit AS raw_unit
+FROM rows""",
+)
+oracle(
+    "csv_dry_run",
+    _ROWS
+    + "SELECT false AS valid, (SELECT COUNT(*) FROM rows) AS total_rows, true AS required_columns_present, "
+    + " + ".join(f"(SELECT COUNT(*) FROM rows WHERE {_FAULT.format(at=i)})" for i in range(1, len(_FAULTS) + 1))
+    + " AS error_count",
+)
+oracle("dim_category_new", "SELECT DISTINCT category AS name FROM goods_cat WHERE category IS NOT NULL AND category NOT IN (SELECT name FROM categories WHERE substr(md5(name), 1, 1) < '8')")
 oracle(
     "import_errors",
     _ROWS
@@ -958,6 +975,32 @@ FROM s GROUP BY user_id, sid
 
 ORACLES["user_sessions_out_of_order"] = ORACLES["user_sessions_30m"]
 
+_AGO = "CAST(floor(epoch(TIMESTAMP '2001-06-15 12:00:00') - epoch(date)) AS BIGINT)"
+oracle(
+    "date_formats",
+    f"""
+, d AS (SELECT declaration_number, line_no, date, {_AGO} AS secs FROM facts),
+m AS (SELECT *, secs // 60 AS mins, secs // 3600 AS hours, secs // 86400 AS days, secs // 2592000 AS months, secs // 31104000 AS years FROM d)
+SELECT declaration_number, line_no, strftime(date, '%d/%m/%Y') AS day, strftime(date, '%H:%M:%S %d/%m/%Y') AS moment, strftime(date, '%m/%Y') AS month_year,
+       strftime(date, '%d/%m/%Y') || ' - 15/06/2001' AS span,
+       CASE WHEN years > 0 THEN years || ' năm trước' WHEN months > 0 THEN months || ' tháng trước' WHEN days > 0 THEN days || ' ngày trước'
+            WHEN hours > 0 THEN hours || ' giờ trước' WHEN mins > 0 THEN mins || ' phút trước' ELSE 'Vừa xong' END AS ago
+FROM m
+""",
+)
+oracle(
+    "number_formats",
+    """
+, v AS (SELECT declaration_number, line_no, CAST(total_value_usd AS DOUBLE) AS x, CAST(tax_rate AS DOUBLE) AS r, CAST(total_value_usd AS DECIMAL(28, 2)) AS d FROM facts)
+SELECT declaration_number, line_no,
+       CASE WHEN x >= 1e9 THEN printf('%.1f', round(x / 1e9, 1)) || 'B' WHEN x >= 1e6 THEN printf('%.1f', round(x / 1e6, 1)) || 'M'
+            WHEN x >= 1e3 THEN printf('%.1f', round(x / 1e3, 1)) || 'K' ELSE regexp_replace(CAST(x AS VARCHAR), '\\.0$', '') END AS compact,
+       printf('%.1f', r * 100) || '%' AS rate, '$' || format('{:,.2f}', x) AS usd, translate(format('{:,.2f}', x), ',.', '.,') AS vi_number,
+       translate(format('{:,}', CAST(round_even(x, 0) AS BIGINT)), ',.', '.,') || chr(160) || '₫' AS vnd
+FROM v
+""",
+)
+
 # Java's (?U)\\s, spelled out for RE2
 _WS_CLASS = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
