@@ -176,3 +176,17 @@ def test_top_export_countries(spark):
     assert got == {c: sorted(n.items(), key=lambda x: (-x[1], x[0]))[:2] for c, n in counts.items()}
     scans = R.company_export_countries(s)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in scans
+
+
+def test_company_searches_against_brute_force(store):
+    names = {r.company_id: r.name for r in store.companies().collect()}
+    texts = ["ab", "ABC", "công", "cong ty abd", "x", "", None, "zz", "y", "yz", "ty", "ab"]
+    searches = store.spark.createDataFrame([(t,) for t in texts], "search string")
+    got = [(r.search, r["rank"], r.company_id) for r in R.company_searches(store, searches, k=2).collect()]
+    want = []
+    for t in {t.lower() for t in texts if t and len(t) >= 2}:
+        hits = sorted((n, i) for i, n in names.items() if t in n.lower())[:2]
+        want += [(t, at + 1, i) for at, (_, i) in enumerate(hits)]
+    assert sorted(got) == sorted(want)
+    with pytest.raises(ValueError):
+        R.company_searches(store, searches, min_length=1)

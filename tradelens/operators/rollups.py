@@ -703,6 +703,30 @@ def transactions_summary(store: Store, **filters) -> DataFrame:
 # ---------------------------------------------------------------- search and point lookups
 
 
+def company_searches(store: Store, searches: DataFrame, k: int = 20, min_length: int = 2) -> DataFrame:
+    """L6 + L7 for a table of search texts (column ``search``): of every
+    distinct text the first ``k`` companies, by name, whose name contains it
+    (any case).  Texts shorter than ``min_length`` find nothing.
+
+    Names are looked up by the text's rarest pair of characters (an inverted
+    index of character pairs), then checked whole: no text meets a name it
+    shares no rare pair with."""
+    if min_length < 2:
+        raise ValueError("min_length must be at least 2")
+
+    def pairs(text: str) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(F.col(text), i, F.lit(2))))
+
+    texts = searches.select(F.lower("search").alias("search")).filter(F.length("search") >= min_length).distinct()
+    names = store.companies().select("company_id", "name", F.lower("name").alias("_name")).filter(F.length("name") >= min_length)
+    index = names.select("company_id", "name", "_name", F.explode(pairs("_name")).alias("_pair"))
+    often = index.groupBy("_pair").agg(F.count(F.lit(1)).alias("_n"))
+    asked = texts.select("search", F.explode(pairs("search")).alias("_pair")).join(often, "_pair", "left")
+    rarest = asked.groupBy("search").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_pair")).alias("_r")).select("search", F.col("_r._pair").alias("_pair"))
+    hits = rarest.join(index, "_pair").filter(F.contains("_name", "search")).select("search", "company_id", "name")
+    return top_k_per_group(hits, ["search"], [F.col("name").asc(), F.col("company_id").asc()], k)
+
+
 def company_name_search(store: Store, query: str | None, limit: int = 20) -> DataFrame:
     """L7 + P3 + L6: companies whose name matches ``query`` (case-insensitive
     regex), at most ``limit``, by name; a query under 2 characters returns

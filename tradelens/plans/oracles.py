@@ -1101,6 +1101,17 @@ oracle(
     "company_name_search",
     "SELECT company_id, name, address FROM companies WHERE regexp_matches(name, 'customer#00000012', 'i') ORDER BY name, company_id LIMIT 20",
 )
+oracle(
+    "company_searches",
+    """
+, q AS (
+  SELECT DISTINCT lower(right(name, 1 + length(regexp_replace(md5(name), '[0-9]', '', 'g')) % 4)) AS search FROM companies
+), hit AS (
+  SELECT search, company_id, name, row_number() OVER (PARTITION BY search ORDER BY name, company_id) AS rank
+  FROM q JOIN companies ON contains(lower(name), search) WHERE length(search) >= 2
+)
+SELECT * FROM hit WHERE rank <= 20""",
+)
 oracle("company_name_search_short", "SELECT company_id, name, address FROM companies WHERE false")
 oracle(
     "companies_importing",
