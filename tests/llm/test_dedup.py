@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -164,3 +165,33 @@ def test_line_dedup_cases(spark):
     assert by_id(line_dedup(docs(spark, [(1, "a\na"), (2, "a")]), min_docs=3))[1].n_dropped == 0
     with pytest.raises(ValueError):
         line_dedup(docs(spark, rows), min_docs=1)
+
+
+def test_line_index_is_read_once_a_block(spark, monkeypatch):
+    """With room for one shard only, a block loads every shard once, whatever its number of batches."""
+    import pyarrow as pa
+
+    from tradelens.llm import line_dedup as LD
+
+    monkeypatch.setattr(LD, "KEYS_PER_SHARD", 16)
+    texts = ["\n".join(f"line {(i * 7 + k) % 300}" for k in range(20)) for i in range(120)]
+    df = docs(spark, list(enumerate(texts)))
+    uris = LD.build_line_index(df, min_chars=1, index_from=3)
+    assert len(uris) > 10
+    loads = []
+    monkeypatch.setattr(LD, "CACHE_BYTES", 1)
+    monkeypatch.setattr(LD.files, "read_all", lambda uri, plain=LD.files.read_all: loads.append(uri) or plain(uri))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["doc_id", "text"]) for i, t in enumerate(texts)]
+
+    def run():
+        LD._CACHE.clear()
+        loads.clear()
+        shared = type("shared", (), {"value": uris})
+        return [r for b in LD._probe(shared, 3, 1)(iter(batches)) for r in b.to_pylist()]
+
+    whole = run()
+    assert len(loads) == len(set(loads)) <= len(uris)
+    monkeypatch.setattr(LD, "BLOCK_BYTES", 1)  # a block per batch
+    assert run() == whole and len(loads) > 5 * len(uris)
+    counts = Counter(x for t in texts for x in set(t.split("\n")))
+    assert {r["doc_id"]: r["kept_text"] for r in whole} == {i: "\n".join(x for x in t.split("\n") if counts[x] < 3) for i, t in enumerate(texts)}

@@ -2,25 +2,27 @@
 
 1. Count: every line's 128-bit key hash, once per document, summed with
    map-side partials (a task sends one row per distinct line it met).
-2. Index: distinct hashes of lines found in at least ``INDEX_FROM`` documents
+2. Index: distinct hashes of lines found in at least ``min_docs`` documents
    are dealt into shards of about ``KEYS_PER_SHARD``; one task per shard
    builds a minimal perfect hash (levels of bit arrays with rank counts, as
    BBHash) that numbers the shard's hashes without gaps, and two compact
    arrays indexed by that number: the 64-bit fingerprint and the document
    count.  Shards are files in the shared folder.
-3. Probe: documents are read again and their lines look up fingerprint and
-   count in the shards, loaded one by one as a batch needs them and held
-   within ``CACHE_BYTES`` per worker.  Lines are never joined or shuffled
-   with their documents.
+3. Probe: documents are read again in blocks of ``BLOCK_BYTES`` of text; the
+   lines of a block look up fingerprint and count shard by shard, so however
+   large the index is, a shard is loaded at most once a block.  Loaded shards
+   are held within ``CACHE_BYTES`` per worker.  Lines are never joined or
+   shuffled with their documents.
 
-A line seen in one document only can reach no count of two or more, so it is
-not indexed; probing it ends at no slot or at a slot whose fingerprint
-differs (hash halves together: 128 bits), so it counts as once.
+A line in fewer documents stays wherever it is, so it is not indexed; probing
+it ends at no slot or at a slot whose fingerprint differs (hash halves
+together: 128 bits), and it counts as none.
 
 Defined results: a null or empty text is one empty line; a key below
 ``min_chars`` code points is never dropped; repeated rows are documents of
-their own; if all lines go the kept text is empty; an empty table gives an
-empty result.
+their own; if all lines go the kept text is empty; a very long text is one block; a
+line at the threshold in exactly ``min_docs`` documents goes; extra columns,
+whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ from tradelens.llm.common import cut, named, scratch_dir
 INDEX_FROM = 2
 KEYS_PER_SHARD = 1 << 17
 CACHE_BYTES = 256 << 20
+BLOCK_BYTES = 96 << 20
 GAMMA = 2.0
 ASCII_BLANKS = " \t\n\x0b\f\r"
 
@@ -214,24 +217,52 @@ def build_line_index(docs: DataFrame, text_col: str = "text", min_chars: int = 1
     return [uris.get(s, "") for s in range(shards)]
 
 
-def _probe(shard_uris: list[str], min_docs: int, min_chars: int):
+def _counts_of(shard_uris: list[str], h: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Documents of each line hash, shard by shard."""
+    found = np.zeros(len(h), dtype=np.uint32)
+    number = np.where(ok, h[:, 0].view(np.int64) % len(shard_uris), -1)
+    order = np.argsort(number, kind="stable")
+    at = np.searchsorted(number[order], np.arange(len(shard_uris) + 1))
+    for s in np.unique(number[ok]):
+        own = order[at[s] : at[s + 1]]
+        if shard_uris[s]:
+            found[own] = _shard(shard_uris[s]).counts(h[own, 0], h[own, 1])
+    return found
+
+
+def _probe(shard_uris, min_docs: int, min_chars: int):
+    """``shard_uris`` is a broadcast list."""
+
+    def kept(b: pa.RecordBatch, doc: np.ndarray, drop: np.ndarray) -> pa.RecordBatch:
+        n_lines = np.bincount(doc, minlength=len(b)).astype(np.int64)
+        n_dropped = np.bincount(doc[drop], minlength=len(b)).astype(np.int64)
+        texts, at = [], 0
+        for t, n, gone in zip(b.column("text"), n_lines, n_dropped, strict=True):
+            text = t.as_py() or ""
+            texts.append("\n".join(y for y, d in zip(text.split("\n"), drop[at : at + n], strict=True) if not d) if gone else text)
+            at += n
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_lines), pa.array(n_dropped), pa.array(texts, type=pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
+
+    def probed(block: list) -> Iterator[pa.RecordBatch]:
+        found = _counts_of(shard_uris.value, np.concatenate([h for _, _, h, _ in block]), np.concatenate([ok for *_, ok in block]))
+        at = 0
+        for b, doc, h, _ in block:
+            yield kept(b, doc, found[at : at + len(h)] >= min_docs)
+            at += len(h)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = [], 0
         for b in batches:
-            lines, doc, h, ok = _hashed(b.column("text"), min_chars) if len(b) else ([], np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, bool))
-            number = h[:, 0].view(np.int64) % len(shard_uris)
-            found = np.zeros(len(h), dtype=np.uint32)
-            for s in np.unique(number[ok]):
-                own = np.flatnonzero(ok & (number == s))
-                if shard_uris[s]:
-                    found[own] = _shard(shard_uris[s]).counts(h[own, 0], h[own, 1])
-            drop = found >= min_docs
-            n_lines = np.array([len(x) for x in lines], dtype=np.int64)
-            n_dropped = np.bincount(doc[drop], minlength=len(lines)).astype(np.int64)
-            kept, at = [], 0
-            for x, gone in zip(lines, n_dropped, strict=True):
-                kept.append("\n".join(x) if not gone else "\n".join(y for y, d in zip(x, drop[at : at + len(x)], strict=True) if not d))
-                at += len(x)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_lines), pa.array(n_dropped), pa.array(kept, type=pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
+            if not len(b):
+                continue
+            _, doc, h, ok = _hashed(b.column("text"), min_chars)
+            block.append((b, doc, h, ok))  # texts stay in Arrow, lines are split again when they are kept
+            size += b.nbytes
+            if size >= BLOCK_BYTES:
+                yield from probed(block)
+                block, size = [], 0
+        if block:
+            yield from probed(block)
 
     return run
 
@@ -241,7 +272,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``doc_id, n_lines, n_dropped, kept_text`` per row."""
     if min_docs < INDEX_FROM:
         raise ValueError(f"min_docs below {INDEX_FROM} would drop every line")
-    uris = build_line_index(docs, text_col, min_chars)
+    uris = docs.sparkSession.sparkContext.broadcast(build_line_index(docs, text_col, min_chars, min_docs))
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_probe(uris, min_docs, min_chars), f"doc_id {id_type}, n_lines long, n_dropped long, kept_text string")
