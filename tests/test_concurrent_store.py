@@ -230,6 +230,36 @@ def test_enrichment_in_lots_does_not_ask_again(spark, tmp_dir):
     assert [c.kind for c in CommitLog(spark, root).entries()] == ["import", "update", "update", "update"]
 
 
+def test_a_stopped_enrichment_does_not_ask_again(spark, tmp_dir, monkeypatch):
+    """Stopped between the model's answers and the commit; failures are asked about again."""
+    path, root, asked = os.path.join(tmp_dir, "a.csv"), os.path.join(tmp_dir, "store"), os.path.join(tmp_dir, "asked")
+    write_csv(path, lines(0, 6))
+    I.run_import(spark, path, root)
+    os.makedirs(asked)
+
+    def model(name, folder=asked):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w", encoding="utf-8") as f:
+            f.write(name)
+        if name.endswith("3"):
+            raise RuntimeError("down")
+        return '{"category": "Nông sản", "confidence": 0.9}'
+
+    def stop(self, *args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(CommitLog, "try_commit", stop)
+        with pytest.raises(KeyboardInterrupt):
+            EN.enrich_store(spark, root, classifier=EN.model_classifier(model), label="model")
+    assert len(os.listdir(asked)) == 6
+    done = EN.enrich_store(spark, root, classifier=EN.model_classifier(model), label="model")
+    assert (done.processed, done.succeeded, done.failed, len(os.listdir(asked))) == (6, 5, 1, 7)
+    # another label is another model
+    assert EN.enrich_store(spark, root, label="rules", retry_failed=True).processed == 1
+
+
 def test_readers_keep_the_state_they_opened(spark, tmp_dir):
     path, root = os.path.join(tmp_dir, "a.csv"), os.path.join(tmp_dir, "store")
     write_csv(path, lines(0, 5))
