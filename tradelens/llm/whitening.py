@@ -47,33 +47,48 @@ MAX_PASSES = 6
 LONG = np.iinfo(np.int64)
 
 
-def grid(vectors: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Row numbers of the usable vectors of an ``array<double>`` column and their grid vectors."""
-    rows, found = [], []
-    usable = pc.and_(vectors.is_valid(), pc.greater(pc.fill_null(pc.list_value_length(vectors), 0), 0))
-    for i in np.nonzero(usable.to_numpy(zero_copy_only=False))[0]:
-        values = vectors[int(i)].values
-        c = values.to_numpy(zero_copy_only=False)
-        if values.null_count == 0 and np.isfinite(c).all():
-            with np.errstate(over="ignore"):
-                x = np.floor(scale * c)
-            inside = np.clip(x, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
-            rows.append(i)
-            found.append(np.where(x >= 2.0**63, LONG.max, inside))
-    return np.array(rows, dtype=np.int64), found
-
-
-def packed(x: np.ndarray) -> bytes:
-    """The narrowest of 2, 4 or 8 bytes an entry that holds all entries."""
-    lo, hi = int(x.min()), int(x.max())
-    width = next(w for w in (2, 4, 8) if -(1 << 8 * w - 1) <= lo and hi < 1 << 8 * w - 1)
-    return x.astype(f"<i{width}").tobytes()
+def grid(vectors: pa.Array, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The usable vectors of an ``array<double>`` column by their length: row
+    numbers and grid vectors (a row each)."""
+    length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    entries = vectors.flatten().to_numpy(zero_copy_only=False)  # a null entry is NaN
+    start = np.cumsum(length) - length
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(entries))])
+    usable = (length > 0) & (bad[start + length] == bad[start])
+    found = {}
+    for dim in np.unique(length[usable]):
+        rows = np.nonzero(usable & (length == dim))[0]
+        with np.errstate(over="ignore"):
+            x = np.floor(scale * entries[start[rows, None] + np.arange(dim)])
+        inside = np.clip(x, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+        found[int(dim)] = rows, np.where(x >= 2.0**63, LONG.max, inside)
+    return found
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row in the narrowest of 2, 4 or 8 bytes an entry that holds it."""
+    lo, hi = x.min(axis=1), x.max(axis=1)
+    out: list[bytes] = [b""] * len(x)
+    left = np.ones(len(x), dtype=bool)
+    for width in (2, 4, 8):
+        limit = 1 << 8 * width - 1
+        own = left & (lo >= -limit) & (hi <= limit - 1)
+        raw, size = x[own].astype(f"<i{width}").tobytes(), width * x.shape[1]
+        for k, i in enumerate(np.nonzero(own)[0]):
+            out[i] = raw[k * size : (k + 1) * size]
+        left &= ~own
+    return out
 
 
 def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     """Grid vectors of a batch of ``x`` (packed) as one matrix."""
-    rows = [np.frombuffer(v, dtype=f"<i{len(v) // dim}").astype(np.int64) for v in batch.column("x").to_pylist()]
-    return np.array(rows, dtype=np.int64).reshape(-1, dim)
+    values = batch.column("x").to_pylist()
+    size = np.array([len(v) for v in values], dtype=np.int64)
+    out = np.empty((len(values), dim), dtype=np.int64)
+    for width in (2, 4, 8):
+        own = np.nonzero(size == width * dim)[0]
+        out[own] = np.frombuffer(b"".join(values[i] for i in own), dtype=f"<i{width}").reshape(-1, dim)
+    return out
 
 
 def distinct_vectors(vectors: DataFrame, vec_col: str, scale: int) -> DataFrame:
@@ -81,8 +96,8 @@ def distinct_vectors(vectors: DataFrame, vec_col: str, scale: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = grid(b.column("v"), scale)[1]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in found], pa.int32()), pa.array([packed(x) for x in found], pa.binary())], ["dim", "x"])
+            for dim, (_, x) in grid(b.column("v"), scale).items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, dtype=np.int32)), pa.array(packed(x), pa.binary())], ["dim", "x"])
 
     return vectors.select(named(vec_col).cast("array<double>").alias("v")).mapInArrow(run, "dim int, x binary").distinct()
 
@@ -131,12 +146,11 @@ def _centre(fit: DataFrame, dim: int) -> Centre:
 
 def through(a: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
     """Rows after the triangular solves with each factor in turn: A R1^-1 R2^-1 ..."""
+    q = np.ascontiguousarray(a.T)  # R' Q' = A': one dimension after the other, over all rows
     for r in factors:
-        q = np.empty_like(a)
         for j in range(len(r)):
-            q[:, j] = (a[:, j] - q[:, :j] @ r[:j, j]) / r[j, j]
-        a = q
-    return a
+            q[j] = (q[j] - r[:j, j] @ q[:j]) / r[j, j]
+    return q.T
 
 
 def _gram(fit: DataFrame, dim: int, rows_of) -> np.ndarray:
@@ -249,21 +263,19 @@ def whiten(vectors: DataFrame, model: Whitening | None, id_col: str, vec_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, found = grid(b.column("v"), scale)
-            same = [i for i, x in enumerate(found) if len(x) == model.dim]
-            if not same:
+            at, x = grid(b.column("v"), scale).get(model.dim, (None, None))
+            if at is None:
                 continue
-            x = np.array([found[i] for i in same])
             deviation = pa.array([v if v < 10**38 else None for v in model.centre.deviation(x)], pa.decimal128(38, 0))
-            each = np.repeat(np.arange(len(same)), k)
+            each = np.repeat(np.arange(len(x)), k)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("id").take(pa.array(at[same][each])),
-                    pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(same))),
+                    b.column("id").take(pa.array(at[each])),
+                    pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))),
                     pa.array(np.full(len(each), n)),
                     deviation.take(pa.array(each)),
                     pa.array(model.project(x).ravel()),
-                    pa.array(np.tile(explained, len(same))),
+                    pa.array(np.tile(explained, len(x))),
                     pa.array(np.full(len(each), model.identity_error)),
                 ],
                 ["id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
