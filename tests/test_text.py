@@ -78,6 +78,23 @@ def test_truncate_at_word(spark):
     assert got == ["word word word word...", "short"]
 
 
+def test_truncate_composes_the_start_only(spark):
+    import unicodedata
+
+    decomposed = unicodedata.normalize("NFD", "ệ ấ ữ tiếng Việt ") * 40
+    marks = "a" + "\u0323\u0302" * 100 + " x" * 50
+    texts = [decomposed, marks, "b" * 78 + "e\u0302\u0323" + "c" * 200, "d" * 319 + "e\u0301 z", "e" * 79 + "a" + "\u0301", "plain " * 200, None]
+    got = _apply(spark, X.truncate_at_word(F.col("v"), 80), texts)
+    for text, cut in zip(texts[:-1], got):
+        whole = unicodedata.normalize("NFC", text)[:80]
+        at = whole.rfind(" ")
+        assert cut == (whole[:at] if at > 64 else whole) + "..."
+    assert got[-1] is None
+    df = spark.createDataFrame([("x",)], "v string").select(X.truncate_at_word(F.col("v"), 80).alias("r"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("com.ibm.icu") == 2  # once for the start, once for the whole text: not at every mention of the cut
+
+
 def test_parse_classification(spark):
     cases = [
         '{"category":"Nông sản","confidence":0.9}',
