@@ -95,6 +95,15 @@ def test_truncate_composes_the_start_only(spark):
     assert plan.count("com.ibm.icu") == 2  # once for the start, once for the whole text: not at every mention of the cut
 
 
+def test_keywords_split_every_space_alike(spark):
+    texts = ["Một  hai\u00a0\u2003 Tôm\t\nđông  và lạnh ", " \u3000cá tra", "", "\u00a0", "a b  c\u2028d", None]
+    got = _apply(spark, X.keywords(F.col("v"), 1), texts)
+    stops = set(X.VI_STOP_WORDS)
+    assert got == [[w for w in t.lower().split() if w not in stops] if t is not None else None for t in texts]
+    plan = spark.createDataFrame([("x",)], "v string").select(X.keywords(F.col("v")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and plan.count("(?U)") == 1  # stop words are looked up by hash; one pass finds the white space
+
+
 def test_parse_classification(spark):
     cases = [
         '{"category":"Nông sản","confidence":0.9}',
