@@ -62,3 +62,27 @@ def test_dedup_hot_key(spark):
     assert out.count() == 4001
     rep = D.duplicate_report(df, ["pos"], ["declaration_number", "hs_code"])
     assert rep.count() == 1999 and rep.agg(F.min("duplicate_count")).first()[0] == 2000
+
+
+def test_in_file_keys_travel_as_hashes_and_lines_are_joined_once(spark):
+    """A line is shuffled with 32 bytes for its key, and the batch's second file does not join the tables again."""
+    from tradelens.operators import dedup as D
+    from tradelens.plans.catalog import BATCH_ORDER, import_batch
+    from tradelens.schema import DEDUP_KEY
+    from tradelens.sources.testbed import TestbedStore
+
+    batch = import_batch(TestbedStore(spark, "/root/testdata/sf0.001"))
+    plan = batch._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and plan.count("Relation") == plan.count("Join") + 1 and "Union" not in plan
+    for found in (D.dedup_in_file(batch, BATCH_ORDER), D.duplicate_report(batch, BATCH_ORDER)):
+        assert "_k0" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    columns = [*DEDUP_KEY, "at", "note"]
+    one = ["D1", "  Co ", "x", "1", "2", "3", "4", "5"]
+    rows = [(*one, 2, "b"), (*one, 1, "c"), (*one, 1, "a"), ("D1", "Co", *one[2:], 3, "d"), ("D1", None, *one[2:], 4, "e"), ("D1", "", *one[2:], 5, None), (" ", *one[1:], 0, "f"), (None, *one[1:], 0, "g"), ("D,1", "C\",\"o", *one[2:], 6, "h"), ("D,1", "C", *one[2:], 7, "i")]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'int' if c == 'at' else 'string'}" for c in columns))
+    got = {(r["at"], r["note"], r["occurrences"]) for r in D.dedup_in_file(df, ["at"]).collect()}
+    assert got == {(1, "a", 4), (4, "e", 2), (6, "h", 1), (7, "i", 1)}
+    assert D.dedup_in_file(df, ["at"]).columns == [*columns, "occurrences"]
+    later = {(r["at"], r["note"], r["duplicate_count"]) for r in D.duplicate_report(df, ["at"]).collect()}
+    assert later == {(2, "b", 4), (3, "d", 4), (5, None, 2)}
