@@ -2,6 +2,7 @@
 pages equal offset pages on ties and nulls."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,19 @@ def test_company_searches_against_brute_force(store):
     assert sorted(got) == sorted(want)
     with pytest.raises(ValueError):
         R.company_searches(store, searches, min_length=1)
+
+
+def test_company_searches_deal_out_the_names(store, spark, monkeypatch):
+    texts = ["ab", "công ty", "ty", "cong ty abd", "zz"]
+    searches = spark.createDataFrame([(t,) for t in texts], "search string")
+    found = R.company_searches(store, searches, k=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    assert re.search(rf"hashpartitioning\(company_id#\d+L?, name#\d+, {tasks}\), REPARTITION_BY_NUM", plan), plan
+    assert "Inner, BuildRight, Contains(" in plan  # the texts are sent, not the names' pairs
+    monkeypatch.setattr(R, "SEARCHES_SENT", 2)  # more texts than that: dealt out by pair and slice
+    many = R.company_searches(store, searches, k=3)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[_pair#\d+, _slice#\d+\]", plan) and "BuildLeft" not in plan
+    rows = sorted(map(tuple, found.collect()))
+    assert rows and sorted(map(tuple, many.collect())) == rows
