@@ -13,7 +13,7 @@ from tradelens.operators import engine as E
 from tradelens.operators import filters as FL
 from tradelens.operators import listing as L
 from tradelens.operators import rollups as R
-from tradelens.plans.catalog import CNF_FILTERS
+from tradelens.plans.catalog import CNF_FILTERS, QUERIES
 from tradelens.sources.store import FrameStore
 from tradelens.sources.testbed import TestbedStore
 
@@ -207,3 +207,26 @@ def test_company_searches_deal_out_the_names(store, spark, monkeypatch):
     assert re.search(r"SortMergeJoin \[_pair#\d+, _slice#\d+\]", plan) and "BuildLeft" not in plan
     rows = sorted(map(tuple, found.collect()))
     assert rows and sorted(map(tuple, many.collect())) == rows
+
+
+@pytest.mark.parametrize("fields", [None, ["quantity", "goods_name"], ["category_name", "import_company_name"], ["quantity", "unit"]])
+def test_goods_first_view_has_the_same_rows(store, spark, fields):
+    names = spark.createDataFrame([(1, "Gạo tẻ", 1), (1, "Gạo tẻ", 1), (2, None, 2), (3, "Tôm hùm", None), (None, "x", 1)], "goods_id long, raw_name string, category_id long")
+    twice = FrameStore(spark, store.transactions, store.companies_df, names, store.categories_df.union(store.categories_df.limit(1)))
+    for s in (store, twice, TestbedStore(spark, SF_SMALL)):
+        want, got = E.engine_view(s, fields), E.engine_view(s, fields, goods_first=True)
+        assert got.dtypes == want.dtypes
+        assert rows(got) == rows(want)
+
+
+def test_filter_single_shuffles_only_the_lines_it_keeps(spark):
+    """The lines that fail the filter on the goods meet no other table."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["filter_single"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = re.findall(r"SortMergeJoin \[(\w+)#\d+L?\], \[(\w+)#\d+L?\], (\w+)", plan)  # the outermost first
+    order = [(left, kind) for left, _, kind in joins]
+    assert order.index(("l_orderkey", "LeftOuter")) < min(i for i, (_, kind) in enumerate(order) if kind == "Inner"), joins
