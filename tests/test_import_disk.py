@@ -62,6 +62,21 @@ def test_appended_lines_are_shuffled_without_the_map(spark, tmp_dir, monkeypatch
     assert stored.filter(F.col("goods_id") != F.xxhash64("goods_raw_name")).count() == 0
 
 
+def test_csv_is_read_back_compressed_and_numbered_without_a_shuffle_of_its_lines(spark, tmp_dir):
+    cells = _good_lines(spark, 50).select(*CSV_COLUMNS).withColumn("Tên hàng", F.concat(F.lit('"t;\n'), "Tên hàng"))
+    write_csv(cells.repartition(3), f"{tmp_dir}/a", compression="gzip")
+    names = glob.glob(f"{tmp_dir}/a/part-*")
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    rows = read_customs_csv(spark, f"{tmp_dir}/a")
+    assert sorted(map(str, rows.select(*CSV_COLUMNS).collect())) == sorted(map(str, cells.collect()))
+    for file in rows.select("_src_file", "source_row").groupBy("_src_file").agg(F.sort_array(F.collect_list("source_row")).alias("n")).collect():
+        assert file.n == list(range(1, len(file.n) + 1))
+    plan = _plan(rows)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    write_csv(cells, f"{tmp_dir}/b")
+    assert not glob.glob(f"{tmp_dir}/b/*.gz")
+
+
 def test_import_facts_are_the_facts_and_customers_meet_the_orders(spark, tmp_dir):
     """Keys without a match, null keys and repeated keys give the same rows in either order of joins."""
     def table(name, schema, *rows):
