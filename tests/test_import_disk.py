@@ -77,6 +77,16 @@ def test_csv_is_read_back_compressed_and_numbered_without_a_shuffle_of_its_lines
     assert not glob.glob(f"{tmp_dir}/b/*.gz")
 
 
+def test_csv_queries_write_compressed_files(spark):
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    for name in ("csv_round_trip", "csv_dry_run"):
+        before = {*glob.glob(f"{base}/csv-*")}
+        C.QUERIES[name](spark, SF_SMALL)
+        (made,) = {*glob.glob(f"{base}/csv-*")} - before
+        parts = [f for f in os.listdir(made) if f.startswith("part-")]
+        assert parts and all(f.endswith(".csv.gz") for f in parts), name
+
+
 def test_import_facts_are_the_facts_and_customers_meet_the_orders(spark, tmp_dir):
     """Keys without a match, null keys and repeated keys give the same rows in either order of joins."""
     def table(name, schema, *rows):
