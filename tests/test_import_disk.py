@@ -62,6 +62,16 @@ def test_appended_lines_are_shuffled_without_the_map(spark, tmp_dir, monkeypatch
     assert stored.filter(F.col("goods_id") != F.xxhash64("goods_raw_name")).count() == 0
 
 
+def test_rejected_lines_are_counted_and_not_staged_again(spark):
+    rows = _good_lines(spark).withColumn("Tháng", F.when(F.col("source_row") % 4 == 0, "13").otherwise("2"))
+    rows = rows.withColumn("Mã phương thức thanh toán", F.when(F.col("source_row") == 1, F.lit("x")).otherwise("LC"))
+    r = I.plan_import(spark, rows, None, None, None, None, mode="quarantine")
+    assert (r.counts["invalid_rows"], r.rejected.count(), I.import_errors(r).count()) == (5, 5, 5)
+    assert not any("import-rejected" in f for f in r.rejected.inputFiles())
+    refused = I.plan_import(spark, rows, None, None, None, None, mode="strict")
+    assert not refused.accepted and refused.counts["invalid_rows"] == refused.rejected.count() == 20
+
+
 def test_csv_is_read_back_compressed_and_numbered_without_a_shuffle_of_its_lines(spark, tmp_dir):
     cells = _good_lines(spark, 50).select(*CSV_COLUMNS).withColumn("Tên hàng", F.concat(F.lit('"t;\n'), "Tên hàng"))
     write_csv(cells.repartition(3), f"{tmp_dir}/a", compression="gzip")
