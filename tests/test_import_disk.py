@@ -72,6 +72,15 @@ def test_rejected_lines_are_counted_and_not_staged_again(spark):
     assert not refused.accepted and refused.counts["invalid_rows"] == refused.rejected.count() == 20
 
 
+def test_marks_find_repeated_lines_and_whole_keys_decide(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("b", "y", 3), ("c", "z", 4)], "k string, v string, n long")
+    marks = D.repeated_keys(df, ["k", "v"])
+    assert marks.dtypes == [("_mark", "bigint")] and marks.count() == 1
+    # a mark that other keys share only sends them to the exact comparison
+    shared = stage_table(df.select(F.xxhash64("k", "v").alias("_mark")).distinct(), "marks")
+    assert sorted(r.n for r in D.first_of_repeated(df, shared, ["n"], ["k", "v"]).collect()) == [1, 3, 4]
+
+
 def test_csv_is_read_back_compressed_and_numbered_without_a_shuffle_of_its_lines(spark, tmp_dir):
     cells = _good_lines(spark, 50).select(*CSV_COLUMNS).withColumn("Tên hàng", F.concat(F.lit('"t;\n'), "Tên hàng"))
     write_csv(cells.repartition(3), f"{tmp_dir}/a", compression="gzip")
