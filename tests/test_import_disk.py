@@ -127,3 +127,22 @@ def test_import_facts_are_the_facts_and_customers_meet_the_orders(spark, tmp_dir
     assert plan.count("(l_orderkey") and "hashpartitioning(o_custkey" in plan
     # the lines are shuffled for goods and orders, not for customers
     assert plan.count("hashpartitioning(l_") == 2
+
+
+def test_a_page_of_lines_is_taken_before_the_dimensions_are_joined(spark):
+    facts = spark.createDataFrame([(f"D{i}", i % 3, i % 4 or None, i % 5 or None, float(i % 7) if i % 6 else None) for i in range(60)], "declaration_number string, line_no int, company_id long, goods_id long, v double").select(
+        "*", F.col("v").cast("decimal(18,2)").alias("total_value_usd"), F.col("v").cast("decimal(18,2)").alias("quantity"), F.col("v").alias("unit_price_usd"), F.lit("2024-01-01").cast("timestamp_ntz").alias("date"),
+        *[F.lit("x").alias(c) for c in ("hs_code", "unit", "export_country", "import_country", "customs_office")])
+    companies = spark.createDataFrame([(1, "A", ""), (2, "B", ""), (2, "B again", "")], "company_id long, name string, address string")
+    goods = spark.createDataFrame([(1, "G", "G", 1), (2, "H", "H", None), (3, "I", "I", 2)], "goods_id long, raw_name string, short_name string, category_id long")
+    store = FrameStore(spark, facts, companies, goods, spark.createDataFrame([(1, "X", "")], "category_id long, name string, description string"))
+    for sort, asc in (("totalValueUSD", False), ("totalValueUSD", True), ("unitPriceUSD", True), ("date", True)):
+        whole = R.transactions_view(store).orderBy(*R.order_columns([(R.TRANSACTION_SORTS[sort], asc)], [*R.TX_TIE_BREAK, "company_name"])).collect()
+        for page in (1, 2, 5):
+            got = R.transactions_page(store, page=page, page_size=10, sort_by=sort, ascending=asc).collect()
+            assert [r.declaration_number for r in got] == [r.declaration_number for r in whole[page * 10 - 10 : page * 10]], (sort, asc, page)
+    plan = _plan(R.transactions_page(store, page_size=10, sort_by="totalValueUSD"))
+    assert plan.count("TakeOrderedAndProject") == 2
+    assert plan.rindex("TakeOrderedAndProject") > plan.index("Join")
+    named = R.transactions_page(store, page_size=10, sort_by="totalValueUSD", company="^B")
+    assert {r.company_name for r in named.collect()} == {"B", "B again"} and _plan(named).count("TakeOrderedAndProject") == 1
