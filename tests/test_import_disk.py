@@ -173,6 +173,12 @@ def test_lines_are_marked_where_deduplication_left_them(spark):
     assert rows(D.mark_against_table(keyed, floats)) == rows(D.mark_against_table(plain, floats))
 
 
+def test_queries_that_read_the_batch_twice_join_it_once(spark):
+    for name in ("dedup_report", "dedup_against_table", "dim_goods_new", "import_summary"):
+        files = C.QUERIES[name](spark, SF_SMALL).inputFiles()
+        assert files and not any("lineitem" in f for f in files), name
+
+
 def test_in_file_keys_are_16_bytes_and_keep_cells_apart(spark):
     df = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("a", "b:c"), ("a", None), ("a", ""), (" a ", "bc")], "k string, v string")
     keys = [bytes(r[0]) for r in df.select(D._key_hash(["k", "v"])).collect()]
